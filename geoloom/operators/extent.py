@@ -1,0 +1,42 @@
+"""Spatial extent of a set of locations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from geoloom.functions.geo import angular_degrees
+
+# Fixed values.
+SINGLE_ALTITUDE = 0.8
+FIT_BASE = 0.72
+FIT_DEGREES = 65.0
+FIT_MIN = 1.6
+FIT_MAX = 3.0
+OBJECT_CLEARANCE = 1.25
+VIEW_MAX = 22.0
+
+
+def extent(locations: DataFrame) -> DataFrame:
+    """Centre, spread and view altitude of (latitude, longitude, altitude); no row without locations.
+
+    Two global aggregates: the centre first, then the widest angle from it. The centre reaches the second
+    pass as a scalar subquery, so no rows are joined or collected.
+    """
+    rows = locations.select("latitude", "longitude", F.coalesce("altitude", F.lit(0.0)).alias("altitude"))
+    centre = rows.agg(
+        F.avg("latitude").alias("lat"),
+        F.degrees(F.atan2(F.sum(F.sin(F.radians("longitude"))), F.sum(F.cos(F.radians("longitude"))))).alias("lon"),
+    ).select(F.struct("lat", "lon").alias("c"))
+    c = centre.scalar()
+    spread = angular_degrees(c["lat"], c["lon"], F.col("latitude"), F.col("longitude"))
+    measured = rows.agg(
+        F.count(F.lit(1)).alias("locations"), F.max(spread).alias("angular_spread"),
+        F.max("altitude").alias("object_altitude"),
+    ).where(F.col("locations") > 0)
+    fitted = F.when(F.col("locations") == 1, F.lit(SINGLE_ALTITUDE)).otherwise(
+        F.greatest(F.lit(FIT_MIN), F.least(F.lit(FIT_MAX), F.lit(FIT_BASE) + F.col("angular_spread") / FIT_DEGREES))
+    )
+    return measured.select(
+        c["lat"].alias("center_latitude"), c["lon"].alias("center_longitude"), "locations", "angular_spread",
+        F.least(F.lit(VIEW_MAX), F.greatest(fitted, F.col("object_altitude") + OBJECT_CLEARANCE)).alias("view_altitude"),
+    )
