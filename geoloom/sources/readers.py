@@ -41,12 +41,14 @@ def from_records(
         raise ValueError(f"Inline datasets need 1 to {MAX_RECORDS} records.")
     if not all(isinstance(r, dict) for r in records):
         raise ValueError("Each inline record must be an object.")
-    lines = spark.createDataFrame([(json.dumps(r, default=str),) for r in records], "value string")
+    text = F.lit(json.dumps(records, default=str))
+    one = spark.range(1)
     if schema is None:
-        schema = spark.sql(
-            "SELECT schema_of_json_agg(value) AS s FROM {lines}", lines=lines
-        ).first()["s"]
-    df = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+        array = one.select(F.schema_of_json(text).alias("s")).first()["s"]
+    else:
+        ddl = schema if isinstance(schema, str) else schema.simpleString()
+        array = f"array<{ddl}>" if ddl.lower().startswith("struct<") else f"array<struct<{ddl}>>"
+    df = one.select(F.inline(F.from_json(text, array)))
     names = list(dict.fromkeys(name for record in records for name in record))
     df = df.select(*[F.col(f"`{n}`") for n in names if n in df.columns])
     for name in timestamps or []:
