@@ -10,16 +10,20 @@ DEFAULT_TEXT = "default"
 
 
 def text_hash(text: Column) -> Column:
-    """Signed 32-bit polynomial hash (factor 31) over the UTF-16 code units of a text."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    count = F.floor(F.length(units) / 4).cast("int")
+    """Signed 32-bit polynomial hash (factor 31) over the UTF-16 code units of a text.
 
-    def step(state: Column, i: Column) -> Column:
-        unit = F.conv(F.substring(units, i * 4 - 3, F.lit(4)), 16, 10).cast("bigint")
-        return (state * 31 + unit) % F.lit(2**32)
+    One pass over the characters; a character above U+FFFF counts as its two surrogates.
+    """
 
-    positions = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    unsigned = F.aggregate(positions, F.lit(0).cast("bigint"), step)
+    def step(state: Column, char: Column) -> Column:
+        point = F.ascii(char).cast("bigint")
+        rest = point - F.lit(0x10000)
+        high, low = F.lit(0xD800) + F.shiftright(rest, 10), F.lit(0xDC00) + rest.bitwiseAND(F.lit(0x3FF))
+        pair = (state * 31 + high) * 31 + low
+        return F.when(point < 0x10000, state * 31 + point).otherwise(pair) % F.lit(2**32)
+
+    characters = F.filter(F.split(text, ""), lambda c: c != "")
+    unsigned = F.aggregate(characters, F.lit(0).cast("bigint"), step)
     return F.when(unsigned >= 2**31, unsigned - F.lit(2**32)).otherwise(unsigned)
 
 

@@ -17,7 +17,7 @@ from geoloom.functions.text import SHORT_ITEMS, relation_name, row_label, short_
 from geoloom.functions.urls import clean_link
 from geoloom.operators.extent import extent
 from geoloom.operators.layers import ROW_INDEX, Layer, layer_locations
-from geoloom.plans.guard import guard
+from geoloom.plans.guard import GuardedQuery, guard
 from geoloom.plans.scenes import Scene, normalize_scene, scene_extent, scene_marks
 from geoloom.session import materialise
 from geoloom.sources.catalog import Catalog, Dataset
@@ -122,11 +122,19 @@ class Workspace:
     def execute_sql(self, sql: str, title: str = "SQL result", actor: str = "user") -> Result:
         """Runs one reading query and saves at most the capped number of rows as ``_result_NNNN``."""
         started = time.monotonic()
+        query = self._guarded(sql)
+        return self._save(self.spark.sql(query.sql), title, actor, query.sql, query.relations, started)
+
+    def query(self, sql: str) -> DataFrame:
+        """The same guarded query as a lazy DataFrame of all its rows, for work beyond the cap."""
+        return self.spark.sql(self._guarded(sql).sql)
+
+    def _guarded(self, sql: str) -> GuardedQuery:
         query = guard(self.spark, sql, [*self.catalog.names(), *(r.relation for r in self.results.values())])
         for name in query.relations:
             if name in self.catalog:
                 self.catalog.frame(name)
-        return self._save(self.spark.sql(query.sql), title, actor, query.sql, query.relations, started)
+        return query
 
     def save_frame(self, df: DataFrame, title: str, sources: tuple[str, ...] = (), actor: str = "user") -> Result:
         """Saves a DataFrame, such as a named report, as a result under the same cap."""

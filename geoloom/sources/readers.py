@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 MAX_RECORDS = 500
+MICROSECOND_PATTERN = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
 MAX_FILE_BYTES = 50 * 1024 * 1024
 
 
@@ -28,7 +29,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """One JSON record per line."""
-    reader = spark.read
+    reader = spark.read.option("timestampNTZFormat", MICROSECOND_PATTERN)
     return reader.schema(schema).json(path) if schema else reader.json(path)
 
 

@@ -27,7 +27,7 @@ def comparisons(spark, sf_dir):
 
 def in_list(spark, sf_dir):
     return geo_nation(spark, sf_dir).where(
-        F.col("name").isin("GERMANY", "FRANCE", "ROMANIA", "RUSSIA", "UNITED KINGDOM", "CHINA"))
+        F.col("name").isin("NATION_2", "NATION_3", "NATION_6", "NATION_7", "NATION_18", "NATION_23"))
 
 
 def not_null(spark, sf_dir):
@@ -131,6 +131,7 @@ QUERIES = {
 
 _HASH = """list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length({t}) + 1),
   lambda i: CAST(unicode(substr({t}, i, 1)) AS BIGINT))), lambda h, c: (h * 31 + c) % 4294967296)"""
+_TEXT_HASH = _HASH.format(t="text")
 _SIGNED = "CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END"
 
 SQL = {
@@ -139,7 +140,7 @@ SQL = {
     "R2_comparisons": """SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem
         WHERE (l_quantity >= 30 AND l_discount <= 0.05 AND l_returnflag <> 'N') OR (l_quantity < 2 AND l_linestatus = 'O')""",
     "R3_in_list": f"""WITH {GEO_NATION} SELECT * FROM geo_nation
-        WHERE name IN ('GERMANY', 'FRANCE', 'ROMANIA', 'RUSSIA', 'UNITED KINGDOM', 'CHINA')""",
+        WHERE name IN ('NATION_2', 'NATION_3', 'NATION_6', 'NATION_7', 'NATION_18', 'NATION_23')""",
     "R4_not_null": """SELECT * FROM (SELECT event_id, CASE WHEN value > 100 THEN value END AS value FROM events) AS e
         WHERE value IS NOT NULL""",
     "R5_quoted_text": """SELECT c_custkey, c_name || '''s' AS owner FROM customer
@@ -166,6 +167,8 @@ SQL = {
         signed AS (SELECT c_custkey, {_SIGNED} AS hash FROM hashed)
         SELECT c_custkey, hash, ['#62cce1', '#a9cc63', '#ee8869', '#b394e8', '#63d2aa', '#ee7287'][abs(hash) % 6 + 1] AS color
         FROM signed""",
+    "G8_text_hash": f"""WITH hashed AS (SELECT doc_id, {_TEXT_HASH} AS h FROM documents)
+        SELECT doc_id, {_SIGNED} AS hash FROM hashed""",
     "L4_natural_order": """SELECT p_partkey, lower(p_type) || ' ' || lpad(CAST(length(CAST(p_partkey AS VARCHAR)) AS VARCHAR), 4, '0')
         || CAST(p_partkey AS VARCHAR) AS sort_key FROM part""",
     "G7_altitude": """WITH priced AS (SELECT p_partkey, CASE WHEN p_size > 5 THEN p_retailprice * 100 - 95000 END AS price

@@ -13,7 +13,7 @@ from geoloom.session import scratch_path
 from geoloom.sources.catalog import typed_time
 from geoloom.sources.digest import directory_fingerprint, file_digests
 from geoloom.sources.manifest import audit_sources
-from geoloom.sources.readers import read_csv, read_ndjson, read_parquet
+from geoloom.sources.readers import MICROSECOND_PATTERN, read_csv, read_ndjson, read_parquet
 from workload.base import TABLES, table, workspace
 
 
@@ -27,7 +27,7 @@ def csv_source(spark, sf_dir):
 def ndjson_source(spark, sf_dir):
     df = table(spark, sf_dir, "events")
     path = scratch_path(spark, "ndjson")
-    df.write.json(path)
+    df.write.option("timestampNTZFormat", MICROSECOND_PATTERN).json(path)
     return read_ndjson(spark, path, df.schema)
 
 
