@@ -24,7 +24,7 @@ def text_hash(text: Column) -> Column:
 
     characters = F.filter(F.split(text, ""), lambda c: c != "")
     unsigned = F.aggregate(characters, F.lit(0).cast("bigint"), step)
-    return F.when(unsigned >= 2**31, unsigned - F.lit(2**32)).otherwise(unsigned)
+    return (unsigned + F.lit(2**31)) % F.lit(2**32) - F.lit(2**31)
 
 
 def palette_color(value: Column) -> Column:

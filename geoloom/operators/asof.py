@@ -40,7 +40,8 @@ def asof_join(
     merged = add_parts(right_side.unionByName(left_side), F.col("_by"), "_time", policy)
     latest = F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_time", "_tie")))
     before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = merged.groupBy("_group", "_part").agg(latest.alias("_latest")).select(
+    # One row per part of a hot key; without hot keys the table is empty and its join falls away.
+    carried = merged.where(F.col("_hot")).groupBy("_group", "_part").agg(latest.alias("_latest")).select(
         "_group", "_part", F.last("_latest", ignorenulls=True).over(before).alias("_carried")
     )
     within = Window.partitionBy("_group", "_part").orderBy(
@@ -49,7 +50,7 @@ def asof_join(
     found = F.coalesce(F.last("_r", ignorenulls=True).over(within), F.col("_carried"))
     matched = F.when(F.col("_time").isNotNull() & F.col("_by").isNotNull(), F.col("_found"))
     return (
-        merged.join(carried, ["_group", "_part"])
+        merged.join(carried.hint("merge"), ["_group", "_part"], "left")
         .withColumn("_found", found)
         .where(F.col("_side") == 1)
         .select(

@@ -23,7 +23,7 @@ MARK_TYPES = {
     "layer_pos": "int", "layer_id": "string", "result_id": "string", "mark_type": "string",
     "row_index": "bigint", "latitude": "double", "longitude": "double", "altitude": "double",
     "label": "string", "color": "string", "opacity": "double", "point_radius": "double",
-    "ring_radius": "double", "path_key": "string", "path_position": "bigint", "path_rows": "bigint",
+    "ring_radius": "double", "path_key": "string", "path_position": "bigint",
     "width": "double", "animate": "boolean", "geometry": "string",
 }
 
@@ -129,11 +129,11 @@ def paths_layer(df: DataFrame, layer: Layer, policy: HotPolicy = DEFAULT_POLICY)
     label = layer.encoding.get("label") or group
     kept, at = _located(df, layer)
     ties = [ROW_INDEX] if ROW_INDEX in df.columns else []
-    placed = add_positions(kept, group, order, ties, first=[label], policy=policy)
+    placed = add_positions(kept, group, order, ties, first=[label], size=False, policy=policy)
     animate = True if layer.style.animate is None else layer.style.animate
     return _marks(
         placed, layer, **at, altitude=_altitude(df, layer, SURFACE_ALTITUDE), path_key=quoted(group),
-        path_position=F.col("position"), path_rows=F.col("group_rows"), label=quoted(f"first_{label}"),
+        path_position=F.col("position"), label=quoted(f"first_{label}"),
         width=F.lit(layer.style.width), animate=F.lit(animate),
     )
 
@@ -147,7 +147,7 @@ def path_chunks(marks: DataFrame, size: int = 10_000) -> DataFrame:
     chunk = F.floor((F.col("path_position") - 1) / F.lit(size)).cast("bigint")
     return marks.groupBy("layer_pos", "layer_id", "path_key", chunk.alias("chunk")).agg(
         F.first("label").alias("label"), F.first("color").alias("color"), F.first("width").alias("width"),
-        F.first("animate").alias("animate"), F.first("path_rows").alias("path_rows"),
+        F.first("animate").alias("animate"),
         F.array_sort(F.collect_list(point)).alias("points"),
     )
 

@@ -8,9 +8,6 @@ from geoloom.functions.geo import is_finite, quoted
 from geoloom.functions.text import natural_key
 from geoloom.operators.skew import DEFAULT_POLICY, HotPolicy, hot_groups
 
-TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
-
-
 def order_expression(df: DataFrame, order: str) -> Column:
     """Typed sort value of an order column; text sorts with its digit runs as numbers."""
     value = quoted(order)
@@ -21,9 +18,14 @@ def order_number(df: DataFrame, order: str) -> Column:
     """A double that never decreases along the sort order, used only to cut a group into parts."""
     dtype = df.schema[order].dataType
     value = quoted(order)
-    if isinstance(dtype, TIMES):
-        number = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', "
-                        f"CAST(`{order.replace('`', '``')}` AS TIMESTAMP_NTZ))").cast("double")
+    if isinstance(dtype, T.TimestampType):
+        number = F.unix_micros(value).cast("double")
+    elif isinstance(dtype, T.DateType):
+        number = F.unix_date(value).cast("double")
+    elif isinstance(dtype, T.TimestampNTZType):
+        # From the fields of the wall clock, so that no time zone takes part.
+        days, in_hour = F.unix_date(value.cast("date")), F.minute(value) * 60
+        number = days * 86400.0 + F.hour(value) * 3600 + in_hour + F.extract(F.lit("SECOND"), value).cast("double")
     elif isinstance(dtype, T.StringType):
         head = F.hex(F.encode(natural_key(value), "UTF-8"))
         number = F.conv(F.rpad(F.substring(head, 1, 12), 12, "0"), 16, 10).cast("double")
@@ -35,7 +37,7 @@ def order_number(df: DataFrame, order: str) -> Column:
 
 
 def add_parts(df: DataFrame, group: Column, order: str, policy: HotPolicy = DEFAULT_POLICY) -> DataFrame:
-    """Adds ``_group`` (null-safe group value) and ``_part``, which grows along the order in a group.
+    """Adds ``_group`` (null-safe group value), ``_hot`` and ``_part``, which grows along the order in a group.
 
     Ordinary groups are one part. A hot group is cut into equal steps between its smallest and largest
     order value; null, NaN and infinity come after the last step. Bounds are exact minima and maxima,
@@ -54,10 +56,11 @@ def add_parts(df: DataFrame, group: Column, order: str, policy: HotPolicy = DEFA
         .otherwise(F.least(F.col("_parts") - 1, step))
         .cast("bigint")
     )
-    # The hot table has fewer than policy.max_groups rows, see HotPolicy.
+    # The hot table has at most policy.max_groups rows, see HotPolicy.
     return (
         base.join(F.broadcast(hot), "_group", "left")
         .withColumn("_part", part)
+        .withColumn("_hot", F.col("_parts").isNotNull())
         .drop("_at", "_low", "_high", "_parts")
     )
 
@@ -68,38 +71,53 @@ def add_positions(
     order: str,
     tiebreak: list[str] | None = None,
     first: list[str] | None = None,
+    size: bool = True,
     policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """Adds ``position`` (from 1) and ``group_rows`` per group, nulls of ``order`` last.
+    """Adds ``position`` (from 1) and, with ``size``, ``group_rows`` per group, nulls of ``order`` last.
 
     ``first`` names columns whose value in the group's first row is added as ``first_<name>``.
-    The rows are shuffled once, by group and part; rows of earlier parts are counted from one small row
-    per part. A single order value within a group must still fit one task.
+    The rows are shuffled once, by group and part. For hot groups one small row per part tells what lies in
+    the parts before it; without hot groups that table is empty and its join falls away at run time.
+    A single order value within a group must still fit one task.
     """
-    tiebreak, first = tiebreak or [], first or []
+    first = first or []
+    parted, parts, sort = _parted(df, group, order, tiebreak or [], first, policy)
+    within = Window.partitionBy("_group", "_part")
+    added = {"position": F.row_number().over(within.orderBy(*sort)) + F.coalesce("_before", F.lit(0))}
+    if size:
+        added["group_rows"] = F.coalesce("_total", F.count(F.lit(1)).over(within))
+    for i, name in enumerate(first):
+        here = F.struct(F.first(quoted(name)).over(within.orderBy(*sort)).alias("v"))
+        added[f"first_{name}"] = F.coalesce(f"_first_{i}", here)["v"]
+    return _with_parts(parted, parts).select(
+        *[quoted(c) for c in df.columns], *[value.alias(name) for name, value in added.items()]
+    )
+
+
+def _parted(df, group, order, tiebreak, first, policy):
+    """(rows with their part, one row per part of a hot group, sort order)."""
     key = F.lit(0) if group is None else quoted(group)
     parted = add_parts(df, key, order, policy)
     value = order_expression(df, order)
     ties = [quoted(c) for c in tiebreak]
-    sort = [value.asc_nulls_last(), *[c.asc_nulls_last() for c in ties]]
-
     rank = F.struct(value.isNull(), value, *[x for c in ties for x in (c.isNull(), c)])
     firsts = [F.min_by(F.struct(quoted(c).alias("v")), rank).alias(f"_first_{i}") for i, c in enumerate(first)]
-    parts = parted.groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("_rows"), *firsts)
+    parts = parted.where(F.col("_hot")).groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("_rows"), *firsts)
     along = Window.partitionBy("_group").orderBy("_part")
-    before = F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select(
         "_group", "_part",
-        F.coalesce(before, F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy("_group")).alias("group_rows"),
-        *[F.first(f"_first_{i}").over(along)["v"].alias(f"first_{c}") for i, c in enumerate(first)],
-    )
-    within = Window.partitionBy("_group", "_part").orderBy(*sort)
-    return (
-        parted.join(parts, ["_group", "_part"])
-        .withColumn("position", F.row_number().over(within) + F.col("_before"))
-        .drop("_group", "_part", "_before")
+        F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy("_group")).alias("_total"),
+        (F.col("_part") == F.max("_part").over(Window.partitionBy("_group"))).alias("_is_last_part"),
+        *[F.first(f"_first_{i}").over(along).alias(f"_first_{i}") for i in range(len(first))],
     )
+    return parted, parts, [value.asc_nulls_last(), *[c.asc_nulls_last() for c in ties]]
+
+
+def _with_parts(parted: DataFrame, parts: DataFrame) -> DataFrame:
+    # Merge keeps the shuffle by group and part, which the window after it needs as well.
+    return parted.join(parts.hint("merge"), ["_group", "_part"], "left")
 
 
 def decimate_path(
@@ -107,10 +125,15 @@ def decimate_path(
     policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Keeps the first, the last and every ``every``-th row of each group."""
-    placed = add_positions(df, group, order, tiebreak, policy=policy)
-    position = F.col("position")
-    keep = (position == 1) | (position == F.col("group_rows")) | (position % every == 0)
-    return placed.where(keep).drop("position", "group_rows")
+    parted, parts, sort = _parted(df, group, order, tiebreak or [], [], policy)
+    within = Window.partitionBy("_group", "_part").orderBy(*sort)
+    placed = _with_parts(parted, parts).select(
+        *[quoted(c) for c in df.columns],
+        (F.row_number().over(within) + F.coalesce("_before", F.lit(0))).alias("_position"),
+        (F.lead(F.lit(1)).over(within).isNull() & F.coalesce("_is_last_part", F.lit(True))).alias("_is_last"),
+    )
+    keep = (F.col("_position") == 1) | F.col("_is_last") | (F.col("_position") % every == 0)
+    return placed.where(keep).drop("_position", "_is_last")
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -165,7 +188,7 @@ def exact_median(
     ).agg(F.count(F.lit(1)).alias("_weight"))
     parted = add_parts(weights, F.col("_key"), "_value", policy)
     along = Window.partitionBy("_group").orderBy("_part")
-    parts = parted.groupBy("_group", "_part").agg(F.sum("_weight").alias("_rows")).select(
+    parts = parted.where(F.col("_hot")).groupBy("_group", "_part").agg(F.sum("_weight").alias("_rows")).select(
         "_group", "_part",
         F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_rows").over(Window.partitionBy("_group")).alias("_total"),
@@ -173,11 +196,15 @@ def exact_median(
     )
     low = F.floor((F.col("_total") + 1) / 2).cast("bigint")
     high = F.ceil((F.col("_total") + 1) / 2).cast("bigint")
-    # Only the parts that hold a middle position take part in the shuffle of rows.
-    middle = parts.where((F.col("_before") < high) & (F.col("_upto") >= low))
-    within = Window.partitionBy("_group", "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = parted.join(middle, ["_group", "_part"]).withColumn(
-        "_last", F.sum("_weight").over(within) + F.col("_before")
+    # At most two parts of a hot group hold its middle: at most 2 * policy.max_groups rows.
+    middle = F.broadcast(parts.where((F.col("_before") < high) & (F.col("_upto") >= low)).drop("_upto"))
+    within = Window.partitionBy("_group", "_part")
+    upto = within.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
+    placed = parted.join(middle, ["_group", "_part"], "left").where(
+        ~F.col("_hot") | F.col("_total").isNotNull()
+    ).select(
+        "_key", "_value", "_weight", F.coalesce("_total", F.sum("_weight").over(within)).alias("_total"),
+        (F.sum("_weight").over(upto) + F.coalesce("_before", F.lit(0))).alias("_last"),
     ).withColumn("_first", F.col("_last") - F.col("_weight") + 1)
     lower = F.max(F.when((F.col("_first") <= low) & (F.col("_last") >= low), F.col("_value")))
     upper = F.max(F.when((F.col("_first") <= high) & (F.col("_last") >= high), F.col("_value")))

@@ -13,9 +13,9 @@ from geoloom.functions.geo import quoted
 class HotPolicy:
     """When a group counts as hot, and how finely it is split.
 
-    A group is hot when it has more than ``floor_rows`` rows and more than 1/``max_groups`` of all rows.
-    So fewer than ``max_groups`` groups can be hot, which bounds the table of hot groups that is
-    broadcast (some tens of bytes per row); every other group has at most 1/``max_groups`` of the rows.
+    A group is hot when it has more than ``floor_rows`` rows and is among the ``max_groups`` largest. That
+    bounds the table of hot groups that is broadcast (some tens of bytes per row), and every other group has
+    at most ``floor_rows`` rows or 1/``max_groups`` of all rows.
     """
 
     floor_rows: int = 1_000_000
@@ -27,12 +27,18 @@ DEFAULT_POLICY = HotPolicy()
 
 
 def hot_groups(df: DataFrame, keys: list[str], policy: HotPolicy, *measures: Column) -> DataFrame:
-    """Keys of the hot groups with ``_parts``, the number of parts for each, and further measures."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    limit = F.greatest(F.lit(policy.floor_rows), total / F.lit(policy.max_groups))
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *measures)
+    """Keys of the hot groups with ``_parts``, the number of parts for each, and further measures.
+
+    One partial aggregate over the key columns; only groups above the floor reach the sort and limit.
+    """
+    return largest_groups(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *measures), keys, policy)
+
+
+def largest_groups(counted: DataFrame, keys: list[str], policy: HotPolicy) -> DataFrame:
+    """The hot ones of already counted groups (``_rows``), with ``_parts`` in place of the count."""
+    largest = counted.where(F.col("_rows") > policy.floor_rows).orderBy(F.col("_rows").desc(), *keys)
     parts = F.ceil(F.col("_rows") / F.lit(policy.part_rows)).cast("bigint")
-    return counted.where(F.col("_rows") > limit).withColumn("_parts", parts).drop("_rows")
+    return largest.limit(policy.max_groups).withColumn("_parts", parts).drop("_rows")
 
 
 def row_hash(df: DataFrame) -> Column:
@@ -69,7 +75,37 @@ def lookup_join(
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
-def broadcast_within(df: DataFrame, weight: Column, limit: int) -> bool:
-    """Whether the summed weight of ``df`` stays within ``limit``; runs one small aggregate."""
-    found = df.agg(F.coalesce(F.sum(weight), F.lit(0)).cast("bigint").alias("w")).first()["w"]
-    return found <= limit
+def grid_join(
+    left: DataFrame, right: DataFrame, keys: list[str], condition: Column, policy: HotPolicy = DEFAULT_POLICY,
+    right_counts: DataFrame | None = None,
+) -> DataFrame:
+    """Inner equi-join on ``keys`` with a further condition, for keys that may be hot on both sides.
+
+    A hot key becomes a grid of tasks: left rows get one of the left parts and are repeated for each right
+    part, right rows the other way round, so each pair meets once. All other column names must differ, and
+    the result drops the keys. ``right_counts`` (keys and ``_rows``) may stand in for counting the right side.
+    """
+    lhot = hot_groups(left, keys, policy).withColumnRenamed("_parts", "_lparts")
+    rhot = hot_groups(right, keys, policy) if right_counts is None else largest_groups(right_counts, keys, policy)
+    # At most 2 * policy.max_groups rows, see HotPolicy.
+    hot = F.broadcast(lhot.join(rhot.withColumnRenamed("_parts", "_rparts"), keys, "full"))
+
+    def placed(df: DataFrame, mine: str, other: str) -> DataFrame:
+        one = F.lit(1).cast("bigint")
+        others = F.sequence(F.lit(0).cast("bigint"), F.coalesce(f"_{other}parts", one) - 1)
+        own = F.pmod(F.col("_hash"), F.coalesce(f"_{mine}parts", one))
+        return df.withColumn("_hash", row_hash(df)).join(hot, keys, "left").select(
+            *[quoted(c) for c in df.columns if c not in keys], *[quoted(k).alias(f"_{mine}{k}") for k in keys],
+            own.alias(f"_{mine}own"), F.explode(others).alias(f"_{mine}other"),
+        )
+
+    for k in keys:
+        condition = (F.col(f"_l{k}") == F.col(f"_r{k}")) & condition
+    condition = (F.col("_lown") == F.col("_rother")) & (F.col("_lother") == F.col("_rown")) & condition
+    joined = placed(left, "l", "r").join(placed(right, "r", "l"), condition)
+    return joined.select(*[quoted(c) for df in (left, right) for c in df.columns if c not in keys])
+
+
+def fits(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; counts no further than that."""
+    return df.limit(rows + 1).count() <= rows

@@ -8,6 +8,7 @@ from geoloom.functions.geojson import explode_edges
 from geoloom.operators.asof import asof_join
 from geoloom.operators.near import near_join
 from geoloom.operators.region import assign_region
+from geoloom.operators.skew import lookup_join
 from workload.base import (
     GEO_CUSTOMER, GEO_EVENT, GEO_NATION_EDGE, geo_customer, geo_event, geo_nation, geo_nation_edge, table, workspace,
 )
@@ -36,9 +37,9 @@ def regions_of_text(spark, sf_dir):
 
 
 def event_observations(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate", "o_orderpriority")
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey")
+    return lookup_join(li, orders, "l_orderkey", "inner")
 
 
 def latest_purchase(spark, sf_dir):

@@ -44,7 +44,7 @@ def rings(spark, sf_dir):
 def paths(spark, sf_dir):
     df = geo_event(spark, sf_dir)
     marks = paths_layer(df, _layer(df, "paths", "tracks", group="track_id", label="kind"))
-    return marks.select("path_key", "path_position", "path_rows", "latitude", "longitude", "altitude", "label", "width",
+    return marks.select("path_key", "path_position", "latitude", "longitude", "altitude", "label", "width",
                         "animate")
 
 
@@ -105,7 +105,7 @@ SQL = {
         round(greatest(2.5e0, least(20e0, sqrt(abs(value)) * 0.7e0)), 9) AS ring_radius FROM geo_event""",
     "G4_paths_layer": f"""WITH {GEO_EVENT} SELECT CAST(track_id AS VARCHAR) AS path_key,
         row_number() OVER (PARTITION BY track_id ORDER BY observed_at) AS path_position,
-        count(*) OVER (PARTITION BY track_id) AS path_rows, latitude, longitude, 0.018e0 AS altitude,
+        latitude, longitude, 0.018e0 AS altitude,
         first_value(kind) OVER (PARTITION BY track_id ORDER BY observed_at) AS label, 0.7e0 AS width, true AS animate
         FROM geo_event""",
     "G4_path_chunks": f"""WITH {GEO_EVENT}, placed AS (SELECT *,
