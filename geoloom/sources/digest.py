@@ -1,4 +1,4 @@
-"""Digests of files and directories."""
+"""Digests of files and directories. Spark's readers skip empty files, so these do not count them."""
 
 from __future__ import annotations
 
