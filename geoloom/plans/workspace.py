@@ -282,13 +282,15 @@ class Workspace:
         }
 
     def inspect_workspace(self) -> DataFrame:
-        """Datasets and results in one table; the last 8 results are marked as recent."""
+        """Datasets, results and the scene's layers in one table; the last 8 results are marked as recent."""
         entries = [self.catalog.entry(n) for n in self.catalog.names()]
         rows = [("dataset", d.relation, d.relation, d.row_count, self.catalog.is_loaded(d.relation), d.title, [], True,
                  False) for d in entries]
         recent = list(self.results)[-SHORT_RESULTS:]
         rows += [("result", r.id, r.relation, r.row_count, True, r.title, list(r.sources), r.id in recent,
                   r.id == self.active_result_id) for r in self.results.values()]
+        rows += [("layer", x.id, f"_{x.result_id}", None, True, x.title, [x.result_id], True,
+                  x.result_id == self.active_result_id) for x in (self.scene.layers if self.scene else ())]
         return self.spark.createDataFrame(
             rows, "kind string, id string, relation string, rows bigint, loaded boolean, title string, "
             "sources array<string>, recent boolean, active boolean",

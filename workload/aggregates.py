@@ -10,7 +10,7 @@ from geoloom.functions.geo import rounded
 from geoloom.operators.extent import extent
 from geoloom.operators.layers import coordinate_report
 from geoloom.operators.ordering import exact_median
-from geoloom.operators.quality import check_rules, table_metrics
+from geoloom.operators.quality import broken_layers, check_rules, list_differences, missing_metadata, table_metrics
 from workload.base import GEO_CUSTOMER, GEO_EVENT, geo_customer, geo_event, table
 
 
@@ -85,7 +85,32 @@ def valid_coordinates(spark, sf_dir):
     return coordinate_report(li, "latitude", "longitude")
 
 
+def broken_layers_of_parts(spark, sf_dir):
+    """Lines as layer mappings to the columns of parts that exist or do not."""
+    layers = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("l"), "l_orderkey").alias("layer_id"), F.concat(F.lit("r"), "l_partkey").alias("result_id"),
+        F.col("l_returnflag").alias("role"), F.col("l_linenumber").cast("string").alias("column_name"))
+    columns = table(spark, sf_dir, "part").where("p_size > 10").select(
+        F.concat(F.lit("r"), "p_partkey").alias("result_id"), F.explode(F.array(*[F.lit(str(i)) for i in range(1, 5)])).alias("column_name"))
+    return broken_layers(layers, columns)
+
+
+def blank_metadata(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("relation"), F.when(F.col("n_chars") > 500, F.col("text")).alias("description"),
+        F.when(F.col("lang") != "en", F.col("lang")).otherwise("").alias("license"), F.col("source").alias("sourceUrl"))
+    return missing_metadata(documents, ["description", "license", "sourceUrl"]).select(
+        "relation", F.array_join("missing", ",").alias("missing"))
+
+
+def ordered_lists(spark, sf_dir):
+    actual = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("position"), F.col("o_orderstatus").alias("name"))
+    expected = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("position")).agg(F.max("l_linestatus").alias("name"))
+    return list_differences(actual, expected, "name")
+
+
 QUERIES = {
+    "J4_broken_layers": broken_layers_of_parts, "V3_missing_metadata": blank_metadata, "V3_list_differences": ordered_lists,
     "A1_grouped": grouped, "A2_distinct_counts": distinct_counts, "A3_combined_row": combined_row,
     "A5_circular_mean": circular_mean, "A6_latest_date": latest_date, "G11_extent": view_extent,
     "V1_coverage": coverage, "G1_coordinate_report": valid_coordinates,
@@ -102,6 +127,22 @@ def _extent_sql(view: str, name: str, altitude: str) -> str:
 
 
 SQL = {
+    "J4_broken_layers": """WITH layers AS (SELECT 'l' || l_orderkey AS layer_id, 'r' || l_partkey AS result_id, l_returnflag AS role,
+          CAST(l_linenumber AS VARCHAR) AS column_name, p_partkey, coalesce(p_size > 10, false) AS known
+          FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)
+        SELECT DISTINCT layer_id, result_id, CAST(NULL AS VARCHAR) AS role, CAST(NULL AS VARCHAR) AS column_name,
+          'missing result' AS problem FROM layers WHERE NOT known
+        UNION ALL SELECT layer_id, result_id, role, column_name, 'missing column' FROM layers
+          WHERE known AND column_name NOT IN ('1', '2', '3', '4')""",
+    "V3_missing_metadata": """WITH blanks AS (SELECT doc_id AS relation, concat_ws(',',
+          CASE WHEN n_chars > 500 AND text <> '' THEN NULL ELSE 'description' END,
+          CASE WHEN lang <> 'en' AND lang <> '' THEN NULL ELSE 'license' END,
+          CASE WHEN coalesce(source, '') = '' THEN 'sourceUrl' END) AS missing FROM documents)
+        SELECT * FROM blanks WHERE missing <> ''""",
+    "V3_list_differences": """WITH expected AS (SELECT l_orderkey AS position, max(l_linestatus) AS expected FROM lineitem GROUP BY 1)
+        SELECT coalesce(o.o_orderkey, e.position) AS position, o.o_orderstatus AS actual, e.expected
+        FROM orders AS o FULL JOIN expected AS e ON o.o_orderkey = e.position
+        WHERE o.o_orderstatus IS DISTINCT FROM e.expected""",
     "A1_grouped": f"""WITH {GEO_EVENT} SELECT track_id, round(avg(value), 6) AS mean, max(value) AS largest,
         round(median(value), 6) AS middle, count(*) AS observations FROM geo_event GROUP BY track_id""",
     "A2_distinct_counts": """SELECT count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderstatus) AS statuses

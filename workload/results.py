@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geoloom.functions.geo import rounded
 from geoloom.plans.workspace import RESULT_CAP
 from geoloom.session import scratch_path
-from geoloom.sources.snapshots import load_snapshot, write_snapshot
+from geoloom.sources.snapshots import load_snapshot, read_snapshots, snapshot_contract, write_snapshot
 from workload.base import workspace
 
 SUMMARY = """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS lines
@@ -20,6 +21,10 @@ PLACED = f"""SELECT o_orderkey AS event_id, o_orderdate AS observed_at, o_orderp
   o_totalprice AS magnitude FROM orders WHERE o_totalprice >= 300000 ORDER BY o_totalprice DESC, o_orderkey"""
 
 
+TOTALS = """SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 100
+ORDER BY quantity DESC, l_orderkey"""
+
+
 def _rows(ws, sql):
     return ws.result_frame(ws.execute_sql(sql).id)
 
@@ -41,7 +46,7 @@ def truncation(spark, sf_dir):
 
 def requeried(spark, sf_dir):
     ws = workspace(spark, sf_dir)
-    first = ws.execute_sql("SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey HAVING sum(l_quantity) > 100")
+    first = ws.execute_sql(TOTALS)
     second = ws.execute_sql(f"SELECT r.quantity, o.o_orderstatus FROM {first.relation} AS r JOIN orders AS o ON r.l_orderkey = o.o_orderkey")
     return _rows(ws, f"SELECT o_orderstatus, count(*) AS orders, max(quantity) AS largest FROM {second.relation} GROUP BY o_orderstatus").drop("_row_index")
 
@@ -71,12 +76,77 @@ def replayed(spark, sf_dir):
     return replay.query("SELECT * FROM _bootstrap_orders_events")
 
 
+def _chain(ws):
+    first = ws.execute_sql("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey", title="per customer")
+    second = ws.execute_sql(f"""SELECT c.c_nationkey, sum(r.n) AS n FROM {first.relation} AS r
+        JOIN customer AS c ON c.c_custkey = r.o_custkey GROUP BY c.c_nationkey""", title="per nation")
+    ws.execute_sql(f"SELECT max(n) AS most FROM {second.relation}", title="most")
+
+
+def ancestry(spark, sf_dir):
+    ws = workspace(spark, sf_dir)
+    _chain(ws)
+    return ws.ancestry()
+
+
+def listing(spark, sf_dir):
+    ws = workspace(spark, sf_dir)
+    _chain(ws)
+    return ws.inspect_workspace().where("loaded").select("kind", "relation", "rows", "active")
+
+
+def scene_camera(spark, sf_dir):
+    """Marks per layer of a two-layer scene, beside the extent its camera fits."""
+    ws = workspace(spark, sf_dir)
+    placed = ws.execute_sql(PLACED)
+    busy = ws.execute_sql(f"SELECT o_orderkey AS id, {SPREAD} FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey")
+    ws.render_scene({"headline": "Orders", "subheadline": "Large and pending orders.", "layers": [
+        {"id": "Large orders", "resultId": placed.id, "type": "rings"}, {"id": "Pending", "resultId": busy.id}]})
+    fit = ws.camera().select(F.struct("locations", rounded(F.col("view_altitude"), 6).alias("altitude")).alias("v")).scalar()
+    marks = ws.marks().groupBy("layer_id").agg(F.count(F.lit(1)).alias("marks"))
+    return marks.select("layer_id", "marks", fit["locations"].alias("locations"), fit["altitude"].alias("view_altitude"))
+
+
+def contract(spark, sf_dir):
+    ws = workspace(spark, sf_dir)
+    saved = ws.execute_sql(PLACED, title="Large orders")
+    spec = {"headline": "Large orders", "subheadline": "Orders of at least 300,000.",
+            "layers": [{"id": "orders", "resultId": saved.id, "type": "rings", "title": saved.title}], "camera": {"fit": "none"}}
+    path = write_snapshot(ws, scratch_path(spark, "contract"), "orders", spec, {saved.id: "bootstrap_orders_events"}, "2026-09-03")
+    documents = read_snapshots(spark, path)
+    rows = documents.select(F.get("results", 0)["rowCount"].alias("n")).scalar()
+    return snapshot_contract(documents).select("defaultSceneId", "passed", rows.alias("rows"))
+
+
 QUERIES = {
+    "Q4_ancestry": ancestry, "I2_workspace": listing, "G10_scene_camera": scene_camera, "V4_snapshot_contract": contract,
     "Q2_execute_sql": executed, "L3_result_cap": capped, "Q3_truncation": truncation, "Q5_requery": requeried,
     "Q6_page": third_page, "Q8_row_detail": detail, "Q12_snapshot_replay": replayed,
 }
 
 SQL = {
+    "Q4_ancestry": """SELECT * FROM (VALUES ('_result_0001', 'orders', 1), ('_result_0002', '_result_0001', 1),
+        ('_result_0002', 'orders', 2), ('_result_0002', 'customer', 1), ('_result_0003', '_result_0002', 1),
+        ('_result_0003', '_result_0001', 2), ('_result_0003', 'customer', 2), ('_result_0003', 'orders', 3))
+        AS a(result, ancestor, distance)""",
+    "I2_workspace": f"""SELECT 'dataset' AS kind, 'orders' AS relation, CAST(NULL AS BIGINT) AS rows, false AS active
+        UNION ALL SELECT 'dataset', 'customer', NULL, false
+        UNION ALL SELECT 'result', '_result_0001', least({RESULT_CAP}, count(DISTINCT o_custkey)), false FROM orders
+        UNION ALL SELECT 'result', '_result_0002', count(DISTINCT c_nationkey), false FROM customer JOIN orders ON c_custkey = o_custkey
+        UNION ALL SELECT 'result', '_result_0003', 1, true""",
+    "G10_scene_camera": f"""WITH large AS ({PLACED} LIMIT {RESULT_CAP}), pending AS (SELECT o_orderkey AS id, {SPREAD} FROM orders
+          WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT {RESULT_CAP}),
+        places AS (SELECT 'large_orders' AS layer_id, latitude, longitude FROM large
+          UNION ALL SELECT 'pending', latitude, longitude FROM pending),
+        centre AS (SELECT avg(latitude) AS lat, degrees(atan2(sum(sin(radians(longitude))), sum(cos(radians(longitude))))) AS lon,
+          count(*) AS n FROM places),
+        spread AS (SELECT max(degrees(acos(greatest(-1e0, least(1e0, sin(radians(lat)) * sin(radians(latitude))
+          + cos(radians(lat)) * cos(radians(latitude)) * cos(radians(longitude) - radians(lon))))))) AS deg FROM places, centre)
+        SELECT layer_id, count(*) AS marks, (SELECT n FROM centre) AS locations,
+          (SELECT round(greatest(greatest(1.6e0, least(3e0, 0.72e0 + deg / 65e0)), 1.25e0), 6) FROM spread) AS view_altitude
+        FROM places GROUP BY layer_id""",
+    "V4_snapshot_contract": f"""SELECT 'orders' AS defaultSceneId, true AS passed, least({RESULT_CAP}, count(*)) AS rows
+        FROM orders WHERE o_totalprice >= 300000""",
     "Q2_execute_sql": SUMMARY,
     "L3_result_cap": f"""SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey,
           l_extendedprice) - 1 AS _row_index, l_orderkey, l_linenumber, l_quantity FROM lineitem
@@ -84,15 +154,14 @@ SQL = {
     "Q3_truncation": " UNION ALL ".join(
         f"SELECT '{t}' AS title, least(count(*), {RESULT_CAP}) AS row_count, count(*) > {RESULT_CAP} AS truncated FROM {t}"
         for t in ("events", "orders", "lineitem")),
-    "Q5_requery": f"""WITH first AS (SELECT l_orderkey, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_orderkey
-          HAVING sum(l_quantity) > 100)
+    "Q5_requery": f"""WITH first AS ({TOTALS} LIMIT {RESULT_CAP})
         SELECT o_orderstatus, count(*) AS orders, max(quantity) AS largest
         FROM first JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus""",
     "Q6_page": """SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS _row_index, o_orderkey, o_custkey,
         o_totalprice, o_orderstatus, o_orderpriority FROM orders ORDER BY _row_index LIMIT 10 OFFSET 20""",
-    "Q8_row_detail": f"""WITH placed AS ({PLACED}), found AS (SELECT *, count(*) OVER () AS n,
+    "Q8_row_detail": f"""WITH placed AS ({PLACED}), found AS (SELECT *, least(count(*) OVER (), {RESULT_CAP}) AS n,
           row_number() OVER (ORDER BY magnitude DESC, event_id) AS i FROM placed)
         SELECT name AS label, 'event_id' AS first_field, CAST(event_id AS VARCHAR) AS first_value,
           i || ' of ' || n AS position, latitude, longitude, 0.75e0 AS view_altitude FROM found WHERE i = 8""",
-    "Q12_snapshot_replay": PLACED,
+    "Q12_snapshot_replay": f"{PLACED} LIMIT {RESULT_CAP}",
 }
