@@ -8,60 +8,114 @@ from geoloom.functions.geo import is_finite, quoted
 from geoloom.functions.text import natural_key
 from geoloom.operators.skew import DEFAULT_POLICY, HotPolicy, hot_groups
 
+
 def order_expression(df: DataFrame, order: str) -> Column:
     """Typed sort value of an order column; text sorts with its digit runs as numbers."""
     value = quoted(order)
     return natural_key(value) if isinstance(df.schema[order].dataType, T.StringType) else value
 
 
-def order_number(df: DataFrame, order: str) -> Column:
-    """A double that never decreases along the sort order, used only to cut a group into parts."""
+def order_number(df: DataFrame, order: str, natural: bool = True) -> Column:
+    """What a group is cut by: a number that never decreases along the sort order, or hex text of a text key."""
     dtype = df.schema[order].dataType
     value = quoted(order)
     if isinstance(dtype, T.TimestampType):
-        number = F.unix_micros(value).cast("double")
-    elif isinstance(dtype, T.DateType):
-        number = F.unix_date(value).cast("double")
-    elif isinstance(dtype, T.TimestampNTZType):
+        return F.unix_micros(value).cast("double")
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(value).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
         # From the fields of the wall clock, so that no time zone takes part.
         days, in_hour = F.unix_date(value.cast("date")), F.minute(value) * 60
-        number = days * 86400.0 + F.hour(value) * 3600 + in_hour + F.extract(F.lit("SECOND"), value).cast("double")
-    elif isinstance(dtype, T.StringType):
-        head = F.hex(F.encode(natural_key(value), "UTF-8"))
-        number = F.conv(F.rpad(F.substring(head, 1, 12), 12, "0"), 16, 10).cast("double")
-    elif isinstance(dtype, T.NumericType):
-        number = value.cast("double")
-    else:
-        raise TypeError(f"Cannot order by a column of type {dtype.simpleString()}.")
-    return number
-
-
-def add_parts(df: DataFrame, group: Column, order: str, policy: HotPolicy = DEFAULT_POLICY) -> DataFrame:
+        return days * 86400.0 + F.hour(value) * 3600 + in_hour + F.extract(F.lit("SECOND"), value).cast("double")
+    if isinstance(dtype, T.StringType):
+        return F.hex(F.encode(natural_key(value) if natural else value, "UTF-8"))
+    if isinstance(dtype, T.NumericType):
+        return value.cast("double")
+    raise TypeError(f"Cannot order by a column of type {dtype.simpleString()}.")
+
+
+PREFIX_BYTES = 256
+
+
+def _bounds(at: Column, text: bool, name: str) -> list[Column]:
+    """Smallest and largest finite value, as aggregates."""
+    usable = at if text else F.when(is_finite(at), at)
+    return [F.min(usable).alias(f"{name}_low"), F.max(usable).alias(f"{name}_high")]
+
+
+def _with_prefix(table: DataFrame, text: bool, name: str) -> DataFrame:
+    """Adds the length of the hex text that a group's smallest and largest key share."""
+    if not text:
+        return table.withColumn(f"{name}_skip", F.lit(0))
+    low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
+    shared = F.filter(F.sequence(F.lit(1), F.lit(PREFIX_BYTES)), lambda i: (
+        (i * 2 <= F.least(F.length(low), F.length(high))) & (F.substring(low, 1, i * 2) == F.substring(high, 1, i * 2))))
+    return table.withColumn(f"{name}_skip", F.size(shared) * 2)
+
+
+def _step(at: Column, text: bool, low: Column, high: Column, skip: Column, parts: Column) -> Column:
+    """Which of ``parts`` equal steps between the bounds a value falls in; null, NaN and infinity come last."""
+    if text:
+        def number(key: Column) -> Column:
+            return F.conv(F.rpad(F.substring(key, skip + 1, F.lit(12)), 12, "0"), 16, 10).cast("double")
+
+        at, low, high = number(at), number(low), number(high)
+    step = F.floor((at - low) / (high - low) * parts)
+    return (
+        F.when(at.isNull() | F.isnan(at) | (at == float("inf")), parts)
+        .when((at == float("-inf")) | (high <= low), F.lit(0))
+        .otherwise(F.least(parts - 1, step))
+        .cast("bigint")
+    )
+
+
+def add_parts(
+    df: DataFrame, group: Column, order: str, policy: HotPolicy = DEFAULT_POLICY, tie: str | None = None
+) -> DataFrame:
     """Adds ``_group`` (null-safe group value), ``_hot`` and ``_part``, which grows along the order in a group.
 
     Ordinary groups are one part. A hot group is cut into equal steps between its smallest and largest
-    order value; null, NaN and infinity come after the last step. Bounds are exact minima and maxima,
-    so every use of the plan cuts the same way.
+    order value, and where one order value alone is hot, its rows are cut along ``tie``. Bounds are exact
+    minima and maxima, so every use of the plan cuts the same way.
     """
+    text = isinstance(df.schema[order].dataType, T.StringType)
     base = df.withColumn("_group", F.struct(group.alias("value"))).withColumn("_at", order_number(df, order))
-    finite = F.when(is_finite(F.col("_at")), F.col("_at"))
-    hot = hot_groups(
-        base.select("_group", "_at"), ["_group"], policy, F.min(finite).alias("_low"), F.max(finite).alias("_high")
-    )
-    step = F.floor((F.col("_at") - F.col("_low")) / (F.col("_high") - F.col("_low")) * F.col("_parts"))
-    part = (
-        F.when(F.col("_parts").isNull(), F.lit(0))
-        .when(F.col("_at").isNull() | F.isnan("_at") | (F.col("_at") == float("inf")), F.col("_parts"))
-        .when((F.col("_at") == float("-inf")) | (F.col("_high") <= F.col("_low")), F.lit(0))
-        .otherwise(F.least(F.col("_parts") - 1, step))
-        .cast("bigint")
-    )
+    hot = _with_prefix(hot_groups(
+        base.select("_group", "_at"), ["_group"], policy, *_bounds(F.col("_at"), text, "_at")), text, "_at")
+    step = _step(F.col("_at"), text, *[F.col(c) for c in ("_at_low", "_at_high", "_at_skip", "_parts")])
     # The hot table has at most policy.max_groups rows, see HotPolicy.
+    cut = base.join(F.broadcast(hot), "_group", "left").withColumn("_hot", F.col("_parts").isNotNull()).withColumn(
+        "_step", F.when(F.col("_hot"), step).otherwise(F.lit(0).cast("bigint"))
+    ).drop("_at", "_at_low", "_at_high", "_at_skip", "_parts")
+    if tie is None:
+        return cut.withColumnRenamed("_step", "_part")
+    return _split_ties(cut, df, order, tie, policy)
+
+
+def _split_ties(cut: DataFrame, df: DataFrame, order: str, tie: str, policy: HotPolicy) -> DataFrame:
+    """Makes ``_part`` of a step that holds a hot order value finer: by order value, then by steps of the tie."""
+    text = isinstance(df.schema[tie].dataType, T.StringType)
+    value = order_expression(df, order)
+    # A tiebreak sorts by its plain value.
+    at = order_number(df, tie, natural=False)
+    valued = cut.where(F.col("_hot")).select("_group", "_step", F.struct(value.alias("v")).alias("_value"), at.alias("_tie"))
+    crowded = _with_prefix(
+        hot_groups(valued, ["_group", "_step", "_value"], policy, *_bounds(F.col("_tie"), text, "_tie")), text, "_tie")
+    # At most policy.max_groups hot values over all steps, so the table is bounded like the one of hot groups.
+    steps = crowded.groupBy("_group", "_step").agg(F.collect_list(
+        F.struct("_value", "_parts", "_tie_low", "_tie_high", "_tie_skip")).alias("_crowd"))
+    found = F.get(F.filter("_crowd", lambda c: c["_value"]["v"].eqNullSafe(value)), 0)
+    split = F.col("_crowd").isNotNull()
+    finer = F.when(F.col("_this").isNotNull(), _step(
+        at, text, *[F.col("_this")[c] for c in ("_tie_low", "_tie_high", "_tie_skip", "_parts")]))
     return (
-        base.join(F.broadcast(hot), "_group", "left")
-        .withColumn("_part", part)
-        .withColumn("_hot", F.col("_parts").isNotNull())
-        .drop("_at", "_low", "_high", "_parts")
+        cut.join(F.broadcast(steps), ["_group", "_step"], "left")
+        .withColumn("_this", found)
+        .withColumn("_part", F.struct(
+            "_step", F.when(split, value.isNull()).alias("last"), F.when(split, value).alias("value"),
+            F.coalesce(finer, F.lit(0).cast("bigint")).alias("tie_step"),
+        ))
+        .drop("_step", "_crowd", "_this")
     )
 
 
@@ -79,7 +133,7 @@ def add_positions(
     ``first`` names columns whose value in the group's first row is added as ``first_<name>``.
     The rows are shuffled once, by group and part. For hot groups one small row per part tells what lies in
     the parts before it; without hot groups that table is empty and its join falls away at run time.
-    A single order value within a group must still fit one task.
+    Rows of a group that agree in order and first tiebreak must still fit one task.
     """
     first = first or []
     parted, parts, sort = _parted(df, group, order, tiebreak or [], first, policy)
@@ -98,7 +152,7 @@ def add_positions(
 def _parted(df, group, order, tiebreak, first, policy):
     """(rows with their part, one row per part of a hot group, sort order)."""
     key = F.lit(0) if group is None else quoted(group)
-    parted = add_parts(df, key, order, policy)
+    parted = add_parts(df, key, order, policy, tiebreak[0] if tiebreak else None)
     value = order_expression(df, order)
     ties = [quoted(c) for c in tiebreak]
     rank = F.struct(value.isNull(), value, *[x for c in ties for x in (c.isNull(), c)])

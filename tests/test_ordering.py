@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from geoloom.operators.asof import asof_join
 from geoloom.operators.ordering import (
-    add_group_size, add_positions, decimate_path, deduplicate, exact_median, order_number, top_per_group,
+    add_group_size, add_parts, add_positions, decimate_path, deduplicate, exact_median, order_number, top_per_group,
 )
 from geoloom.operators.skew import DEFAULT_POLICY
 from tests.conftest import values
@@ -47,6 +47,28 @@ def test_positions_of_other_order_types(spark, tiny, sql_type):
     assert ordered == sorted(ordered)
 
 
+@pytest.mark.parametrize("tie", ["i", "s", "t"])
+@pytest.mark.parametrize("crowd", ["1.0D", "CAST(NULL AS DOUBLE)", "CAST('NaN' AS DOUBLE)", "0.0D"])
+def test_hot_order_values_are_cut_along_the_tiebreak(spark, tiny, crowd, tie):
+    """Half of a hot group has one order value; neighbours share its step."""
+    df = spark.range(120).selectExpr(
+        "'g' AS g", f"CASE WHEN id % 2 = 0 THEN {crowd} ELSE (id % 40) / 19.5D - 0.5D END AS o", "id * 7 % 121 AS i",
+        "concat('item-', id * 7 % 121) AS s", "timestampadd(MINUTE, CAST(id * 7 % 121 AS INT), TIMESTAMP_NTZ '2024-01-01') AS t")
+    w = Window.partitionBy("g").orderBy(F.col("o").asc_nulls_last(), tie)
+    want = df.select("i", F.row_number().over(w).cast("bigint").alias("position"))
+    got = add_positions(df, "g", "o", [tie], policy=tiny)
+    assert sorted(values(got, "i", "position")) == sorted(values(want))
+    parts = add_parts(df, F.col("g"), "o", tiny, tie).groupBy("_part").count()
+    assert parts.agg(F.max("count")).first()[0] <= 20
+
+
+def test_text_orders_with_a_long_common_prefix_are_cut(spark, tiny):
+    df = spark.range(60).select(F.lit("g").alias("g"), F.concat(F.lit("https://example.org/a/b/"), "id").alias("o"), "id")
+    parts = add_parts(df, F.col("g"), "o", tiny).groupBy("_part").count()
+    assert parts.count() > 5
+    assert add_positions(df, "g", "o", policy=tiny).where(F.col("position") != F.col("id") + 1).count() == 0
+
+
 def test_decimation(spark, policy):
     rows = [("a", i) for i in range(1, 13)] + [("b", 1)] + [(None, i) for i in (3, 1, 2)]
     df = spark.createDataFrame(rows, "g string, o int")
