@@ -35,6 +35,8 @@ def order_number(df: DataFrame, order: str, natural: bool = True) -> Column:
 
 
 PREFIX_BYTES = 256
+# Letters and digits fill a small part of the byte range, so text is cut into more steps.
+TEXT_STEPS = 16
 
 
 def _bounds(at: Column, text: bool, name: str) -> list[Column]:
@@ -59,7 +61,7 @@ def _step(at: Column, text: bool, low: Column, high: Column, skip: Column, parts
         def number(key: Column) -> Column:
             return F.conv(F.rpad(F.substring(key, skip + 1, F.lit(12)), 12, "0"), 16, 10).cast("double")
 
-        at, low, high = number(at), number(low), number(high)
+        at, low, high, parts = number(at), number(low), number(high), parts * TEXT_STEPS
     step = F.floor((at - low) / (high - low) * parts)
     return (
         F.when(at.isNull() | F.isnan(at) | (at == float("inf")), parts)
