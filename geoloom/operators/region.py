@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geoloom.functions.geo import quoted
-from geoloom.operators.skew import DEFAULT_POLICY, HotPolicy, fits, grid_join
+from geoloom.operators.skew import DEFAULT_POLICY, HotPolicy, fits, grid_join, lookup_join
 from geoloom.session import materialise
 
 # Edges that one task may hold as a broadcast table: 32 bytes each, so some 16 MB.
@@ -90,13 +90,15 @@ def _assign_joined(points, placed, latitude, longitude, name, cell, key, policy)
         key = "_point"
         keyed = materialise(points.withColumn(key, F.monotonically_increasing_id()))
     part = F.pmod(F.xxhash64("x1", "y1", "x2", "y2"), F.greatest(F.lit(1), F.ceil(F.col("_n") / CHUNK_EDGES)))
-    sizes = placed.groupBy(*CELL, "id").agg(
+    placed = placed.withColumn("_piece", F.struct(*CELL, "id"))
+    sizes = placed.groupBy("_piece").agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.least("y1", "y2")).alias("_south"),
         F.max(F.greatest("y1", "y2")).alias("_north"), F.max(F.greatest("x1", "x2")).alias("_east"),
     )
-    chunks = placed.join(sizes, [*CELL, "id"]).groupBy(*CELL, "id", "_south", "_north", "_east", part.alias("_part")).agg(
+    sized = lookup_join(placed, sizes, "_piece", "inner", policy)
+    chunks = sized.groupBy(*CELL, "id", "_south", "_north", "_east", part.alias("_chunk")).agg(
         F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_edges")
-    ).drop("_part")
+    ).drop("_chunk")
     lat, lon = F.col("_y"), F.col("_x")
     located = keyed.where(quoted(latitude).isNotNull() & quoted(longitude).isNotNull()).select(
         quoted(key).alias("_key"), quoted(latitude).alias("_y"), quoted(longitude).alias("_x"),
