@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-A layout is a declarative mapping from field paths to canonical turns (key, turn, role, text). The field paths of a
-table (or of each JSON record) that any layout knows are sorted and hashed; the hash selects the mapping, so unknown
-extra fields neither match nor disturb. Turns are then rendered with marks, control strings inside texts being escaped
+A layout is a declarative mapping from field paths to canonical turns (key, turn, role, text). Of the nested field
+paths of a table (or of each JSON record), those that a layout names are sorted and hashed; where that hash is the
+layout's own, its mapping applies, and the mapping with most paths wins. Extra fields, also with names that another
+layout uses, do not disturb. Turns are then rendered with marks, control strings inside texts being escaped
 reversibly, together with the spans that count for the loss.
 
 Defined cases: a null text, role or key renders as empty text, empty role, or the one conversation whose key is null;
@@ -61,8 +62,9 @@ def _digest(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-def _known(layouts: list[Layout]) -> list[str]:
-    return sorted({p for layout in layouts for p in layout.paths})
+def _by_size(layouts: list[Layout]) -> list[Layout]:
+    """Most paths first."""
+    return sorted(layouts, key=lambda x: -len(x.paths))
 
 
 def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
@@ -74,9 +76,9 @@ def field_paths(kind: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def fingerprint(schema: T.StructType, layouts: list[Layout] | None = None) -> str:
-    """Hash of those field paths of a schema that some layout knows."""
-    return _digest(set(field_paths(schema)) & set(_known(layouts or LAYOUTS)))
+def fingerprint(schema: T.StructType, layout: Layout) -> str:
+    """Hash of those field paths of a schema that the layout names."""
+    return _digest(set(field_paths(schema)) & set(layout.paths))
 
 
 def _turn_array(layout: Layout, get) -> Column:
@@ -100,9 +102,7 @@ def _turn_array(layout: Layout, get) -> Column:
 def to_turns(df: DataFrame, key: str | None = None, layouts: list[Layout] | None = None) -> DataFrame:
     """Canonical turns (key, turn, role, text) of a table in any known layout. ``key`` names the record's column where
     the layout itself has none. A table in no known layout raises an error that lists its paths."""
-    layouts = layouts or LAYOUTS
-    print_ = fingerprint(df.schema, layouts)
-    layout = next((x for x in layouts if _digest(x.paths) == print_), None)
+    layout = next((x for x in _by_size(layouts or LAYOUTS) if fingerprint(df.schema, x) == _digest(x.paths)), None)
     if layout is None:
         raise ValueError(f"No layout for the fields {field_paths(df.schema)}.")
     if layout.rows:
@@ -117,16 +117,17 @@ def record_turns(df: DataFrame, key: str, json: str, layouts: list[Layout] | Non
     """Canonical turns of JSON records that may each have another layout: every record gets its own fingerprint from
     the known paths it holds. Adds ``layout``; a record of no known layout, or broken JSON, gives one row whose layout,
     turn, role and text are null, so nothing is lost unseen."""
-    layouts = [x for x in layouts or LAYOUTS if not x.rows]
-    known = _known(layouts)
-    # A column that the caller's table cannot have.
+    layouts = _by_size([x for x in layouts or LAYOUTS if not x.rows])
     record = df.select(F.col(f"`{key}`").alias("key"), F.try_parse_json(F.col(f"`{json}`")).alias("v"))
-    present = F.array(*[
-        F.when(F.try_variant_get("v", "$." + p.replace("[]", "[0]"), "variant").isNotNull(), F.lit(p)) for p in known])
-    record = record.withColumn("print", F.sha2(F.array_join(F.filter(present, lambda p: p.isNotNull()), "\n"), 256))
+
+    def print_of(layout: Layout) -> Column:
+        held = [F.when(F.try_variant_get("v", "$." + p.replace("[]", "[0]"), "variant").isNotNull(), F.lit(p))
+                for p in sorted(layout.paths)]
+        return F.sha2(F.array_join(F.array(*held), "\n"), 256)  # joining leaves out nulls
+
     names, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
-    for layout in layouts:
-        hit = F.col("print") == _digest(layout.paths)
+    for layout in reversed(layouts):
+        hit = print_of(layout) == _digest(layout.paths)
         get = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
         names = F.when(hit, F.lit(layout.name)).otherwise(names)
         turns = F.when(hit, _turn_array(layout, get)).otherwise(turns)
@@ -185,7 +186,7 @@ def read_chat(formatted: DataFrame) -> DataFrame:
                            blocks.alias("blocks"))
 
     def turn(block: Column) -> Column:
-        line = F.instr(block, "\n") if isinstance(block, str) else F.locate("\n", block)
+        line = F.locate("\n", block)
         body = F.substr(block, line + 1, F.length(block) - line - len(END))
         return F.struct(unescape_role(F.substring_index(block, "\n", 1)).alias("role"), unescape(body).alias("text"))
 
