@@ -3,8 +3,12 @@
 A text is cut by a pattern; each match is merged on its own. The queue holds, per merge rank, a bucket of positions in
 a linked list of parts; a hierarchy of 64-bit words marks the non-empty buckets, so find-first-set gives the next rank
 in a few steps however long the match is. Positions whose pair has changed since they were queued are stale and
-skipped. A match of n bytes takes O(n log n) time and O(n) memory. Matches repeat, so results are kept in a table of
-bounded size per worker.
+skipped. A match of n bytes takes O(n log n) time and O(n) memory.
+
+Matches repeat, so their ids are kept in a table of bounded size per worker, and the new short matches of many texts
+go through one queue together: matches do not touch each other, so the smallest rank of all is the smallest of each
+match that holds it, and a bucket's first position of every match is merged in one numpy step. Long matches have a
+queue to themselves.
 
 Defined cases: a null text encodes to no ids, as an empty one does; null ids decode to no bytes; a null inside ids
 is no id and raises an error, as does an id outside the vocabulary. The result column replaces a column of its name,
@@ -14,8 +18,7 @@ all other columns stay, and empty tables give empty tables.
 from __future__ import annotations
 
 import base64
-import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -25,8 +28,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 #: Ranks that a vocabulary may hold: what is sent to the executors is bounded by it.
 MAX_RANKS = 1 << 20
-#: Matches whose ids a worker keeps, and the longest match it keeps.
-KEPT, KEPT_BYTES = 1 << 18, 64
+#: Matches whose ids a worker keeps; longer matches (in bytes) have a queue to themselves and are not kept.
+KEPT, SHORT = 1 << 18, 256
+#: Characters of texts whose matches are held at once (a longer text alone).
+PIECE = 1 << 21
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,46 +44,46 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Buckets of positions per rank; ``pop`` gives the smallest rank's first position."""
+    """Buckets per rank below a hierarchy of 64-bit words that marks those in use."""
 
     def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list] = {}
         self.levels = [[0] * ((ranks + 63) // 64 or 1)]
         while len(self.levels[-1]) > 1:
             self.levels.append([0] * ((len(self.levels[-1]) + 63) // 64))
 
-    def push(self, rank: int, position: int) -> None:
+    def bucket(self, rank: int) -> list:
+        """The bucket of a rank, marked as in use."""
         bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
-            marked = level[word]
-            level[word] = marked | bit
-            if marked:
-                return
-            rank = word
+        if bucket is None:
+            bucket = self.buckets[rank] = []
+            for level in self.levels:
+                word, bit = rank >> 6, 1 << (rank & 63)
+                marked = level[word]
+                level[word] = marked | bit
+                if marked:
+                    break
+                rank = word
+        return bucket
 
-    def pop(self) -> tuple[int, int] | None:
+    def first(self) -> int | None:
+        """The smallest rank in use."""
         at = 0
         for level in reversed(self.levels):
             word = level[at]
             if not word:
                 return None
             at = (at << 6) | ((word & -word).bit_length() - 1)
-        bucket = self.buckets[at]
-        position, rank = heappop(bucket), at
-        if not bucket:
-            del self.buckets[at]
-            for level in self.levels:
-                word = at >> 6
-                level[word] &= ~(1 << (at & 63))
-                if level[word]:
-                    break
-                at = word
-        return rank, position
+        return at
+
+    def drop(self, rank: int) -> None:
+        del self.buckets[rank]
+        for level in self.levels:
+            word = rank >> 6
+            level[word] &= ~(1 << (rank & 63))
+            if level[word]:
+                return
+            rank = word
 
 
 def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
@@ -91,9 +96,12 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     pair: list[int | None] = [ranks.get(piece[i: i + 2]) for i in range(n - 1)] + [None]
     for i, rank in enumerate(pair):
         if rank is not None:
-            queue.push(rank, i)
-    while (found := queue.pop()) is not None:
-        rank, i = found
+            heappush(queue.bucket(rank), i)
+    while (rank := queue.first()) is not None:
+        bucket = queue.buckets[rank]
+        i = heappop(bucket)
+        if not bucket:
+            queue.drop(rank)
         if pair[i] != rank:
             continue
         gone = after[i]
@@ -101,16 +109,14 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
         pair[gone] = None
         if end < n:
             before[end] = i
-            pair[i] = ranks.get(piece[i: after[end]])
-            if pair[i] is not None:
-                queue.push(pair[i], i)
-        else:
-            pair[i] = None
+        pair[i] = ranks.get(piece[i: after[end]]) if end < n else None
+        if pair[i] is not None:
+            heappush(queue.bucket(pair[i]), i)
         left = before[i]
         if left >= 0:
             pair[left] = ranks.get(piece[left:end])
             if pair[left] is not None:
-                queue.push(pair[left], left)
+                heappush(queue.bucket(pair[left]), left)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i: after[i]]])
@@ -118,25 +124,123 @@ def merge(piece: bytes, ranks: dict[bytes, int], queue: RankQueue) -> list[int]:
     return out
 
 
-class Encoder(dict):
-    """Match to ids, filled on demand and emptied when full."""
+class PairRanks:
+    """Rank of the joined bytes of two ids, or -1, for arrays of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values(), default=0) + 1
+        found = {(ranks[token[:cut]] * self.size + ranks[token[cut:]]): rank for token, rank in ranks.items()
+                 for cut in range(1, len(token)) if token[:cut] in ranks and token[cut:] in ranks}
+        self.keys = np.array(sorted(found), np.int64)
+        self.ranks = np.array([found[k] for k in self.keys.tolist()] + [-1], np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.size + right
+        at = np.searchsorted(self.keys, key)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == key, self.ranks[at], -1) if len(self.keys) else np.full(len(key), -1)
+
+
+def merge_many(pieces: list[bytes], ranks: dict[bytes, int], pairs: PairRanks, queue: RankQueue) -> list[bytes]:
+    """``merge`` for many matches that are no tokens themselves, through one queue; ids as packed 32-bit numbers."""
+    lengths = np.array([len(p) for p in pieces])
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    n = int(first[-1])
+    piece = np.repeat(np.arange(len(pieces)), lengths)
+    single = np.array([ranks.get(bytes([b]), -1) for b in range(256)])
+    ids = single[np.frombuffer(b"".join(pieces), np.uint8)]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[first[1:] - 1] = -1
+    before[first[:-1]] = -1
+    pair = np.full(n, -1)
+
+    def queued(at: np.ndarray, rank: np.ndarray) -> None:
+        """Sets the pairs at some positions and adds these to the buckets of their ranks."""
+        pair[at] = rank
+        at, rank = at[rank >= 0], rank[rank >= 0]
+        if len(at) > 1:
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, lo, hi in zip(rank[[0, *cuts]].tolist(), [0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+                queue.bucket(r).append(at[lo:hi])
+        elif len(at):
+            queue.bucket(int(rank[0])).append(at)
+
+    at = np.flatnonzero(after >= 0)
+    queued(at, pairs(ids[at], ids[after[at]]))
+    while (rank := queue.first()) is not None:
+        at = queue.buckets[rank]
+        at = np.sort(np.concatenate(at)) if len(at) > 1 else at[0]
+        queue.drop(rank)
+        at = at[pair[at] == rank]
+        if len(at) > 1:
+            leads = np.ones(len(at), bool)
+            leads[1:] = piece[at[1:]] != piece[at[:-1]]
+            if not leads.all():
+                queue.bucket(rank).append(at[~leads])
+                at = at[leads]
+        if not len(at):
+            continue
+        gone = after[at]
+        end = after[gone]
+        after[at], ids[at], ids[gone], pair[gone], pair[at] = end, rank, -1, -1, -1
+        on = end >= 0
+        before[end[on]] = at[on]
+        left = before[at]
+        left = left[left >= 0]
+        start = np.concatenate([left, at[on]])
+        queued(start, pairs(ids[start], ids[after[start]]))
+    live = np.flatnonzero(ids >= 0)
+    ends = (4 * np.searchsorted(live, first)).tolist()
+    flat = ids[live].astype(np.int32).tobytes()
+    return [flat[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]
+
+
+class Encoder:
+    """Texts to ids, with a table from match to ids that is emptied when full."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__()
         self.ranks, self.find = ranks, regex.compile(pattern).findall
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-
-    def __missing__(self, match: str) -> tuple[int, ...]:
-        ids = tuple(merge(match.encode(), self.ranks, self.queue))
-        if len(match) <= KEPT_BYTES:
-            if len(self) >= KEPT:
-                self.clear()
-            self[match] = ids
-        return ids
+        self.pairs, self.queue = PairRanks(ranks), RankQueue(max(ranks.values(), default=0) + 1)
+        self.kept: dict[str, bytes] = {}
+
+    def _learn(self, matches: set[str]) -> dict[str, bytes]:
+        """Packed ids of all matches: the kept table, or a copy with the long matches."""
+        if len(self.kept) + len(matches) > KEPT:
+            self.kept = {}
+        short, long = [], {}
+        for match in matches - self.kept.keys():
+            piece = match.encode()
+            if piece in self.ranks:
+                self.kept[match] = np.int32(self.ranks[piece]).tobytes()
+            elif len(piece) > SHORT:
+                long[match] = np.array(merge(piece, self.ranks, self.queue), np.int32).tobytes()
+            else:
+                short.append((match, piece))
+        if short:
+            names, pieces = zip(*short)
+            self.kept.update(zip(names, merge_many(list(pieces), self.ranks, self.pairs, self.queue)))
+        return {**self.kept, **long} if long else self.kept
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Packed ids of every text; the matches of some texts are held at once."""
+        waiting, size = [], 0
+        for text in texts:
+            if waiting and size + len(text) > PIECE:
+                yield from self._encode(waiting)
+                waiting, size = [], 0
+            waiting.append(self.find(text))
+            size += len(text)
+        yield from self._encode(waiting)
+
+    def _encode(self, cut: list[list[str]]) -> Iterator[bytes]:
+        known = self._learn(set().union(*cut))
+        for matches in cut:
+            yield b"".join(map(known.__getitem__, matches))
 
     def encode(self, text: str) -> np.ndarray:
-        parts = map(self.__getitem__, self.find(text))
-        return np.fromiter(itertools.chain.from_iterable(parts), np.int32)
+        return np.frombuffer(next(self.encode_all([text])), np.int32)
 
 
 _WORKER: dict[int, object] = {}
@@ -158,9 +262,10 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _once(shared, lambda value: Encoder(*value))
         for batch in batches:
-            found = [encoder.encode(t or "") for t in batch.to_pylist()]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+            found = list(encoder.encode_all(t.as_py() or "" for t in batch))
+            ends = np.cumsum([0, *map(len, found)]) // 4
+            flat = np.frombuffer(b"".join(found), np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
 
     apply = F.arrow_udf(run, "array<int>")
     return df.withColumn(ids, apply(F.col(f"`{text}`").cast("string")))
@@ -173,8 +278,8 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", data: str =
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = {rank: token for token, rank in shared.value.items()}
         for batch in batches:
-            lists = [x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else [] for x in batch]
-            yield pa.array([b"".join(map(tokens.__getitem__, x)) for x in lists], pa.binary())
+            yield pa.array((b"".join(map(tokens.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist()))
+                            if x.is_valid else b"" for x in batch), pa.binary())
 
     return df.withColumn(data, F.arrow_udf(run, "binary")(F.col(f"`{ids}`")))
 

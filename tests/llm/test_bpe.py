@@ -2,12 +2,13 @@
 
 import hashlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
-from geoloom.llm.bpe import Encoder, RankQueue, decode, encode, load_ranks
+from geoloom.llm.bpe import Encoder, RankQueue, decode, encode, load_ranks, merge
 from geoloom.llm.bpe_query import VOCABULARY, op1_bpe
 from tests.conftest import SF_DIR
 
@@ -16,13 +17,26 @@ ENCODER = Encoder(RANKS, public_tokenizers.PATTERN)
 REFERENCE = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
-def test_queue_pops_ranks_in_order_then_positions():
+def test_queue_gives_ranks_in_order():
     queue = RankQueue(100_000)
-    entries = [(77_777, 3), (5, 9), (77_777, 1), (5, 2), (64, 0), (63, 0)]
-    for e in entries:
-        queue.push(*e)
-    assert [queue.pop() for _ in entries] == sorted(entries)
-    assert queue.pop() is None and not any(map(any, queue.levels))
+    for rank in (77_777, 5, 64, 63, 5):
+        queue.bucket(rank).append(rank)
+    seen = []
+    while (rank := queue.first()) is not None:
+        seen.append((rank, len(queue.buckets[rank])))
+        queue.drop(rank)
+    assert seen == [(5, 2), (63, 1), (64, 1), (77_777, 1)] and not any(map(any, queue.levels))
+
+
+def test_merges_by_rank_then_from_the_left():
+    # Here a new pair has a smaller rank than the one it came from, and runs overlap.
+    ranks = {bytes([b]): b for b in range(256)} | {b"aba": 300, b"ab": 301, b"aa": 302, b"abab": 303}
+    own = tiktoken.Encoding("own", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+    encoder = Encoder(ranks, r"\S+")
+    texts = ["abab", "ababab", "aaaaa", "aabab" * 9, "babaab", "ab" * 200, "a" * 301]
+    for text, ids in zip(texts, encoder.encode_all(texts)):
+        assert np.frombuffer(ids, np.int32).tolist() == own.encode_ordinary(text)
+        assert merge(text.encode(), ranks, encoder.queue) == own.encode_ordinary(text)
 
 
 @settings(max_examples=300, deadline=None)
