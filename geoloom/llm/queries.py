@@ -1,8 +1,8 @@
 """The registered queries of the subpackage."""
 
-from geoloom.llm import bpe_query, chat_query, decontaminate_query, html_query, langid_query, neighbours_query, quality_query, urls_query
+from geoloom.llm import bpe_query, chat_query, decontaminate_query, html_query, jaccard_query, langid_query, neighbours_query, quality_query, urls_query
 
-MODULES = [bpe_query, chat_query, neighbours_query, urls_query, decontaminate_query, quality_query, langid_query,
+MODULES = [bpe_query, chat_query, jaccard_query, neighbours_query, urls_query, decontaminate_query, quality_query, langid_query,
            html_query]
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}

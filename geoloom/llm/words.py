@@ -103,12 +103,17 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int = 5) -> tuple
     """Hashes of every text's runs of ``size`` words (a shorter text is one run), and each text's first run."""
     factors = mix(np.arange(1, size + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
     n = np.diff(first)
+    marks = mix(np.arange(size + 1, dtype=np.uint64) + _BASE)  # tells runs of different lengths apart
     runs = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     first_run = np.concatenate([[0], np.cumsum(runs)])
-    text = np.repeat(np.arange(len(n)), runs)
-    at = first[text] + np.arange(len(text)) - first_run[text]
-    total = np.repeat(np.minimum(n, size), runs).astype(np.uint64) * _BASE
-    for k in range(size):
-        there = at + k < first[text + 1]
-        total[there] += words[at[there] + k] * factors[k]
+    at = np.repeat(first[:-1] - first_run[:-1], runs) + np.arange(first_run[-1])
+    whole = words[: max(0, len(words) - size + 1)] * factors[0]
+    for k in range(1, size):
+        whole += words[k: len(words) - size + 1 + k] * factors[k]
+    total = np.empty(len(at), np.uint64)
+    full = np.repeat(n >= size, runs)
+    total[full] = whole[at[full]] + marks[size]
+    for text in np.flatnonzero((n > 0) & (n < size)):
+        part = words[first[text]: first[text + 1]]
+        total[first_run[text]: first_run[text] + 1] = (part * factors[: len(part)]).sum(dtype=np.uint64, keepdims=True) + marks[len(part)]
     return mix(total), first_run
