@@ -1,4 +1,4 @@
-"""The workspace: datasets, guarded SQL, capped results with lineage, inspection and scenes."""
+"""The workspace: datasets, guarded SQL, stored results with lineage, inspection and scenes."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from geoloom.functions.geo import as_number, focus_altitude, is_finite, quoted, relative_altitude
 from geoloom.functions.roles import infer_roles
@@ -21,10 +21,10 @@ from geoloom.plans.guard import GuardedQuery, guard
 from geoloom.plans.scenes import Scene, normalize_scene, scene_extent, scene_marks
 from geoloom.session import materialise
 from geoloom.sources.catalog import Catalog, Dataset
-from geoloom.sources.readers import MAX_FILE_BYTES, file_bytes, format_of, from_records, read_csv, read_parquet
+from geoloom.sources.readers import file_bytes, format_of, from_records, read_csv, read_parquet
 
-RESULT_CAP = 25_000
-IMPORT_CAP = 100_000
+#: Bits of an increasing id that hold a row's place within its partition.
+PLACE_BITS = 33
 PAGE_SIZE = 10
 PAGE_COLUMNS = 5
 SAMPLE_ROWS = 5
@@ -65,7 +65,8 @@ class RelationInfo:
 class Workspace:
     """Names, results and the current scene of one session."""
 
-    def __init__(self, spark: SparkSession, result_cap: int = RESULT_CAP):
+    def __init__(self, spark: SparkSession, result_cap: int | None = None):
+        """``result_cap`` bounds the rows of every result of this workspace; without it results are whole."""
         self.spark = spark
         self.catalog = Catalog(spark)
         self.result_cap = result_cap
@@ -85,21 +86,21 @@ class Workspace:
     def load_dataset(
         self, name: str, path: str | None = None, records: list[dict] | None = None, format: str | None = None,
         title: str | None = None, source_url: str | None = None, organization: str | None = None,
-        license: str | None = None,
+        license: str | None = None, max_bytes: int | None = None,
     ) -> RelationInfo:
-        """Adds a CSV or Parquet path, of which at most 100,000 rows are kept, or up to 500 records."""
+        """Adds a CSV or Parquet path, or up to 500 records. ``max_bytes`` refuses larger files; all rows are kept."""
         if (path is None or not path.strip()) == (records is None):
             raise ValueError("Provide exactly one of path or records.")
         relation = relation_name(name)
         if relation in self.catalog:
-            raise ValueError(f"A dataset named {relation} already exists.")
+            raise ValueError(f"The name {relation} is taken; choose another one for this dataset.")
         if records is not None:
             df = from_records(self.spark, records)
         else:
             reader = read_parquet if format_of(path, format) == "parquet" else read_csv
-            if file_bytes(self.spark, path.split("?")[0]) > MAX_FILE_BYTES:
-                raise ValueError("Loaded files are limited to 50 MiB.")
-            df = reader(self.spark, path.split("?")[0]).limit(IMPORT_CAP)
+            if max_bytes is not None and file_bytes(self.spark, path.split("?")[0]) > max_bytes:
+                raise ValueError(f"The files hold more than {max_bytes} bytes.")
+            df = reader(self.spark, path.split("?")[0])
         _refuse_duplicate_names(df.columns)
         kept = materialise(df)
         inline = records is not None
@@ -120,13 +121,13 @@ class Workspace:
     # SQL and results
 
     def execute_sql(self, sql: str, title: str = "SQL result", actor: str = "user") -> Result:
-        """Runs one reading query and saves at most the capped number of rows as ``_result_NNNN``."""
+        """Runs one reading query and saves its rows, in order, as ``_result_NNNN``."""
         started = time.monotonic()
         query = self._guarded(sql)
         return self._save(self.spark.sql(query.sql), title, actor, query.sql, query.relations, started)
 
     def query(self, sql: str) -> DataFrame:
-        """The same guarded query as a lazy DataFrame of all its rows, for work beyond the cap."""
+        """The same guarded query as a lazy DataFrame that is not saved."""
         return self.spark.sql(self._guarded(sql).sql)
 
     def _guarded(self, sql: str) -> GuardedQuery:
@@ -137,21 +138,35 @@ class Workspace:
         return query
 
     def save_frame(self, df: DataFrame, title: str, sources: tuple[str, ...] = (), actor: str = "user") -> Result:
-        """Saves a DataFrame, such as a named report, as a result under the same cap."""
+        """Saves a DataFrame, such as a named report, as a result."""
         return self._save(df, title, actor, None, sources, time.monotonic())
 
     def _save(self, df, title, actor, sql, sources, started) -> Result:
+        """Stores rows in the partitions and the order that the query gave them. A row's index is its place within its
+        partition plus the rows of the partitions before, which are counted after storing. A result is truncated if
+        the cap cut it or anything it was read from."""
         _refuse_duplicate_names(df.columns)
         self._sequence += 1
         result_id = f"result_{self._sequence:04d}"
-        # The cap bounds these rows, so one partition may hold them in order.
-        capped = df.limit(self.result_cap + 1).coalesce(1).withColumn(ROW_INDEX, F.monotonically_increasing_id())
-        stored = materialise(capped)
-        fetched = stored.count()
+        wanted = df if self.result_cap is None else df.limit(self.result_cap + 1)
+        stored = materialise(wanted.withColumn(ROW_INDEX, F.monotonically_increasing_id()))
+        part = F.shiftright(ROW_INDEX, PLACE_BITS)
+        sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+        # One row for each partition of the result.
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = materialise(sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))))
+        fetched = offsets.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+        place = F.col(ROW_INDEX).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+        indexed = stored.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(
+            ROW_INDEX, F.col("_before") + place).drop("_part", "_before", "_rows")
+        rows, cut = fetched, False
+        if self.result_cap is not None and fetched > self.result_cap:
+            indexed, rows, cut = indexed.where(F.col(ROW_INDEX) < self.result_cap), self.result_cap, True
+        parents = [r for r in self.results.values() if r.relation in sources]
         return self.register_result(
-            stored.where(F.col(ROW_INDEX) < self.result_cap), id=result_id, title=title, sql=sql,
-            row_count=min(fetched, self.result_cap), truncated=fetched > self.result_cap, sources=tuple(sources),
-            created_at=_now(), duration_ms=round((time.monotonic() - started) * 1000), actor=actor,
+            indexed, id=result_id, title=title, sql=sql, row_count=rows,
+            truncated=cut or any(r.truncated for r in parents), sources=tuple(sources), created_at=_now(),
+            duration_ms=round((time.monotonic() - started) * 1000), actor=actor,
         )
 
     def register_result(self, indexed: DataFrame, id: str, **fields) -> Result:
@@ -190,18 +205,20 @@ class Workspace:
         return self.spark.createDataFrame(edges, "result string, parent string")
 
     def ancestry(self) -> DataFrame:
-        """All direct and indirect parents: (result, ancestor, distance)."""
-        return self.spark.sql(
-            """
-            WITH RECURSIVE up(result, ancestor, distance) AS (
-              SELECT result, parent, 1 FROM {edges}
-              UNION ALL
-              SELECT up.result, e.parent, up.distance + 1 FROM up JOIN {edges} e ON up.ancestor = e.result
-            )
-            SELECT result, ancestor, min(distance) AS distance FROM up GROUP BY result, ancestor
-            """,
-            edges=self.lineage(),
-        )
+        """All direct and indirect parents: (result, ancestor, distance), by the distance of the shortest way.
+
+        Each step follows one more parent from the pairs found last and keeps those not found before, so every pair
+        is expanded once, however many ways lead to it.
+        """
+        edges = materialise(self.lineage().distinct())
+        found = newest = edges.select("result", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
+        step = edges.select(F.col("result").alias("ancestor"), F.col("parent").alias("next"))
+        while not newest.isEmpty():
+            further = newest.join(step, "ancestor").select(
+                "result", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance")).distinct()
+            newest = materialise(further.join(found, ["result", "ancestor"], "left_anti"))
+            found = materialise(found.unionByName(newest))
+        return found
 
     def page(self, result_id: str, page: int = 1, size: int = PAGE_SIZE, max_columns: int = PAGE_COLUMNS):
         """(rows of a 1-based page, page shown, number of pages); the page is clamped to the result."""
@@ -262,7 +279,8 @@ class Workspace:
         cleaned = name.lower() if name in self.catalog else relation_name(name)
         if cleaned in self.catalog:
             df, provenance, relation = self.catalog.frame(cleaned), self.catalog.entry(cleaned), cleaned
-            rows = df.count()
+            # Counted when it was loaded, or now.
+            rows = provenance.row_count if provenance.row_count is not None else df.count()
         elif found is not None:
             df, provenance, relation = self._frames[found.id].drop(ROW_INDEX), found, found.relation
             rows = found.row_count

@@ -101,7 +101,7 @@ class Catalog:
             raise ValueError(f"{dataset.relation!r} is not a normalised relation name.")
         with self._guard:
             if dataset.relation in self._datasets:
-                raise ValueError(f"A dataset named {dataset.relation} already exists.")
+                raise ValueError(f"The name {dataset.relation} is taken by another dataset.")
             self._datasets[dataset.relation] = dataset
             self._locks[dataset.relation] = threading.Lock()
 

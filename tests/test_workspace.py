@@ -63,11 +63,36 @@ def test_cap_and_truncation(spark):
     assert values(ws.result_frame(literal.id).orderBy("_row_index"), "_row_index") == [(0,), (1,), (2,)]
 
 
-def test_default_cap(spark):
+def test_whole_results_by_default(spark):
     ws = Workspace(isolated_session(spark))
-    flags = [ws.execute_sql(f"select id from range({n})").truncated for n in (24_999, 25_000, 25_001)]
-    assert flags == [False, False, True]
-    assert ws.query("select id from range(25001)").count() == 25_001
+    result = ws.execute_sql("select id, id % 7 as k from range(150000) order by k, id desc")
+    assert (result.row_count, result.truncated) == (150_000, False)
+    got = ws.result_frame(result.id)
+    assert got.agg({"_row_index": "max"}).first()[0] == 149_999 and got.select("_row_index").distinct().count() == 150_000
+    want = sorted(range(150_000), key=lambda i: (i % 7, -i))
+    assert values(got.where("_row_index % 9973 = 0").orderBy("_row_index"), "id") == [(i,) for i in want[::9973]]
+    page, shown, pages = ws.page(result.id, 15_000)
+    assert (shown, pages) == (15_000, 15_000) and [r.id for r in page.orderBy("_row_index").collect()] == want[-10:]
+
+
+def test_children_of_cut_results_are_cut(spark):
+    ws = Workspace(isolated_session(spark), result_cap=100)
+    parent = ws.execute_sql("select id from range(1000)")
+    child = ws.execute_sql(f"select count(*) as n from {parent.relation}")
+    assert parent.truncated and child.truncated
+    assert not ws.execute_sql("select 1 as a").truncated
+
+
+def test_ancestry_of_a_long_chain_with_many_ways(spark):
+    ws = Workspace(isolated_session(spark))
+    one = spark.createDataFrame([(1,)], "a int").withColumn("_row_index", F.lit(0))
+    for i in range(1, 41):
+        sources = tuple(f"_r{j:03d}" for j in (i - 1, i - 2) if j > 0)
+        ws.register_result(one, id=f"r{i:03d}", title="t", sql=None, row_count=1, truncated=False, sources=sources,
+                           created_at="", duration_ms=0, actor="user")
+    found = ws.ancestry()
+    assert found.count() == 40 * 39 // 2
+    assert found.where("result = '_r040' and ancestor = '_r001'").first()["distance"] == 20
 
 
 def test_lineage_of_chained_results(ws):

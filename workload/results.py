@@ -1,11 +1,10 @@
-"""Guarded SQL, capped results, pages and snapshots (Q)."""
+"""Guarded SQL, stored results, pages and snapshots (Q)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from geoloom.functions.geo import rounded
-from geoloom.plans.workspace import RESULT_CAP
 from geoloom.session import scratch_path
 from geoloom.sources.snapshots import load_snapshot, read_snapshots, snapshot_contract, write_snapshot
 from workload.base import workspace
@@ -131,11 +130,11 @@ SQL = {
         AS a(result, ancestor, distance)""",
     "I2_workspace": f"""SELECT 'dataset' AS kind, 'orders' AS relation, CAST(NULL AS BIGINT) AS rows, false AS active
         UNION ALL SELECT 'dataset', 'customer', NULL, false
-        UNION ALL SELECT 'result', '_result_0001', least({RESULT_CAP}, count(DISTINCT o_custkey)), false FROM orders
+        UNION ALL SELECT 'result', '_result_0001', count(DISTINCT o_custkey), false FROM orders
         UNION ALL SELECT 'result', '_result_0002', count(DISTINCT c_nationkey), false FROM customer JOIN orders ON c_custkey = o_custkey
         UNION ALL SELECT 'result', '_result_0003', 1, true""",
-    "G10_scene_camera": f"""WITH large AS ({PLACED} LIMIT {RESULT_CAP}), pending AS (SELECT o_orderkey AS id, {SPREAD} FROM orders
-          WHERE o_orderstatus = 'P' ORDER BY o_orderkey LIMIT {RESULT_CAP}),
+    "G10_scene_camera": f"""WITH large AS ({PLACED}), pending AS (SELECT o_orderkey AS id, {SPREAD} FROM orders
+          WHERE o_orderstatus = 'P' ORDER BY o_orderkey),
         places AS (SELECT 'large_orders' AS layer_id, latitude, longitude FROM large
           UNION ALL SELECT 'pending', latitude, longitude FROM pending),
         centre AS (SELECT avg(latitude) AS lat, degrees(atan2(sum(sin(radians(longitude))), sum(cos(radians(longitude))))) AS lon,
@@ -145,23 +144,23 @@ SQL = {
         SELECT layer_id, count(*) AS marks, (SELECT n FROM centre) AS locations,
           (SELECT round(greatest(greatest(1.6e0, least(3e0, 0.72e0 + deg / 65e0)), 1.25e0), 6) FROM spread) AS view_altitude
         FROM places GROUP BY layer_id""",
-    "V4_snapshot_contract": f"""SELECT 'orders' AS defaultSceneId, true AS passed, least({RESULT_CAP}, count(*)) AS rows
+    "V4_snapshot_contract": f"""SELECT 'orders' AS defaultSceneId, true AS passed, count(*) AS rows
         FROM orders WHERE o_totalprice >= 300000""",
     "Q2_execute_sql": SUMMARY,
     "L3_result_cap": f"""SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey,
           l_extendedprice) - 1 AS _row_index, l_orderkey, l_linenumber, l_quantity FROM lineitem
-        ORDER BY _row_index LIMIT {RESULT_CAP}""",
+        ORDER BY _row_index""",
     "Q3_truncation": " UNION ALL ".join(
-        f"SELECT '{t}' AS title, least(count(*), {RESULT_CAP}) AS row_count, count(*) > {RESULT_CAP} AS truncated FROM {t}"
+        f"SELECT '{t}' AS title, count(*) AS row_count, false AS truncated FROM {t}"
         for t in ("events", "orders", "lineitem")),
-    "Q5_requery": f"""WITH first AS ({TOTALS} LIMIT {RESULT_CAP})
+    "Q5_requery": f"""WITH first AS ({TOTALS})
         SELECT o_orderstatus, count(*) AS orders, max(quantity) AS largest
         FROM first JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus""",
     "Q6_page": """SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS _row_index, o_orderkey, o_custkey,
         o_totalprice, o_orderstatus, o_orderpriority FROM orders ORDER BY _row_index LIMIT 10 OFFSET 20""",
-    "Q8_row_detail": f"""WITH placed AS ({PLACED}), found AS (SELECT *, least(count(*) OVER (), {RESULT_CAP}) AS n,
+    "Q8_row_detail": f"""WITH placed AS ({PLACED}), found AS (SELECT *, count(*) OVER () AS n,
           row_number() OVER (ORDER BY magnitude DESC, event_id) AS i FROM placed)
         SELECT name AS label, 'event_id' AS first_field, CAST(event_id AS VARCHAR) AS first_value,
           i || ' of ' || n AS position, latitude, longitude, 0.75e0 AS view_altitude FROM found WHERE i = 8""",
-    "Q12_snapshot_replay": f"{PLACED} LIMIT {RESULT_CAP}",
+    "Q12_snapshot_replay": PLACED,
 }
