@@ -17,7 +17,7 @@ PLAN_NODES = {
     "Aggregate", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin",
     "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "PipeOperator", "Pivot", "Project", "Sample", "Sort",
     "SubqueryAlias", "Union", "UnionLoop", "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable",
-    "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction", "UnresolvedWith",
+    "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTVFAliases", "UnresolvedTableValuedFunction", "UnresolvedWith",
     "Unpivot", "WithWindowDefinition",
 }
 TABLE_FUNCTIONS = {
@@ -43,7 +43,7 @@ def guard(spark: SparkSession, sql: str | None, known: Iterable[str]) -> Guarded
     """Accepts a single SELECT or WITH query over known relations, else raises :class:`RefusedQuery`."""
     text = re.sub(r";+\s*\Z", "", (sql or "").strip()).strip()
     if not text:
-        raise RefusedQuery("Enter a query first.")
+        raise RefusedQuery("There is no query text.")
     if len(text) > MAX_LENGTH:
         raise RefusedQuery(f"A query may have at most {MAX_LENGTH} characters.")
     if not re.match(r"(select|with)\b", text, re.IGNORECASE):
