@@ -60,5 +60,14 @@ def short_text(text: Column) -> Column:
 
 
 def float_key_text(value: Column) -> Column:
-    """Plain decimal text of a floating-point key, without an exponent (``300234062328360.0``)."""
-    return value.cast("decimal(20,1)").cast("string")
+    """Plain decimal text of a floating-point key with all its digits and no exponent (``300234062328360.0``)."""
+    text = value.cast("double").cast("string")
+    form = r"\A(-?)(\d)\.(\d+)E(-?\d+)\z"
+    sign, lead, rest = (F.regexp_extract(text, form, i) for i in (1, 2, 3))
+    rest = F.when(rest == "0", "").otherwise(rest)
+    power = F.try_to_number(F.regexp_extract(text, form, 4), F.lit("S999")).cast("int")
+    digits = F.concat(lead, rest)
+    whole = F.concat(F.rpad(digits, power + 1, "0"), F.lit("."), F.coalesce(
+        F.nullif(F.substr(rest, power + 1), F.lit("")), F.lit("0")))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    return F.when(text.rlike(form), F.concat(sign, F.when(power >= 0, whole).otherwise(small))).otherwise(text)

@@ -60,13 +60,15 @@ def lookup_join(
 ) -> DataFrame:
     """Joins ``rows`` to a ``table`` with one row per key; hot keys of ``rows`` are salted.
 
-    Rows of a hot key are spread over its parts and the table's single row is repeated for each part.
+    Rows of a hot key are spread over its parts and the table's single row is repeated for each part. Rows without a
+    key match nothing and are spread by their hash.
     """
     hot = hot_groups(rows.where(quoted(key).isNotNull()), [key], policy)
     # At most policy.max_groups rows, see HotPolicy.
     hot = F.broadcast(hot)
     salted = rows.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_parts").isNull(), F.lit(0).cast("bigint"))
+        "_salt", F.when(quoted(key).isNull(), F.pmod(row_hash(rows), F.lit(1 << 20)))
+        .when(F.col("_parts").isNull(), F.lit(0).cast("bigint"))
         .otherwise(F.pmod(row_hash(rows), F.col("_parts"))),
     ).drop("_parts")
     repeated = table.join(hot, key, "left").withColumn(

@@ -7,6 +7,7 @@ import re
 import time
 from dataclasses import asdict, dataclass
 from datetime import datetime, timezone
+from functools import reduce
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
@@ -86,9 +87,10 @@ class Workspace:
     def load_dataset(
         self, name: str, path: str | None = None, records: list[dict] | None = None, format: str | None = None,
         title: str | None = None, source_url: str | None = None, organization: str | None = None,
-        license: str | None = None, max_bytes: int | None = None,
+        license: str | None = None, max_bytes: int | None = None, multi_line: bool = False,
     ) -> RelationInfo:
-        """Adds a CSV or Parquet path, or up to 500 records. ``max_bytes`` refuses larger files; all rows are kept."""
+        """Adds a CSV or Parquet path, or up to 500 records. ``max_bytes`` refuses larger files; all rows are kept.
+        ``multi_line`` reads CSV cells with line breaks."""
         if (path is None or not path.strip()) == (records is None):
             raise ValueError("Provide exactly one of path or records.")
         relation = relation_name(name)
@@ -97,10 +99,11 @@ class Workspace:
         if records is not None:
             df = from_records(self.spark, records)
         else:
-            reader = read_parquet if format_of(path, format) == "parquet" else read_csv
             if max_bytes is not None and file_bytes(self.spark, path.split("?")[0]) > max_bytes:
                 raise ValueError(f"The files hold more than {max_bytes} bytes.")
-            df = reader(self.spark, path.split("?")[0])
+            place = path.split("?")[0]
+            df = read_parquet(self.spark, place) if format_of(path, format) == "parquet" else read_csv(
+                self.spark, place, multi_line=multi_line)
         _refuse_duplicate_names(df.columns)
         kept = materialise(df)
         inline = records is not None
@@ -289,6 +292,13 @@ class Workspace:
         schema = tuple((f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields)
         return RelationInfo(relation, rows, schema, df.limit(SAMPLE_ROWS), infer_roles(df.columns), provenance)
 
+    def relation_sizes(self) -> DataFrame:
+        """Rows and columns of every dataset, in one query."""
+        frames = [(name, self.catalog.frame(name)) for name in self.catalog.names()]
+        return reduce(DataFrame.unionByName, [df.agg(
+            F.lit(name).alias("relation"), F.count(F.lit(1)).alias("rows"),
+            F.lit(len(df.columns)).cast("bigint").alias("columns")) for name, df in frames])
+
     def compact_relation(self, name: str) -> dict:
         """The same, short enough for a message: 2 rows, 10 columns with roles first, 12 schema fields."""
         info = self.inspect_relation(name)
@@ -358,7 +368,12 @@ def compact_sample(df: DataFrame, roles: dict) -> DataFrame:
     """2 rows of at most 10 columns, role columns first, with long text and arrays cut."""
     first = [roles[r] for r in ("label", "latitude", "longitude", "altitude", "geometry", "group", "order", "size")]
     names = list(dict.fromkeys([*[c for c in first if c], *df.columns]))[:SHORT_COLUMNS]
-    return df.limit(SHORT_ROWS).select(*[_compact(quoted(n), df.schema[n].dataType).alias(n) for n in names])
+    return compact_values(df.limit(SHORT_ROWS).select(*[quoted(n) for n in names]))
+
+
+def compact_values(df: DataFrame) -> DataFrame:
+    """All rows with long text, arrays and structs cut."""
+    return df.select(*[_compact(quoted(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def _compact(value, dtype: T.DataType):

@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 MAX_RECORDS = 500
 MICROSECOND_PATTERN = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
-MAX_FILE_BYTES = 50 * 1024 * 1024
+#: Cells may be quoted, and a quote inside a quoted cell is doubled.
+CSV_FORM = {"header": True, "quote": '"', "escape": '"'}
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with a header. Types are inferred, at the cost of one more pass, only without a schema."""
-    reader = spark.read.option("header", True)
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False
+) -> DataFrame:
+    """CSV with a header. Types are inferred, at the cost of one more pass, only without a schema. With
+    ``multi_line`` cells may hold line breaks; files are then not split."""
+    reader = spark.read.options(**CSV_FORM, multiLine=multi_line)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV with a header and every column as text."""
-    return spark.read.option("header", True).csv(path)
+    return spark.read.options(**CSV_FORM, multiLine=multi_line).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -170,3 +170,18 @@ def test_roles(spark):
     got = {(r[0], r[1]): r[2] for r in roles_of_tables(df).collect()}
     want = {(t, role): c for t, cs in tables.items() for role, c in infer_roles(cs).items() if c}
     assert got == want
+
+
+def test_key_text_keeps_every_digit(spark):
+    for value, text in ((1.23, "1.23"), (1.24, "1.24"), (1e20, "100000000000000000000.0"), (-2.5e-7, "-0.00000025"),
+                        (12345678.25, "12345678.25"), (0.0, "0.0"), (1.5e8, "150000000.0")):
+        assert one(spark, float_key_text(F.lit(value))) == text
+
+
+def test_addresses_in_other_forms(spark):
+    local = ["https://2130706433/", "https://0177.0.0.1/", "https://0x7f.1/", "https://10.1/", "https://0xC0A80001/",
+             "https://127.0.0.1./", "https://[::1]:8/"]
+    public = ["https://a_b.example.com/x", "https://münchen.example/", "https://134744072/", "https://8.8.8.8:443/", "https://1.2.3.4.5/"]
+    df = spark.createDataFrame([(u,) for u in local + public], "u string")
+    got = {r[0]: r[1] for r in df.select("u", is_public_https(F.col("u"))).collect()}
+    assert not any(got[u] for u in local) and all(got[u] for u in public)

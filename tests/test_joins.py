@@ -125,3 +125,12 @@ def test_regions_plan_no_loop(spark):
     for limit in (10, 0):
         plan = assign_region(points, edges, "id", key="i", broadcast_edges=limit)._jdf.queryExecution().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rows_without_a_key_are_spread(spark):
+    rows = spark.range(20_000).selectExpr("CASE WHEN id < 20 THEN id END AS k", "id AS v")
+    table = spark.range(20).selectExpr("id AS k", "id * 2 AS w")
+    joined = lookup_join(rows, table, "k")
+    assert joined.count() == 20_000 and joined.where("w IS NOT NULL").count() == 20
+    salts = rows.where("k IS NULL").select(F.pmod(F.xxhash64("v"), F.lit(1 << 20)).alias("s")).distinct().count()
+    assert salts > 19_000

@@ -41,7 +41,7 @@ def write_relations(spark, base):
     square = json.dumps({"type": "Polygon", "coordinates": [[[0, 0], [5, 0], [5, 5], [0, 0]]]}).replace('"', '""')
     lines = ["country_id,name,center_latitude,center_longitude,area_km2,geometry_geojson"]
     lines += [f'{i},{n},1.5,2.5,100.5,"{square}"' for i, n in enumerate([*reports.COUNTRY_NAMES, "Spain"])]
-    (base / "country-boundaries.csv").write_text("\n".join(lines).replace('""', '\\"') + "\n")
+    (base / "country-boundaries.csv").write_text("\n".join(lines) + "\n")
 
     def save(name, rows, schema):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(base / RELATION_FILES[name]))
@@ -213,6 +213,17 @@ def test_same_files_elsewhere_have_the_same_fingerprint(spark, tmp_path):
     assert len(prints) == 1
 
 
+def test_standard_csv(spark, tmp_path):
+    shape = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[0,1],[0,0]]]}'
+    quoted = '"' + shape.replace('"', '""') + '"'
+    (tmp_path / "b.csv").write_text(f'id,name,geometry\n1,"A ""B"" C",{quoted}\n2,"x, y",\n3,back\\slash,""""\n')
+    got = [tuple(r) for r in read_csv(spark, str(tmp_path / "b.csv")).collect()]
+    assert got == [(1, 'A "B" C', shape), (2, "x, y", None), (3, "back\\slash", '"')]
+    (tmp_path / "m.csv").write_text('id,name\n1,"two\nlines ""q"""\n2,z\n')
+    assert [tuple(r) for r in read_csv_text(spark, str(tmp_path / "m.csv"), multi_line=True).collect()] == [
+        ("1", 'two\nlines "q"'), ("2", "z")]
+
+
 def test_csv_and_records(spark, tmp_path):
     (tmp_path / "u.csv").write_text("id,latitude,name\n,degrees,\n1,2.5,a\n2,x,b\n")
     assert dict(read_csv(spark, str(tmp_path / "u.csv")).dtypes)["id"] == "int"

@@ -11,6 +11,7 @@ from geoloom.operators.extent import extent
 from geoloom.operators.layers import coordinate_report
 from geoloom.operators.ordering import exact_median
 from geoloom.operators.quality import broken_layers, check_rules, list_differences, missing_metadata, table_metrics
+from geoloom.sources.manifest import latest_retrieval
 from workload.base import GEO_CUSTOMER, GEO_EVENT, geo_customer, geo_event, table
 
 
@@ -56,7 +57,9 @@ def view_extent(spark, sf_dir):
 
 
 def latest_date(spark, sf_dir):
-    return table(spark, sf_dir, "orders").agg(F.max("o_orderdate").alias("latest"))
+    """Orders as a catalog whose entries were retrieved on the order's date."""
+    manifest = table(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("retrieved"))
+    return latest_retrieval(manifest).withColumnRenamed("snapshot_date", "latest")
 
 
 RULES = [("customers", ">=", 100), ("nations", "=", 25), ("order_statuses", "=", 3), ("first_order_year", "=", 1995),
@@ -152,7 +155,7 @@ SQL = {
     "A5_circular_mean": _extent_sql(GEO_CUSTOMER, "geo_customer", "0e0") + """
         SELECT round(lat, 6) AS center_latitude, round(lon, 4) AS center_longitude, round(deg, 4) AS angular_spread
         FROM spread""",
-    "A6_latest_date": "SELECT max(o_orderdate) AS latest FROM orders",
+    "A6_latest_date": "SELECT strftime(max(o_orderdate), '%Y-%m-%d') AS latest FROM orders",
     "G11_extent": _extent_sql(GEO_EVENT, "geo_event", "value / 6371e0") + """
         SELECT round(lat, 6) AS center_latitude, round(lon, 6) AS center_longitude, n AS locations,
           round(deg, 6) AS angular_spread, round(least(22e0, greatest(CASE WHEN n = 1 THEN 0.8e0 ELSE

@@ -11,7 +11,8 @@ from geoloom.functions.text import clean_name, float_key_text, short_text
 from geoloom.functions.times import days_after
 from geoloom.session import scratch_path
 from geoloom.sources.catalog import typed_time
-from geoloom.sources.digest import directory_fingerprint, file_digests
+from geoloom.plans.workspace import compact_values
+from geoloom.sources.digest import row_digests, table_fingerprint
 from geoloom.sources.manifest import audit_sources
 from geoloom.sources.readers import MICROSECOND_PATTERN, read_csv, read_ndjson, read_parquet
 from workload.base import TABLES, table, workspace
@@ -46,7 +47,7 @@ def epoch_days(spark, sf_dir):
 
 def key_text(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", float_key_text(F.col("o_orderkey").cast("double") * 1000000).alias("id")
+        "o_orderkey", float_key_text(F.col("o_orderkey") * 1000000 + (F.col("o_orderkey") % 8) / 8).alias("id")
     )
 
 
@@ -59,12 +60,24 @@ def replaced_column(spark, sf_dir):
     return typed_time(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("string")), "ts")
 
 
+def _addresses(spark, sf_dir):
+    """The pages' addresses, and for each page one whose host is a number derived from its id."""
+    pages = table(spark, sf_dir, "pages")
+    number = F.pmod(F.col("page_id") * 67280421 + 167772000, F.lit(4294967296))
+    octets = [F.shiftright(number, 24 - 8 * i).bitwiseAND(F.lit(255)) for i in range(4)]
+    octal = F.concat_ws(".", F.concat(F.lit("0"), F.conv(octets[0].cast("string"), 10, 8)), *[o.cast("string") for o in octets[1:]])
+    host = F.when(F.col("page_id") % 3 == 0, number.cast("string")).when(
+        F.col("page_id") % 3 == 1, F.concat(F.lit("0x"), F.lower(F.hex(number)))).otherwise(octal)
+    numbers = pages.select("page_id", F.concat(F.lit("https://"), host, F.lit("/")).alias("url"))
+    return pages.select("page_id", "url").unionByName(numbers)
+
+
 def source_audit(spark, sf_dir):
-    return audit_sources(table(spark, sf_dir, "pages").select("page_id", "url"), "url")
+    return audit_sources(_addresses(spark, sf_dir), "url")
 
 
 def link_audit_hosts(spark, sf_dir):
-    audited = audit_sources(table(spark, sf_dir, "pages").select("page_id", "url"), "url")
+    audited = audit_sources(_addresses(spark, sf_dir), "url")
     return audited.groupBy("loadable", F.col("link").isNotNull().alias("linked")).agg(F.count(F.lit(1)).alias("pages"))
 
 
@@ -74,11 +87,7 @@ def row_counts(spark, sf_dir):
 
 
 def inspected(spark, sf_dir):
-    ws = workspace(spark, sf_dir)
-    infos = [ws.inspect_relation(t) for t in TABLES]
-    return ws.spark.createDataFrame(
-        [(i.relation, i.row_count, len(i.schema)) for i in infos], "relation string, rows bigint, columns bigint"
-    )
+    return workspace(spark, sf_dir).relation_sizes()
 
 
 def word_roles(spark, sf_dir):
@@ -93,10 +102,9 @@ def short_texts(spark, sf_dir):
 
 
 def short_arrays(spark, sf_dir):
-    cut = F.slice("embedding", 1, 8)
-    return table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.size(cut).cast("bigint").alias("items"), F.get(cut, 7).cast("double").alias("last_item")
-    )
+    cut = compact_values(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return cut.select("vec_id", F.size("embedding").cast("bigint").alias("items"),
+                      F.get("embedding", 7).cast("double").alias("last_item"))
 
 
 def clean_names(spark, sf_dir):
@@ -120,18 +128,25 @@ QUERIES = {
     "I4_short_arrays": short_arrays,
     "A4_row_counts": row_counts,
     "G13_clean_name": clean_names,
-    "V2_file_digests": lambda spark, sf_dir: file_digests(spark, sf_dir),
-    "V5_directory_fingerprint": lambda spark, sf_dir: directory_fingerprint(spark, sf_dir),
+    "V2_row_digests": lambda spark, sf_dir: row_digests(table(spark, sf_dir, "pages"), "page_id", "html"),
+    "V5_table_fingerprint": lambda spark, sf_dir: table_fingerprint(table(spark, sf_dir, "pages"), "url", "html"),
 }
 
 _PUBLIC = r"""
-  SELECT page_id, url,
-    coalesce(regexp_matches(url, '^https://[^/@]+(/|$)')
+  SELECT page_id, url, coalesce(regexp_matches(url, '^https://[^/@]+(/|$)')
       AND NOT regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)),
         '^(localhost|10\.\d+\.\d+\.\d+|127\.\d+\.\d+\.\d+|169\.254\.\d+\.\d+|192\.168\.\d+\.\d+|172\.(1[6-9]|2[0-9]|3[01])\.\d+\.\d+)$|\.local$'),
       false) AS loadable,
     CASE WHEN regexp_matches(url, '^https?://[^/@]+(/|$)') THEN url END AS link
-  FROM pages"""
+  FROM pages
+  UNION ALL
+  SELECT page_id, 'https://' || CASE page_id % 3 WHEN 0 THEN CAST(n AS VARCHAR) WHEN 1 THEN '0x' || lower(to_hex(n))
+      ELSE '0' || CASE WHEN n >> 30 > 0 THEN CAST(n >> 30 AS VARCHAR) || CAST((n >> 27) & 7 AS VARCHAR) || CAST((n >> 24) & 7 AS VARCHAR)
+        WHEN n >> 27 > 0 THEN CAST(n >> 27 AS VARCHAR) || CAST((n >> 24) & 7 AS VARCHAR) ELSE CAST(n >> 24 AS VARCHAR) END
+        || '.' || CAST((n >> 16) & 255 AS VARCHAR) || '.' || CAST((n >> 8) & 255 AS VARCHAR) || '.' || CAST(n & 255 AS VARCHAR)
+      END || '/' AS url,
+    NOT (n >> 24 IN (10, 127) OR n >> 16 IN (43518, 49320) OR n >> 20 = 2753) AS loadable, url AS link
+  FROM (SELECT page_id, (page_id * 67280421 + 167772000) % 4294967296 AS n FROM pages)"""
 
 _ROLE_ROWS = ", ".join(
     f"('{role}', '{name}', {i})" for role, names in ROLE_CANDIDATES.items() for i, name in enumerate(names)
@@ -143,7 +158,7 @@ SQL = {
     "S3_ndjson_source": "SELECT * FROM events",
     "S4_load_dataset": "SELECT * FROM customer",
     "S6a_key_text": """SELECT o_orderkey,
-        CAST(CAST(CAST(o_orderkey AS DOUBLE) * 1000000 AS DECIMAL(20, 1)) AS VARCHAR) AS id FROM orders""",
+        CAST(o_orderkey * 1000000 + (o_orderkey % 8) / 8e0 AS VARCHAR) AS id FROM orders""",
     "S6b_epoch_days": """SELECT l_orderkey, l_linenumber,
         TIMESTAMP '1979-01-01' + (l_partkey / 4e0) * INTERVAL 1 DAY AS observed_at FROM lineitem""",
     "S6c_text_time": """SELECT o_orderkey, CAST(CAST(o_orderdate AS VARCHAR) AS TIMESTAMP) AS iso_time FROM orders""",
@@ -165,6 +180,11 @@ SQL = {
     "I4_short_arrays": """SELECT vec_id, len(embedding[1:8]) AS items, CAST(embedding[8] AS DOUBLE) AS last_item
         FROM embeddings""",
     "A4_row_counts": " UNION ALL ".join(f"SELECT '{t}' AS relation, count(*) AS rows FROM {t}" for t in TABLES),
+    "V2_row_digests": "SELECT page_id, CAST(strlen(html) AS BIGINT) AS length, sha256(html) AS sha256 FROM pages",
+    "V5_table_fingerprint": "WITH each AS (SELECT strlen(html) AS length, sha256(url || chr(0) || sha256(html)) AS digest "
+    "FROM pages), sums AS (SELECT count(*) AS files, CAST(sum(length) AS BIGINT) AS total_bytes, concat_ws(':', count(*), "
+    + ", ".join(f"sum(CAST('0x' || substr(digest, {1 + 8 * i}, 8) AS BIGINT))" for i in range(8))
+    + ") AS whole FROM each) SELECT files, total_bytes, sha256(whole) AS fingerprint FROM sums",
     "G13_clean_name": r"""WITH stems AS (
           SELECT page_id, trim(regexp_replace(regexp_replace(lower(url), '\.[^.]+$', ''), '[^a-z0-9_]+', '_', 'g'), '_')
             AS body FROM pages)
