@@ -12,7 +12,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from geoloom.llm.bpe import decode, encode, load_ranks
+from geoloom.llm.bpe import load_ranks, round_trip
 from geoloom.llm.bpe_query import VOCABULARY
 from geoloom.llm.decontaminate import add_leaks
 from geoloom.llm.jaccard import BROADCAST_KEYS, similar_groups
@@ -70,7 +70,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether they decode to it again."""
     ranks = load_ranks(public_tokenizers.path(VOCABULARY))
     given = docs.select("doc_id", "lang", "source", "text")
-    both = decode(encode(given, ranks, public_tokenizers.PATTERN), ranks)
+    both = round_trip(given, ranks, public_tokenizers.PATTERN)
     return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
                        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 

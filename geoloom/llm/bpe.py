@@ -255,6 +255,19 @@ def _once(shared, make):
     return _WORKER[key]
 
 
+def _packed(batch: pa.Array, encoder: Encoder) -> pa.Array:
+    """Ids of a batch of texts as lists."""
+    found = list(encoder.encode_all(t.as_py() or "" for t in batch))
+    ends = np.cumsum([0, *map(len, found)]) // 4
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def _bytes(batch: pa.Array, tokens: dict[int, bytes]) -> pa.Array:
+    """Bytes of a batch of lists of ids."""
+    return pa.array((b"".join(map(tokens.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist()))
+                     if x.is_valid else b"" for x in batch), pa.binary())
+
+
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of a text column as array<int>."""
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
@@ -262,13 +275,9 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _once(shared, lambda value: Encoder(*value))
         for batch in batches:
-            found = list(encoder.encode_all(t.as_py() or "" for t in batch))
-            ends = np.cumsum([0, *map(len, found)]) // 4
-            flat = np.frombuffer(b"".join(found), np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+            yield _packed(batch, encoder)
 
-    apply = F.arrow_udf(run, "array<int>")
-    return df.withColumn(ids, apply(F.col(f"`{text}`").cast("string")))
+    return df.withColumn(ids, F.arrow_udf(run, "array<int>")(F.col(f"`{text}`").cast("string")))
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", data: str = "decoded") -> DataFrame:
@@ -278,12 +287,29 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", data: str =
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokens = {rank: token for token, rank in shared.value.items()}
         for batch in batches:
-            yield pa.array((b"".join(map(tokens.__getitem__, x.values.to_numpy(zero_copy_only=False).tolist()))
-                            if x.is_valid else b"" for x in batch), pa.binary())
+            yield _bytes(batch, tokens)
 
     return df.withColumn(data, F.arrow_udf(run, "binary")(F.col(f"`{ids}`")))
 
 
+def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids",
+               data: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` of its ids in one pass of the workers, where both are wanted."""
+    shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _once(shared, lambda value: Encoder(*value))
+        tokens = {rank: token for token, rank in encoder.ranks.items()}
+        for batch in batches:
+            found = _packed(batch, encoder)
+            yield pa.StructArray.from_arrays([found, _bytes(found, tokens)], ["ids", "data"])
+
+    apply = F.arrow_udf(run, "struct<ids:array<int>,data:binary>")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (ids, data)]
+    both = df.select(F.struct(*kept).alias("kept"), apply(F.col(f"`{text}`").cast("string")).alias("found"))
+    return both.select("kept.*", F.col("found.ids").alias(ids), F.col("found.data").alias(data))
+
+
 def ids_text(ids: Column) -> Column:
     """Decimal ids joined by one space."""
     return F.array_join(ids.cast("array<string>"), " ")

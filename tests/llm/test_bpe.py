@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings, strategies as st
 
-from geoloom.llm.bpe import Encoder, RankQueue, decode, encode, load_ranks, merge
+from geoloom.llm.bpe import Encoder, RankQueue, decode, encode, load_ranks, merge, round_trip
 from geoloom.llm.bpe_query import VOCABULARY, op1_bpe
 from tests.conftest import SF_DIR
 
@@ -69,4 +69,6 @@ def test_awkward_rows_and_columns(spark):
     assert both.columns == ["doc_id", "text", "ids", "decoded"]
     assert sorted((r.doc_id, bytes(r.decoded)) for r in both.collect()) == [
         (1, b""), (1, b""), (2, b"the the"), (2, b"the the")]
+    assert sorted(map(str, round_trip(df, RANKS, public_tokenizers.PATTERN).collect())) == sorted(map(str, both.collect()))
+    assert round_trip(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
     assert encode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
