@@ -45,7 +45,7 @@ BUCKET_ROWS = 1_000_000
 #: Keys of fetched documents are broadcast up to this number, and joined by a shuffle beyond it.
 BROADCAST_KEYS = 2_000_000
 #: Texts of an Arrow batch that are handled at once, in bytes (a longer text alone).
-PIECE = 1 << 23
+PIECE = 1 << 22
 #: Rows of a group that are compared with all others at once.
 ROWS_AT_ONCE = 1 << 22
 
@@ -127,8 +127,8 @@ def frequent_level(total: int, bits: int) -> int:
 
 
 def index(docs: DataFrame, table: np.ndarray, frequent: int, buckets: int) -> DataFrame:
-    """Shared signatures (kind 1: sig, node, whether it is a single token at the set's own size level) and nodes
-    (kind 0: where the prefix ends, node, size, number of such tokens in its prefix)."""
+    """Shared signatures (kind 1: sig, node, and in ``n`` what it is, see ``signatures``) and nodes (kind 0: node, size
+    in ``n``, and in ``more`` the numbers of single tokens of both prefixes and where these end)."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,20 +139,20 @@ def index(docs: DataFrame, table: np.ndarray, frequent: int, buckets: int) -> Da
                 _, lead = np.unique(node, return_index=True)
                 once = np.zeros(len(node), bool)
                 once[lead] = True
-                sig, owner, own, ends_at = signatures(values, first, shared.value, frequent)
+                sig, owner, what, ends = signatures(values, first, shared.value, frequent)
                 keep = once[owner]
-                sig, owner, own = sig[keep], owner[keep], own[keep]
+                sig, owner, what = sig[keep], owner[keep], what[keep]
                 bucket = (sig >> np.uint64(32)).astype(np.int64) * buckets >> 32
-                # The low bit says whether the signature is a single token at the set's own level.
-                low = (sig & np.uint64(0xFFFFFFFE)).astype(np.uint32) | own.astype(np.uint32)
+                # The two low bits say what the signature is.
+                low = (sig & np.uint64(0xFFFFFFFC)).astype(np.uint32) | what.astype(np.uint32)
                 order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 rows = [(b, low[o].tobytes(), node[owner[o]].tobytes()) for b in range(buckets)
-                        if len(o := order[ends[b]: ends[b + 1]])]
-                singles = np.bincount(owner, weights=own, minlength=len(node)).astype(np.int64)
+                        if len(o := order[cuts[b]: cuts[b + 1]])]
+                singles = [np.bincount(owner[what == w], minlength=len(node)) for w in (1, 2)]
                 at = np.flatnonzero(once & (size > 0))
                 rows.append((-1 - int(node[at[0]] % np.uint64(buckets)) if len(at) else -1,
-                             np.stack([size[at], singles[at], ends_at[at]], 1).tobytes(), node[at].tobytes()))
+                             np.stack([size[at], *[x[at] for x in singles], *ends[at].T], 1).tobytes(), node[at].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
                     zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "sigs", "nodes"])
 
@@ -164,37 +164,50 @@ def index(docs: DataFrame, table: np.ndarray, frequent: int, buckets: int) -> Da
             nodes += batch.column(2).to_pylist()
         node = np.frombuffer(b"".join(nodes), np.uint64)
         if bucket < 0:
-            size, singles, ends_at = np.frombuffer(b"".join(sigs), np.int64).reshape(-1, 3).T.copy()
-            yield _rows(np.zeros(len(node), np.int32), ends_at, node, size, singles)
+            more = np.frombuffer(b"".join(sigs), np.int64).reshape(-1, 5)
+            yield _rows(0, np.zeros(len(node), np.int64), node, more[:, 0].copy(), more[:, 1:])
             return
         low = np.frombuffer(b"".join(sigs), np.uint32)
-        # Sorted by signature, then node; the flag of a repeated pair does not matter.
-        order = np.lexsort((node, low & np.uint32(0xFFFFFFFE)))
+        # Sorted by signature, then node; which of a repeated pair stays does not matter.
+        order = np.lexsort((node, low & np.uint32(0xFFFFFFFC)))
         low, node = low[order], node[order]
-        sig = (low >> np.uint32(1)).astype(np.int64)
+        sig = (low >> np.uint32(2)).astype(np.int64)
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node, own = sig[new], node[new], (low[new] & np.uint32(1)).astype(np.int64)
+        sig, node, what = sig[new], node[new], (low[new] & np.uint32(3)).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
         held = np.diff(np.append(start, len(sig)))
         keep = np.repeat(held > 1, held)
-        yield _rows(np.ones(keep.sum(), np.int32), (np.int64(bucket) << 31) + sig[keep], node[keep], own[keep], own[keep])
+        yield _rows(1, (np.int64(bucket) << 30) + sig[keep], node[keep], what[keep], np.zeros((keep.sum(), 0), np.int64))
 
     return docs.mapInArrow(run, "bucket int, sigs binary, nodes binary").groupBy("bucket").applyInArrow(
-        group, "kind int, sig long, node long, n long, own long")
+        group, "kind int, sig long, node long, n long, more array<long>")
 
 
-def _rows(kind, sig, node, n, own) -> pa.RecordBatch:
+def _rows(kind: int, sig, node, n, more) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(more) + 1, dtype=np.int32) * more.shape[1]), pa.array(more.ravel()))
     return pa.RecordBatch.from_arrays(
-        [pa.array(kind), pa.array(sig), _signed(np.ascontiguousarray(node)), pa.array(n), pa.array(own)],
-        ["kind", "sig", "node", "n", "own"])
+        [pa.array(np.full(len(node), kind, np.int32)), pa.array(sig), _signed(np.ascontiguousarray(node)), pa.array(n), lists],
+        ["kind", "sig", "node", "n", "more"])
+
+
+def size_level(size: Column) -> Column:
+    return F.length(F.bin(size)).cast("long") - 1
+
+
+def at_level(node: Column, level: Column) -> Column:
+    """Where a node's prefix at a size level ends and how many tokens are left but its lone ones, else null."""
+    own, low = (F.struct(node[f"{p}ends"].alias("ends"), node[f"{p}free"].alias("free")) for p in ("", "low_"))
+    return F.when(node["level"] == level, own).when(node["low_level"] == level, low)
 
 
 def could_link(x: Column, y: Column) -> Column:
-    """Whether two nodes (structs of size, level, ends, free) can reach the threshold. Of two sets of one size level,
-    the one whose prefix ends first shares none of its lone prefix tokens with the other."""
-    bound = F.when(x["level"] != y["level"], F.least(x["size"], y["size"])).when(
-        x["ends"] <= y["ends"], x["free"]).otherwise(y["free"])
+    """Whether two nodes (structs as in ``groups``) can reach the threshold. Of two sets that are indexed at the
+    smaller one's size level, the one whose prefix ends first shares none of its lone prefix tokens with the other."""
+    level = F.least(x["level"], y["level"])
+    a, b = at_level(x, level), at_level(y, level)
+    bound = F.when(a["ends"] <= b["ends"], a["free"]).otherwise(b["free"])
+    bound = F.least(x["size"], y["size"], F.when(a.isNotNull() & b.isNotNull(), bound))
     return bound * (100 + PERCENT) >= PERCENT * (x["size"] + y["size"])
 
 
@@ -236,40 +249,60 @@ def links_of(compared: DataFrame) -> DataFrame:
     return compared.where(100 * F.col("overlap") >= PERCENT * (F.col("size_a") + F.col("size_b") - F.col("overlap")))
 
 
-def cross_pairs(rows: DataFrame, buckets: int) -> DataFrame:
-    """Pairs of nodes of one group that are in different components and could still link. ``rows`` has sig, node, size,
-    level, ends, free (tokens but the lone ones of the prefix), root, and, where the node was compared with the group's
-    first node, the overlap with it and ``extra``, the other tokens that it may share (else both are null)."""
+def cross_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of nodes of one group that are in different components and could still link. ``rows`` has sig, x and lead
+    (structs as in ``groups``), root, and the overlap of x with the lead (null if they were not compared)."""
+    names = ("node", "size", "level", "low_level", "ends", "low_ends", "free", "low_free")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        columns = [table[c].to_numpy() for c in ("sig", "node", "size", "level", "ends", "free", "root")]
-        columns += [table[c].fill_null(-1).to_numpy() for c in ("overlap", "extra", "outside")]
-        order = np.argsort(columns[0], kind="stable")
-        sig, node, size, level, ends, free, root, overlap, extra, outside = (c[order] for c in columns)
-        found = np.zeros((0, 2), np.int64)
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, int)
-        for lo, hi in zip(start.tolist(), np.append(start[1:], len(sig)).tolist()):
-            step = max(1, ROWS_AT_ONCE // (hi - lo))
-            for i in range(lo, hi, step):
-                x, y = np.nonzero(root[i: i + step, None] != root[None, lo:hi])
-                x, y = x + i, y + lo
-                x, y = x[x < y], y[x < y]
-                swap = ends[x] > ends[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)  # the prefix of x ends first
-                same = level[x] == level[y]
-                bound = np.where(same, free[x], np.minimum(size[x], size[y]))
-                closer = np.minimum(overlap[x], overlap[y]) + np.minimum(np.where(same, extra[x], outside[x]), outside[y])
-                bound = np.where((overlap[x] >= 0) & (overlap[y] >= 0), np.minimum(bound, closer), bound)
-                ok = bound * (100 + PERCENT) >= PERCENT * (size[x] + size[y])
-                if ok.any():
-                    pair = np.sort(np.stack([node[x[ok]], node[y[ok]]], 1), axis=1)
-                    found = np.unique(np.concatenate([found, pair]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
-
-    bucket = F.shiftright("sig", 31).alias("bucket")
-    return rows.select(bucket, "sig", "node", "size", "level", "ends", "free", "root", "overlap", "extra", "outside").groupBy("bucket").applyInArrow(
-        run, "a long, b long").distinct()
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        order = np.argsort(table["sig"].to_numpy(), kind="stable")
+        sig, root = (table[c].to_numpy()[order] for c in ("sig", "root"))
+        overlap = table["overlap"].fill_null(-1).to_numpy()[order]
+        x_of, lead_of = (dict(zip(names, (pa.compute.struct_field(table[c], n).to_numpy()[order] for n in names)))
+                         for c in ("x", "lead"))
+        size, node, level = x_of["size"], x_of["node"], x_of["level"]
+        held, found = np.diff(np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig))), []
+        group_rows = np.repeat(held, held)
+        first = np.repeat(np.cumsum(held) - held, held)
+        done = np.cumsum(group_rows)
+
+        def entry(of: dict, at: np.ndarray, wanted: np.ndarray):
+            """Whether the nodes are indexed at the level, where their prefixes end, and their tokens but lone ones."""
+            own = of["level"][at] == wanted
+            return (own | (of["low_level"][at] == wanted), np.where(own, of["ends"][at], of["low_ends"][at]),
+                    np.where(own, of["free"][at], of["low_free"][at]))
+
+        i = 0
+        while i < len(sig):
+            j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + ROWS_AT_ONCE, "right")))
+            n = group_rows[i:j]
+            x = np.repeat(np.arange(i, j), n)
+            y = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) + first[x]
+            near = (x < y) & (root[x] != root[y]) & (
+                np.minimum(size[x], size[y]) * 100 >= PERCENT * np.maximum(size[x], size[y]))
+            x, y = x[near], y[near]
+            at = np.minimum(level[x], level[y])
+            (has_x, end_x, free_x), (has_y, end_y, free_y) = entry(x_of, x, at), entry(x_of, y, at)
+            swap = end_x > end_y
+            x, y = np.where(swap, y, x), np.where(swap, x, y)  # the prefix of x ends first
+            both, free, end = has_x & has_y, np.where(swap, free_y, free_x), np.minimum(end_x, end_y)
+            bound = np.where(both, free, np.minimum(size[x], size[y]))
+            # By the overlaps with the lead: what both share with it, and what else they may share. The lone tokens of
+            # x are not among the latter, nor in the lead, if its prefix ends later still.
+            has_lead, end_lead, _ = entry(lead_of, x, at)
+            lone = np.where(both & has_lead & (end <= end_lead) & (node[x] != lead_of["node"][x]), size[x] - free, 0)
+            closer = np.minimum(overlap[x], overlap[y]) + np.minimum(size[x] - overlap[x] - lone, size[y] - overlap[y])
+            known = (overlap[x] >= 0) & (overlap[y] >= 0)
+            bound = np.where(known, np.minimum(bound, closer), bound)
+            ok = bound * (100 + PERCENT) >= PERCENT * (size[x] + size[y])
+            found.append(np.unique(np.sort(np.stack([node[x[ok]], node[y[ok]]], 1), axis=1), axis=0))
+            i = j
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return rows.select(F.shiftright("sig", 30).alias("bucket"), "sig", "x", "lead", "root", "overlap").groupBy(
+        "bucket").applyInArrow(run, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -288,13 +321,17 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     indexed = stored(index(given.where("key IS NOT NULL").select("text"), table, frequent_level(tokens, bits), buckets),
                      "index")
     rows = indexed.where("kind = 1")
-    shared = rows.groupBy("node").agg(F.sum("own").alias("shared"))
-    about = indexed.where("kind = 0").groupBy("node").agg(
-        F.max("n").alias("size"), F.max("own").alias("own"), F.max("sig").alias("ends")).join(shared, "node").select(
-        "node", "size", F.floor(F.log2("size")).cast("long").alias("level"), "ends",
-        (F.col("size") - F.col("own") + F.col("shared")).alias("free"))
-    rows = rows.select("sig", F.col("node").alias("id")).join(about, F.col("id") == F.col("node")).select(
-        "sig", F.struct("node", "size", "level", "ends", "free").alias("x"))
+    shared = rows.groupBy("node").agg(F.count_if(F.col("n") == 1).alias("shared"), F.count_if(F.col("n") == 2).alias("low_shared"))
+    about = indexed.where("kind = 0").groupBy("node").agg(F.max("n").alias("size"), F.max("more").alias("more")).join(
+        shared, "node")
+    one_level = F.col("level") == F.col("low_level")
+    about = about.withColumn("level", size_level(F.col("size"))).withColumn(
+        "low_level", size_level(F.expr(f"(size * {PERCENT} + 99) div 100"))).select("node", F.struct(
+            "node", "size", "level", "low_level", F.col("more")[2].alias("ends"), F.col("more")[3].alias("low_ends"),
+            (F.col("size") - F.col("more")[0] + F.col("shared")).alias("free"),
+            F.when(one_level, F.col("size") - F.col("more")[0] + F.col("shared")).otherwise(
+                F.col("size") - F.col("more")[1] + F.col("low_shared")).alias("low_free")).alias("x"))
+    rows = rows.select("sig", "node").join(about, "node").select("sig", "x")
     # Each group's first node is the one with the smallest share of lone tokens.
     lead = rows.groupBy("sig").agg(F.min_by("x", F.struct(-F.col("x.free") / F.col("x.size"), "x.node")).alias("lead"))
     rows = stored(rows.join(lead, "sig"), "groups")
@@ -302,17 +339,14 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     compared = stored(overlaps(given, nodes, stored(first.select(
         F.col("lead.node").alias("a"), F.col("x.node").alias("b")).distinct(), "pairs")), "compared")
     roots = components(links_of(compared).select("a", "b"))
-    rooted = rows.select("sig", "x.*", "lead").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = rows.withColumn("node", F.col("x.node")).join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
     split = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     live = rooted.join(split.select("sig"), "sig", "left_semi").withColumn("a", F.col("lead.node")).join(
         compared.select("a", F.col("b").alias("node"), "overlap"), ["a", "node"], "left").withColumn(
-        "overlap", F.when(F.col("a") == F.col("node"), F.col("size")).otherwise(F.col("overlap")))
-    outside = F.col("size") - F.col("overlap")
-    apart = (F.col("level") == F.col("lead.level")) & (F.col("ends") <= F.col("lead.ends")) & (F.col("a") != F.col("node"))
-    live = live.withColumn("outside", outside).withColumn(
-        "extra", F.when(apart, outside - (F.col("size") - F.col("free"))).otherwise(outside))
+        "overlap", F.when(F.col("a") == F.col("node"), F.col("x.size")).otherwise(F.col("overlap")))
     both_ways = compared.select("a", "b").unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    further = stored(overlaps(given, nodes, stored(cross_pairs(live, buckets).join(
+    further = stored(overlaps(given, nodes, stored(cross_pairs(live).join(
         both_ways, ["a", "b"], "left_anti"), "pairs")), "compared")
     links = links_of(compared.unionByName(further)).select("a", "b")
     roots = components(links)

@@ -54,9 +54,10 @@ def size_level(size: np.ndarray) -> np.ndarray:
 
 def signatures(values: np.ndarray, first: np.ndarray, levels: np.ndarray,
                frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All signatures of all sets: hashes, the number of their set, and whether each is a single token at the set's own
-    size level; and, for every set, the place in the global order where its prefix at that level ends. ``levels`` holds the frequency level of every
-    hash bucket (a power of two of them), ``frequent`` the least level of frequent tokens."""
+    """All signatures of all sets: hashes, the number of their set, and what each is: 1 a single token at the set's own
+    size level, 2 a single token at the level of its smallest partner (where that is another one), 0 a pair. And, for
+    every set, the places in the global order where its prefixes at these two levels end. ``levels`` holds the
+    frequency level of every hash bucket (a power of two of them), ``frequent`` the least level of frequent tokens."""
     bits = len(levels).bit_length() - 1
     size = np.diff(first)
     owner = np.repeat(np.arange(len(size)), size)
@@ -66,7 +67,7 @@ def signatures(values: np.ndarray, first: np.ndarray, levels: np.ndarray,
     values, level = values[order], level[order]
     own_level, low_level = size_level(size), size_level(least_partner(size))
     out_hash, out_owner, out_own = [], [], []
-    ends = np.zeros(len(size), np.int64)
+    ends = np.zeros((len(size), 2), np.int64)
     for at_level in np.unique(np.concatenate([own_level, low_level])).tolist():
         texts = np.flatnonzero(((own_level == at_level) | (low_level == at_level)) & (size > 0))
         if not len(texts):
@@ -92,13 +93,15 @@ def signatures(values: np.ndarray, first: np.ndarray, levels: np.ndarray,
         missing = (n - least_partner(n))[row]
         inside = (total - adds - before) <= missing
         last = np.flatnonzero(inside & np.append(~inside[1:] | (row[1:] != row[:-1]), True))
-        last = last[own_level[texts[row[last]]] == at_level]
-        ends[texts[row[last]]] = (level[at[last]].astype(np.int64) << 56) | (token[last] >> np.uint64(8)).astype(np.int64)
+        place = (level[at[last]].astype(np.int64) << 56) | (token[last] >> np.uint64(8)).astype(np.int64)
+        for which, levels_of in enumerate((own_level, low_level)):
+            mine = levels_of[texts[row[last]]] == at_level
+            ends[texts[row[last[mine]]], which] = place[mine]
         salt = np.uint64(at_level * 2 + 1)
         single = inside & ~paired
         out_hash.append(mix(token[single] + salt))
         out_owner.append(texts[row[single]])
-        out_own.append(own_level[out_owner[-1]] == at_level)
+        out_own.append(np.where(own_level[out_owner[-1]] == at_level, 1, 2))
         both = np.flatnonzero(inside[by_class] & paired[by_class])
         token, row, key = token[by_class][both], row[by_class][both], key[by_class][both]
         reach = 1
@@ -109,8 +112,8 @@ def signatures(values: np.ndarray, first: np.ndarray, levels: np.ndarray,
             a, b = token[same], token[same + reach]
             out_hash.append(mix(mix(np.minimum(a, b) + salt) ^ np.maximum(a, b)))
             out_owner.append(texts[row[same]])
-            out_own.append(np.zeros(len(same), bool))
+            out_own.append(np.zeros(len(same), np.int64))
             reach += 1
     if not out_hash:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), ends
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), ends
     return np.concatenate(out_hash), np.concatenate(out_owner), np.concatenate(out_own), ends
