@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from geoloom.functions.geo import rounded
 from geoloom.operators.near import near_join
 from geoloom.operators.ordering import decimate_path, exact_median, top_per_group
+from geoloom.session import materialise
 
 Relations = dict[str, DataFrame]
 
@@ -59,15 +60,23 @@ def loops_near_storms(r: Relations, km: float = 500.0, top: int = 200) -> DataFr
         F.col("sid").alias("storm_id"), F.col("name").alias("storm"), F.col("iso_time").alias("storm_time"),
         F.col("latitude").alias("storm_latitude"), F.col("longitude").alias("storm_longitude"),
     )
-    pairs = near_join(
+    order = ["distance_km", "id", "observed_at", "storm_id", "storm_time"]
+    # The closest pairs are usually far closer than the reach, so smaller ones are tried first: once enough pairs lie
+    # within a radius, no pair beyond it belongs to the answer.
+    for radius in (km / 16, km / 4):
+        nearest = materialise(_loops_and_storms(loops, storms, radius).orderBy(*order).limit(top))
+        if nearest.count() == top:
+            break
+    else:
+        nearest = _loops_and_storms(loops, storms, km).orderBy(*order).limit(top)
+    return nearest.select("id", "storm", "observed_at", "latitude", "longitude", "distance_km")
+
+
+def _loops_and_storms(loops: DataFrame, storms: DataFrame, km: float) -> DataFrame:
+    return near_join(
         loops, storms, ("latitude", "longitude", "observed_at"), ("storm_latitude", "storm_longitude", "storm_time"),
         days=1, dlat=5.0, dlon=7.0, km=km,
     )
-    return (
-        pairs.orderBy("distance_km", "id", "observed_at", "storm_id", "storm_time")
-        .limit(top)
-        .select("id", "storm", "observed_at", "latitude", "longitude", "distance_km")
-    )
 
 
 # Fixed values.
