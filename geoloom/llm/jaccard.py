@@ -32,13 +32,13 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geoloom.llm.components import components
-from geoloom.llm.signatures import PERCENT, digests, distinct_sets, signatures
-from geoloom.llm.tables import stored
+from geoloom.llm.signatures import PAIRED_FROM, PERCENT, digests, distinct_sets, signatures
+from geoloom.llm.tables import small_batches, stored
 from geoloom.llm.words import shingle_hashes, word_hashes
 
 SHINGLE = 5
 #: Bytes of text per hash bucket of the frequency table, and bounds of its size as powers of two (one byte each).
-BYTES_PER_BUCKET, TABLE_BITS = 24, (16, 26)
+BYTES_PER_BUCKET, TABLE_BITS = 64, (16, 26)
 BLOCK_BITS = 16
 #: Expected signatures per bucket of the index.
 BUCKET_ROWS = 1_000_000
@@ -46,8 +46,8 @@ BUCKET_ROWS = 1_000_000
 BROADCAST_KEYS = 2_000_000
 #: Texts of an Arrow batch that are handled at once, in bytes (a longer text alone).
 PIECE = 1 << 22
-#: Rows of a group that are compared with all others at once.
-ROWS_AT_ONCE = 1 << 22
+#: Pairs of rows of groups that are compared at once (a row with more partners alone).
+ROWS_AT_ONCE = 1 << 19
 
 
 def pieces(batch: pa.Array) -> Iterator[tuple[int, pa.Array]]:
@@ -229,8 +229,9 @@ def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                     ["node", "tokens"])
 
     fetched = docs.join(wanted, "key", "left_semi").select("text").mapInArrow(fetch, "node long, tokens binary")
-    sets = stored(fetched.join(F.broadcast(asked) if keys.count() <= BROADCAST_KEYS else asked, "node", "left_semi").groupBy(
-        "node").agg(F.first("tokens").alias("tokens")), "sets")
+    fetched = fetched.join(F.broadcast(asked) if keys.count() <= BROADCAST_KEYS else asked, "node", "left_semi")
+    with small_batches(docs.sparkSession):
+        sets = stored(fetched.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +250,7 @@ def links_of(compared: DataFrame) -> DataFrame:
     return compared.where(100 * F.col("overlap") >= PERCENT * (F.col("size_a") + F.col("size_b") - F.col("overlap")))
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
+def cross_pairs(rows: DataFrame, frequent: int) -> DataFrame:
     """Pairs of nodes of one group that are in different components and could still link. ``rows`` has sig, x and lead
     (structs as in ``groups``), root, and the overlap of x with the lead (null if they were not compared)."""
     names = ("node", "size", "level", "low_level", "ends", "low_ends", "free", "low_free")
@@ -287,12 +288,21 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
             swap = end_x > end_y
             x, y = np.where(swap, y, x), np.where(swap, x, y)  # the prefix of x ends first
             both, free, end = has_x & has_y, np.where(swap, free_y, free_x), np.minimum(end_x, end_y)
+            # Where frequent tokens are paired, lone tokens are rare ones, so a prefix that reaches frequent tokens would
+            # hold any lone token of the other node.
+            rare_only = at >= PAIRED_FROM
+            free_later = np.where(swap, free_x, free_y)
+            wide = both & rare_only & (end >> 56 >= frequent)
             bound = np.where(both, free, np.minimum(size[x], size[y]))
+            bound = np.where(wide, np.minimum(bound, free_later), bound)
             # By the overlaps with the lead: what both share with it, and what else they may share. The lone tokens of
             # x are not among the latter, nor in the lead, if its prefix ends later still.
             has_lead, end_lead, _ = entry(lead_of, x, at)
-            lone = np.where(both & has_lead & (end <= end_lead) & (node[x] != lead_of["node"][x]), size[x] - free, 0)
-            closer = np.minimum(overlap[x], overlap[y]) + np.minimum(size[x] - overlap[x] - lone, size[y] - overlap[y])
+            apart = has_lead & rare_only & (end_lead >> 56 >= frequent)
+            lone_x = np.where(both & has_lead & (apart | (end <= end_lead)) & (node[x] != lead_of["node"][x]), size[x] - free, 0)
+            lone_y = np.where(wide & apart & (node[y] != lead_of["node"][y]), size[y] - free_later, 0)
+            closer = np.minimum(overlap[x], overlap[y]) + np.minimum(
+                size[x] - overlap[x] - lone_x, size[y] - overlap[y] - lone_y)
             known = (overlap[x] >= 0) & (overlap[y] >= 0)
             bound = np.where(known, np.minimum(bound, closer), bound)
             ok = bound * (100 + PERCENT) >= PERCENT * (size[x] + size[y])
@@ -311,15 +321,17 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     given = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     total = given.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(total, 1) / BYTES_PER_BUCKET)), *TABLE_BITS))
-    passed = stored(sizes_and_counts(given, bits), "passed")
+    with small_batches(docs.sparkSession):
+        passed = stored(sizes_and_counts(given, bits), "passed")
     sizes = passed.where("kind = 0").select("key", "node", "size")
     linkable = sizes.where("key IS NOT NULL AND size > 0")
     nodes = stored(linkable.groupBy("node").agg(F.min("key").alias("key")), "nodes")
     table = levels(passed.where("kind = 1"), bits)
     tokens = linkable.agg(F.sum("size")).collect()[0][0] or 0
     buckets = max(1, -(-tokens // (3 * BUCKET_ROWS)))
-    indexed = stored(index(given.where("key IS NOT NULL").select("text"), table, frequent_level(tokens, bits), buckets),
-                     "index")
+    frequent = frequent_level(tokens, bits)
+    with small_batches(docs.sparkSession):
+        indexed = stored(index(given.where("key IS NOT NULL").select("text"), table, frequent, buckets), "index")
     rows = indexed.where("kind = 1")
     shared = rows.groupBy("node").agg(F.count_if(F.col("n") == 1).alias("shared"), F.count_if(F.col("n") == 2).alias("low_shared"))
     about = indexed.where("kind = 0").groupBy("node").agg(F.max("n").alias("size"), F.max("more").alias("more")).join(
@@ -346,7 +358,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         compared.select("a", F.col("b").alias("node"), "overlap"), ["a", "node"], "left").withColumn(
         "overlap", F.when(F.col("a") == F.col("node"), F.col("x.size")).otherwise(F.col("overlap")))
     both_ways = compared.select("a", "b").unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    further = stored(overlaps(given, nodes, stored(cross_pairs(live).join(
+    further = stored(overlaps(given, nodes, stored(cross_pairs(live, frequent).join(
         both_ways, ["a", "b"], "left_anti"), "pairs")), "compared")
     links = links_of(compared.unionByName(further)).select("a", "b")
     roots = components(links)

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes whose running sums are held at once; a single longer word is hashed alone.
-PIECE = 1 << 22
+PIECE = 1 << 18
 _RNG = np.random.default_rng(20_240_229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _LOWER = np.arange(256)
