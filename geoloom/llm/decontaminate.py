@@ -10,8 +10,13 @@ item's words. Windows of the items' sizes are compared as follows.
    the share of leaks with an equal key to ``RECALL`` at the largest distance; exact passages always have one.
 3. Every window with an equal key is verified exactly by bit-parallel edit distance, which also gives the span.
 
-Items are grouped by length, the window of a group being its smallest length. Before a window is embedded it must hold
-enough words of the group's items for the distance to be possible at all; that test loses nothing. Documents are
+Fixed numbers of steps get too sparse for long items, so an item of twice ``PART`` words or more is cut into equal parts
+of at least ``PART`` words, each searched like an item. One of them has no more than its share of the edits, and the
+item is verified as a whole wherever one of its parts has a key. No window is thus longer than parts can be, and the
+share of leaks found does not fall with the length of the item.
+
+Parts are grouped by length, the window of a group being its smallest length. Before a window is embedded it must hold
+enough words of the group's parts for the distance to be possible at all; that test loses nothing. Documents are
 handled where they lie, in batches: no shuffle, no join. Only the items are broadcast; their size is checked.
 
 Defined cases: null or empty texts leak nothing; items that are null or have fewer than ``MIN_WORDS`` words are not
@@ -36,6 +41,8 @@ EDITS, MIN_WORDS = 0.2, 8
 #: Share of leaks at the largest distance that are to be found (see the test that measures it).
 RECALL = 0.95
 EMBEDDINGS, SAMPLES, STEPS_KEPT = 6, 6, 3
+#: Least words of the parts that long items are cut into.
+PART = 20
 #: Lengths of windows grow by this factor from group to group.
 GROUP_GROWTH = 1.25
 #: Bytes of items that are broadcast at most.
@@ -85,7 +92,7 @@ def closest(item: list[int], words: list[int]) -> tuple[int, int, int]:
 
 
 class Group:
-    """Items whose windows have one size."""
+    """Parts whose windows have one size."""
 
     def __init__(self, size: int, members: list[int], items: list[np.ndarray], edits: list[int]):
         self.size, self.members, self.edits = size, np.array(members), max(edits[i] for i in members)
@@ -124,15 +131,23 @@ class Index:
         sizes = [MIN_WORDS]
         while sizes[-1] < max(map(len, items), default=0):
             sizes.append(max(sizes[-1] + 1, int(sizes[-1] * GROUP_GROWTH)))
-        grouped: dict[int, list[int]] = {}
+        # Per part: its words, item, place in the item, and the share of the edits that one part at least keeps to.
+        parts, of, offsets, shares = [], [], [], []
         for i, item in enumerate(items):
             if len(item) >= MIN_WORDS:
-                grouped.setdefault(max(s for s in sizes if s <= len(item)), []).append(i)
-        self.groups = [Group(s, m, items, self.edits) for s, m in sorted(grouped.items())]
+                n = max(1, len(item) // PART)
+                cuts = [len(item) * k // n for k in range(n + 1)]
+                parts += [item[lo:hi] for lo, hi in zip(cuts, cuts[1:])]
+                of, offsets, shares = of + [i] * n, offsets + cuts[:-1], shares + [self.edits[i] // n] * n
+        self.part_item, self.part_offset = np.array(of, np.int64), np.array(offsets, np.int64)
+        grouped: dict[int, list[int]] = {}
+        for k, part in enumerate(parts):
+            grouped.setdefault(max(s for s in sizes if s <= len(part)), []).append(k)
+        self.groups = [Group(s, m, parts, shares) for s, m in sorted(grouped.items())]
         self.lists = [x.tolist() for x in items]
 
     def candidates(self, words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Pairs of a place in ``words`` and an item with an equal key there."""
+        """(text, item, place in ``words`` that the item then starts near) of all parts with an equal key."""
         doc_end = np.repeat(first[1:], np.diff(first))
         found = [np.zeros((0, 2), np.int64)]
         slot = (words >> np.uint64(64 - _TABLE)).astype(np.int64)
@@ -150,22 +165,22 @@ class Index:
                     n = (hi - lo)[hit]
                     which = np.repeat(lo[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     found.append(np.stack([np.repeat(at[hit], n), members[which]], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+        at, part = np.unique(np.concatenate(found), axis=0).T
+        doc = np.searchsorted(first, at, "right") - 1
+        return np.unique(np.stack([doc, self.part_item[part], at - self.part_offset[part]], axis=1), axis=0)
 
     def leaks(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, first word, word after the last) of all verified leaks."""
-        pairs = self.candidates(words, first)
-        pairs = pairs[np.lexsort((pairs[:, 0], pairs[:, 1]))]
-        docs = np.searchsorted(first, pairs[:, 0], "right") - 1
+        found = self.candidates(words, first)  # by text, item and place
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         i = 0
-        while i < len(pairs):
-            item, doc, j = int(pairs[i, 1]), int(docs[i]), i + 1
-            reach = len(self.lists[item]) + 2 * self.edits[item]
-            while j < len(pairs) and pairs[j, 1] == item and docs[j] == doc and pairs[j, 0] <= pairs[j - 1, 0] + reach:
+        while i < len(found):
+            doc, item, at = (int(x) for x in found[i])
+            reach, j = len(self.lists[item]) + 2 * self.edits[item], i + 1
+            while j < len(found) and found[j, 1] == item and found[j, 0] == doc and found[j, 2] <= found[j - 1, 2] + reach:
                 j += 1
-            lo = max(int(first[doc]), int(pairs[i, 0]) - self.edits[item])
-            hi = min(int(first[doc + 1]), int(pairs[j - 1, 0]) + reach)
+            lo = max(int(first[doc]), at - self.edits[item])
+            hi = min(int(first[doc + 1]), int(found[j - 1, 2]) + reach)
             distance, start, end = closest(self.lists[item], words[lo:hi].tolist())
             if distance <= self.edits[item]:
                 place = distance, lo + start - int(first[doc]), lo + end - int(first[doc])

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from geoloom.llm import decontaminate
@@ -72,6 +73,36 @@ def test_recall_at_the_largest_distance():
     assert all(x[0] == x[1] for x in found)
 
 
+def edited(item, edits, rng, mixed):
+    """The item's words after edits that leave it at exactly that distance."""
+    for _ in range(100):
+        words, last = list(item), (0, "")
+        for at in sorted(rng.sample(range(1, len(item) - 1), edits), reverse=True):
+            kind = rng.choice("sdi") if mixed else "s"
+            if at + 1 == last[0] and {kind, last[1]} == {"d", "i"}:  # together they would be one substitution
+                kind = "s"
+            words[at: at + 1] = {"s": [rng.getrandbits(64)], "d": [], "i": [item[at], rng.getrandbits(64)]}[kind]
+            last = at, kind
+        if closest(item, words)[0] == edits:
+            return words
+    raise AssertionError("no such edits")
+
+
+@pytest.mark.parametrize("size", [8, 10, 15, 24, 40, 59, 60, 89, 100, 150, 200, 300, 500])
+@pytest.mark.parametrize("mixed", [False, True])
+def test_recall_does_not_fall_with_the_length(size, mixed):
+    rng = random.Random(size)
+    items = [np.array([rng.getrandbits(64) for _ in range(size)], np.uint64) for _ in range(60)]
+    index, docs = Index(items), []
+    for i, item in enumerate(items):
+        pad = [rng.getrandbits(64) for _ in range(rng.randrange(60))]
+        docs.append(pad + edited(item.tolist(), index.edits[i], rng, mixed) + pad[::-1])
+    found = index.leaks(np.array(sum(docs, []), np.uint64), np.cumsum([0, *map(len, docs)]))
+    assert {x[2] for x in found} == {int(decontaminate.EDITS * size)}
+    assert np.mean([(i, i) in {x[:2] for x in found} for i in range(len(items))]) >= RECALL
+    assert all(x[0] == x[1] for x in found)
+
+
 def test_defined_cases(spark):
     passage = "one two three four five six seven eight nine ten"
     items = spark.createDataFrame([(1, passage, "x"), (1, passage, "x"), (2, "too short", "x"), (3, None, "x"),
