@@ -62,7 +62,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = add_leaks(docs, table(spark, sf_dir, "benchmark"), out="_leaks")
+    found = add_leaks(docs, table(spark, sf_dir, "benchmark"), out="_leaks", least_words=1)
     return _as_given(found.where(F.size("_leaks") == 0), docs)
 
 

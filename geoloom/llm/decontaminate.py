@@ -19,14 +19,21 @@ Parts are grouped by length, the window of a group being its smallest length. Be
 enough words of the group's parts for the distance to be possible at all; that test loses nothing. Documents are
 handled where they lie, in batches: no shuffle, no join. Only the items are broadcast; their size is checked.
 
-Defined cases: null or empty texts leak nothing; items that are null or have fewer than ``MIN_WORDS`` words are not
-searched, as any text might hold them by chance; repeated items are reported each; each document reports an item
+Items of fewer than ``MIN_WORDS`` words, which one word in five cannot be edited of, are searched exactly where the
+caller asks for it (``least_words``): every place of a text is compared with all of them by hashes of their first and
+last bytes, blanks counting as one space. They must stand between blanks, but on a side where the item begins or ends
+with a script that is written without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese), they may lie anywhere in a
+longer run; the reported words are those that the passage touches.
+
+Defined cases: null or empty texts leak nothing; items that are null or hold no word cannot be searched, and items of
+fewer than ``least_words`` words are not, as any text might hold them by chance; repeated items are reported each; each document reports an item
 once, at its closest (then first) passage. Repeated rows are judged each. Empty tables work. The result column
 replaces one of its name, all others stay.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +41,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from geoloom.llm.words import mix, word_hashes
+from geoloom.llm.words import byte_run_hashes, mix, word_hashes
 
 #: Edits allowed per word of an item, and words that an item must have.
 EDITS, MIN_WORDS = 0.2, 8
@@ -49,6 +56,11 @@ GROUP_GROWTH = 1.25
 MAX_ITEM_BYTES = 64 << 20
 #: Texts of an Arrow batch that are handled at once, in bytes (a longer text alone).
 PIECE = 1 << 22
+#: Letters and marks of scripts that are written without blanks.
+BLANKLESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u31ff\u3400-\u9fff\uf900-\ufaff"
+                       "\ufe30-\ufe4f\uff00-\uffef\U00020000-\U0003ffff]")
+#: Places of a text that are compared with short items at once.
+PLACES = 1 << 18
 _PAD = np.uint64(0x5BF03635F0A31E29)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = 20
@@ -189,9 +201,67 @@ class Index:
         return [(*key, *place) for key, place in sorted(best.items())]
 
 
+def plain(text: str) -> bytes:
+    """A text's words with one space between them, A-Z as a-z."""
+    return b" ".join(text.encode("utf-8", "replace").lower().split())
+
+
+class Exact:
+    """Items that are searched as they are: (number, text) each."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.items = [(i, plain(text)) for i, text in items]
+        free = [(bool(BLANKLESS.match(text.strip()[0])), bool(BLANKLESS.match(text.strip()[-1]))) for _, text in items]
+        # Per power of two: items whose first and last so many bytes overlap or meet, ordered by the first ones' hash.
+        self.levels = []
+        for width in sorted({1 << len(x).bit_length() - 1 for _, x in self.items}):
+            members = [k for k, (_, x) in enumerate(self.items) if width <= len(x) < 2 * width]
+            ends = [byte_run_hashes(np.frombuffer(self.items[k][1], np.uint8), width)[[0, -1]] for k in members]
+            order = np.argsort(np.array([e[0] for e in ends], np.uint64), kind="stable")
+            members = np.array(members)[order]
+            head, tail = np.array(ends, np.uint64)[order].T
+            self.levels.append((width, members, head, tail, np.array([len(self.items[k][1]) for k in members]),
+                                np.array([free[k] for k in members])))
+
+    def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+        """(text, item, 0, first word, word after the last) of the first passage of every item that a text holds."""
+        parts = [plain(t or "") for t in texts]
+        starts = np.cumsum([0, *[len(p) + 1 for p in parts]])
+        joined = np.frombuffer(b" ".join(parts) + b" " * 2, np.uint8)
+        first: dict[tuple[int, int], int] = {}
+        for width, members, head, tail, sizes, free in self.levels:
+            for begin in range(0, len(joined) - 1, PLACES):
+                piece = joined[begin: begin + PLACES + 2 * width]
+                if len(piece) < width:
+                    break
+                hashes = byte_run_hashes(piece, width)
+                lo, hi = np.searchsorted(head, hashes[:PLACES]), np.searchsorted(head, hashes[:PLACES], "right")
+                at, n = np.flatnonzero(hi > lo), (hi - lo)[hi > lo]
+                which = np.repeat(lo[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(at, n)
+                inside = at + sizes[which] < len(piece)
+                at, which = at[inside], which[inside]
+                end = at + sizes[which]
+                before = joined[begin + at - 1]
+                doc = np.searchsorted(starts, begin + at, "right") - 1
+                ok = hashes[end - width] == tail[which]
+                ok &= free[which, 0] | (begin + at == 0) | (before == 32)
+                ok &= free[which, 1] | (piece[end] == 32)
+                ok &= begin + end < starts[np.minimum(doc + 1, len(parts))]
+                for d, place, k in zip(doc[ok].tolist(), (begin + at[ok]).tolist(), members[which[ok]].tolist()):
+                    first.setdefault((d, k), place)
+        found = []
+        for (d, k), place in first.items():
+            i, item = self.items[k]
+            word = parts[d].count(b" ", 0, place - int(starts[d]))
+            found.append((d, i, 0, word, word + item.count(b" ") + 1))
+        return found
+
+
 def add_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leaks", item_key: str = "item_id",
-              item_text: str = "text") -> DataFrame:
-    """Adds the leaked items of every document as array<struct<item_id, distance, first_word, end_word>>."""
+              item_text: str = "text", least_words: int = MIN_WORDS) -> DataFrame:
+    """Adds the leaked items of every document as array<struct<item_id, distance, first_word, end_word>>. Items of
+    ``least_words`` to ``MIN_WORDS`` - 1 words are searched exactly."""
     rows = items.select(F.col(f"`{item_key}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).where(
         "text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
@@ -200,18 +270,24 @@ def add_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     held = rows.toArrow()
     words, first = word_hashes(held["text"])
     ids = held["id"].to_pylist()
+    short = [(i, held["text"][i].as_py()) for i in np.flatnonzero(
+        (np.diff(first) >= max(1, least_words)) & (np.diff(first) < MIN_WORDS)).tolist()]
     shared = docs.sparkSession.sparkContext.broadcast(
-        [words[lo:hi] for lo, hi in zip(first[:-1], first[1:])])
+        ([words[lo:hi] for lo, hi in zip(first[:-1], first[1:])], short))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        index = Index(shared.value)
+        index, exact = Index(shared.value[0]), Exact(shared.value[1])
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(len(batch))]
             sizes = np.array([0 if t is None else t for t in pa.compute.binary_length(batch).to_pylist()])
             lo = 0
             while lo < len(batch):
                 hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), PIECE, "right")) + lo)
-                for doc, item, distance, start, end in index.leaks(*word_hashes(batch.slice(lo, hi - lo))):
+                part = batch.slice(lo, hi - lo)
+                leaks = index.leaks(*word_hashes(part))
+                if exact.items:
+                    leaks = sorted(leaks + exact.leaks(part.to_pylist()))
+                for doc, item, distance, start, end in leaks:
                     found[lo + doc].append({"item_id": ids[item], "distance": distance, "first_word": start,
                                             "end_word": end})
                 lo = hi

@@ -92,6 +92,14 @@ def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out)
 
 
+def byte_run_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of every run of ``width`` bytes, A-Z counting as a-z."""
+    n = len(data)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _powers(_BASE, max(n, 1))[:n], out=sums[1:])
+    return mix((sums[width:] - sums[: n + 1 - width]) * _powers(_INVERSE, n + 1)[: n + 1 - width])
+
+
 def word_hashes(texts, separators: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and each text's first word (one more entry at the end)."""
     data, starts = utf8(texts)

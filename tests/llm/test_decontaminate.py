@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from geoloom.llm import decontaminate
-from geoloom.llm.decontaminate import RECALL, Index, add_leaks, closest
+from geoloom.llm.decontaminate import RECALL, Exact, Index, add_leaks, closest
 from geoloom.llm.decontaminate_query import op7_leaks
 from geoloom.llm.words import word_hashes
 from tests.conftest import SF_DIR
@@ -122,6 +122,23 @@ def test_defined_cases(spark):
     assert all(not r.leaks for r in add_leaks(docs, items.limit(0)).collect())
 
 
+def test_short_items_are_found_exactly(spark, monkeypatch, tmp_path):
+    long = "one two three four five six seven eight nine ten"
+    items = [(1, "What is the capital of Australia?"), (2, "\u65e5\u672c\u306e\u9996\u90fd\u306f\u3069\u3053\u3067\u3059\u304b\u3002"), (3, "Yes"), (4, " \t"), (5, None), (6, long)]
+    docs = [(1, "Q:  what is\nTHE capital of Australia? Canberra"), (2, "x \u306f\u3044\u3001" + items[1][1] + "\u6771\u4eac\u3067\u3059 y"),
+            (3, "yesterday, yes"), (4, "What is the capital of Austria?"), (5, None), (6, long + " YES"),
+            (7, "What is the capital"), (8, "of Australia?"), (9, "word " * 60_000 + items[1][1]), (10, "yes")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r.doc_id, r.item_id, r.distance, r.first_word, r.end_word) for r in op7_leaks(spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 0, 1, 7), (2, 2, 0, 1, 2), (3, 3, 0, 1, 2), (6, 3, 0, 10, 11), (6, 6, 0, 0, 10),
+                   (9, 2, 0, 60_000, 60_001), (10, 3, 0, 0, 1)]
+    texts = [t for _, t in docs]
+    want = sorted(Exact([(i, t) for i, t in items[:3]]).leaks(texts))
+    monkeypatch.setattr(decontaminate, "PLACES", 7)
+    assert sorted(Exact([(i, t) for i, t in items[:3]]).leaks(texts[:8])) == [x for x in want if x[0] < 8]
+
+
 def test_pieces_of_a_batch_do_not_matter(monkeypatch):
     monkeypatch.setattr(decontaminate, "PIECE", 10)
     assert word_hashes(pa.array(["a b", None, "A"]))[0][0] == word_hashes(pa.array(["A"]))[0][0]
