@@ -5,9 +5,12 @@
    ``GRAM + WINDOW - 1`` words gives a common fingerprint. An inverted index holds the templates' fingerprints, each
    with template and place. Templates shorter than that give all their hashes (the whole template, if it is shorter
    than a gram); documents are then looked up by all their hashes of that length, so short notices are found as well.
-2. Hits of one template are put on diagonals; neighbouring hits of nearby diagonals make one candidate region.
+2. Hits of one template are put on diagonals; neighbouring hits of nearby diagonals make one candidate region. A
+   reworded notice may share no fingerprint. So a place where enough of a template's words stand near each other, in any
+   order, is a region as well: a match needs ``LEAST_COVERAGE`` of the words, and as one word alone is at distance
+   words - 1, no closest alignment spans twice the template's words. This test loses no match.
 3. The template is aligned to the region by edit distance over words, in a band around the hits' diagonals, free at
-   the region's ends. The report has the words of the template that are matched in order, their share, and the span.
+   the region's ends; regions of the second kind are short and are aligned without a band. The report has the words of the template that are matched in order, their share, and the span.
 
 Documents are handled where they lie, in batches, without shuffle or join; the templates are a short list and are sent
 with the tasks.
@@ -88,6 +91,20 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
     return distance, -matched, start, end
 
 
+def align_whole(template: np.ndarray, words: np.ndarray) -> tuple[int, int, int, int]:
+    """As ``align``, without a band."""
+    step, most = 1 << 40, 1 << 17  # distance, most - matches and start in one number
+    j = np.arange(len(words) + 1)
+    row = (most << 22) + j
+    for t in template:
+        new = row + step
+        new[1:] = np.minimum(new[1:], row[:-1] + np.where(words == t, -(1 << 22), step))
+        row = np.minimum.accumulate(new - j * step) + j * step
+    end = int(row.argmin())
+    best = int(row[end])
+    return best >> 40, most - (best >> 22 & (1 << 18) - 1), best & (1 << 22) - 1, end
+
+
 class Templates:
     """Fingerprints of all templates, by length of their grams."""
 
@@ -107,6 +124,36 @@ class Templates:
             self.index.append((size, winnowed, np.array([h for h, _, _ in entries], np.uint64),
                                np.array([e[1:] for e in entries])))
 
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
+        # Per template: how often it holds each word.
+        self.held = np.array([np.bincount(np.searchsorted(self.vocabulary, w), minlength=len(self.vocabulary))
+                              for w in self.words])
+        self.need = [int(np.ceil(LEAST_COVERAGE * len(w))) for w in self.words]
+
+    def dense(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(template, place) where the next words hold enough of the template's, from one of them on."""
+        if not len(self.vocabulary):
+            return
+        slot = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        known = np.flatnonzero(self.vocabulary[slot] == words)
+        slot = slot[known]
+        for t, (held, need) in enumerate(zip(self.held, self.need)):
+            if len(known) < need:
+                continue
+            mine = held[slot] > 0
+            place, of = known[mine], slot[mine]
+            span = 2 * len(self.words[t])
+            at = place[: max(0, len(place) - need + 1)]
+            at = at[place[need - 1:] - at < span] if len(at) else at
+            if not len(at):
+                continue
+            total = np.zeros(len(at), np.int64)
+            for w in np.flatnonzero(held):
+                those = place[of == w]
+                total += np.minimum(held[w], np.searchsorted(those, at + span) - np.searchsorted(those, at))
+            for a in at[total >= need].tolist():
+                yield t, a
+
     def hits(self, words: np.ndarray) -> np.ndarray:
         """(template, diagonal, place) of all fingerprints of a document that the index holds."""
         found = [np.zeros((0, 3), np.int64)]
@@ -138,6 +185,16 @@ class Templates:
             if matched >= LEAST_COVERAGE * len(self.words[template]):
                 best.append((distance, template, lo + start, lo + end, matched))
             i = j
+        done = -1, 0  # template and end of its last exact copy
+        for template, at in self.dense(words):
+            if template == done[0] and at < done[1]:
+                continue
+            n, need = len(self.words[template]), self.need[template]
+            lo, hi = max(0, at - (n - need)), at + 2 * n + (n - need)
+            distance, matched, start, end = align_whole(self.words[template], words[lo:hi])
+            if matched >= need:
+                best.append((distance, template, lo + start, lo + end, matched))
+                done = (template, lo + end) if not distance else done
         kept: list[tuple[int, int, int, int, int]] = []
         for distance, template, start, end, matched in sorted(best):
             if all(k[0] != template or end <= k[1] or start >= k[2] for k in kept):

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from geoloom.llm.licenses import GRAM, LEAST_COVERAGE, WINDOW, Templates, add_licenses, align, grams, winnow
+from geoloom.llm.licenses import GRAM, LEAST_COVERAGE, WINDOW, Templates, add_licenses, align, grams, template_words, winnow
 from geoloom.llm.licenses_query import TEMPLATES, op6_licenses
 from tests.conftest import SF_DIR
 
@@ -62,6 +62,38 @@ def test_wide_bands_align_exactly(template, body):
     assert best_match(template, body[start:end])[0] == distance
 
 
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_one_changed_or_added_word(name):
+    """At every place, so that every run of words is broken somewhere."""
+    listed = [(name, template_words(TEMPLATES[name]))]
+    held, n = Templates(listed), len(listed[0][1])
+    pad = np.arange(1, 40, dtype=np.uint64)
+    for at in range(n):
+        for changed in (True, False):
+            if changed and n - 1 < LEAST_COVERAGE * n or not changed and at == 0:
+                continue
+            body = np.concatenate([pad, listed[0][1][:at], pad[:1], listed[0][1][at + changed:], pad])
+            ((_, _, _, matched, distance),) = held.matches(body)
+            assert (matched, distance) == (n - changed, 1)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.integers(1, 6), min_size=4, max_size=12), st.lists(st.integers(1, 9), max_size=40))
+def test_no_match_is_missed(template, body):
+    distance, matched = best_match(template, body)
+    got = Templates([("x", np.array(template, np.uint64))]).matches(np.array(body, np.uint64))
+    if -matched >= LEAST_COVERAGE * len(template):
+        assert min((d, -m) for _, _, _, m, d in got) == (distance, matched)
+    for _, start, end, m, d in got:
+        assert best_match(template, body[start:end]) == (d, -m)
+
+
+def test_reworded_notice_without_common_run(spark):
+    df = spark.createDataFrame([(1, "Released under the open MIT License")], "doc_id long, text string")
+    ((found,),) = add_licenses(df, TEMPLATES).select("licenses").collect()
+    assert [(x.license, x.matched_words, x.distance) for x in found] == [("MIT", 5, 1)]
+
+
 def test_common_runs_share_a_fingerprint():
     rng = random.Random(4)
     for _ in range(50):
