@@ -7,7 +7,8 @@
    class (the one that occurs once on every page). Classes that hold everywhere are nested into the template.
 3. What is left between template tokens are slots; the slots of the article are the main text. Slots below elements
    that never hold it (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, comments) are left
-   out, and so is text that belongs to the template.
+   out. Text that belongs to the template is left out only where the page's own text outweighs it, so copies of one
+   page on a host, however many, keep their text.
 
 Templates are joined to the pages by host. They are small, written to the shared folder first, so Spark broadcasts
 them when their size allows it and else shuffles, splitting hot hosts. Whole pages are read; nothing is gathered per
@@ -128,13 +129,20 @@ def page_tokens(html: str) -> list[tuple[int, str | None, int, bool]]:
 
 
 def main_text(tokens: list[tuple[int, str | None, int, bool]], template: frozenset[int] = frozenset()) -> str:
-    """The blocks of the article's slots (else the main element's, else all), without template and boilerplate."""
-    kept = [(text, where) for token, text, where, dropped in tokens
-            if text is not None and not dropped and token not in template]
-    for level in (1, 2):
-        if any(where & level for _, where in kept):
-            return " ".join(text for text, where in kept if where & level)
-    return " ".join(text for text, _ in kept)
+    """The blocks of the article's slots (else the main element's, else all), without boilerplate, and without template
+    text where the page's own text outweighs it there, in blocks or characters; else they stay whole."""
+    blocks = [(text, where, token in template) for token, text, where, dropped in tokens
+              if text is not None and not dropped]
+    whole: list[str] = []
+    for level in (1, 2, 0):
+        held = [(text, shared) for text, where, shared in blocks if not level or where & level]
+        own, taken = [t for t, shared in held if not shared], [t for t, shared in held if shared]
+        if own and (len(own) >= len(taken) or sum(map(len, own)) >= sum(map(len, taken))):
+            return " ".join(own)
+        if own and not whole:
+            return " ".join(t for t, _ in held)
+        whole = whole or [t for t, _ in held]
+    return " ".join(whole)
 
 
 def _texts(column: pa.Array) -> list[str]:

@@ -3,6 +3,7 @@
 import html as entities
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from geoloom.llm.html import candidate_classes, extract_text, main_text, occurrence_vectors, page_tokens, templates
@@ -51,6 +52,23 @@ def test_template_text_is_left_out(spark):
     assert {r.page_id: r.text for r in out.collect()} == {i: f"own {i}" for i in range(25)}
 
 
+@pytest.mark.parametrize("copies", [2, 19, 20, 2000])
+def test_copies_of_a_page_keep_their_text(spark, copies):
+    rows = [(i, f"http://a.com/{i}", f"<body><article><h1>Head</h1><p>First part.</p><p>Second part.</p></article>"
+             "<div>links</div></body>", "", "") for i in range(copies)]
+    got = [r.text for r in extract_text(pages_of(spark, rows)).collect()]
+    assert got == ["Head First part. Second part."] * copies
+    rows = [(i, u, h.replace("</article>", f"<p>{i}</p></article>"), t, o) for i, u, h, t, o in rows]
+    got = sorted((r.page_id, r.text) for r in extract_text(pages_of(spark, rows)).collect())
+    assert got == [(i, f"Head First part. Second part. {i}") for i in range(copies)]
+
+
+def test_an_article_of_the_template_is_not_the_main_text():
+    tokens = page_tokens("<article><p>Teaser</p></article><main><p>Own text of this page</p></main>")
+    shared = frozenset(t for t, text, _, _ in tokens if text == "Teaser")
+    assert main_text(tokens, shared) == "Own text of this page"
+
+
 def test_classes(spark):
     rows = [("h", i, f"<div><i>x{i}</i></div>" + "<ul><li>q</li></ul>" * (1 + i % 2)) for i in range(30)]
     pages = spark.createDataFrame(rows, "host string, page long, html string")
