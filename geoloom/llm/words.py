@@ -12,10 +12,11 @@ import pyarrow as pa
 #: Bytes whose running sums are held at once; a single longer word is hashed alone.
 PIECE = 1 << 18
 _RNG = np.random.default_rng(20_240_229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
+#: Values of bytes as they are, and with A-Z counting as a-z.
+CASED = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_BYTE = _BYTE[_LOWER]
+_BYTE = CASED[_LOWER]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: dict[int, np.ndarray] = {}
@@ -77,21 +78,29 @@ def word_spans(data: np.ndarray, starts: np.ndarray, separators: np.ndarray = SP
     return begins, ends, np.searchsorted(begins, starts)
 
 
-def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans in ascending order, A-Z counting as a-z."""
+def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """64-bit hashes of byte spans in ascending order, A-Z counting as a-z unless other ``values`` are given."""
     out = np.empty(len(begins), np.uint64)
     i = 0
     while i < len(begins):
         j = max(i + 1, int(np.searchsorted(ends, begins[i] + PIECE, "right")))
         lo, hi = int(begins[i]), int(ends[j - 1])
         sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE[data[lo:hi]] * _powers(_BASE, max(hi - lo, 1))[: hi - lo], out=sums[1:])
+        np.cumsum(values[data[lo:hi]] * _powers(_BASE, max(hi - lo, 1))[: hi - lo], out=sums[1:])
         at = begins[i:j] - lo
         out[i:j] = (sums[ends[i:j] - lo] - sums[at]) * _powers(_INVERSE, hi - lo + 1)[at]
         i = j
     return mix(out)
 
 
+def run_hashes(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of hashed words, of any lengths and places."""
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _powers(_BASE, max(len(words), 1))[: len(words)], out=sums[1:])
+    inverse = _powers(_INVERSE, len(words) + 1)
+    return mix((sums[ends] - sums[begins]) * inverse[begins] + mix((ends - begins).astype(np.uint64)))
+
+
 def byte_run_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes of every run of ``width`` bytes, A-Z counting as a-z."""
     n = len(data)
