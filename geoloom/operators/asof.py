@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from geoloom.functions.geo import quoted
-from geoloom.operators.ordering import add_parts
+from geoloom.operators.ordering import EARLIER, split_hot
 from geoloom.operators.skew import DEFAULT_POLICY, HotPolicy
 
 
@@ -17,7 +17,7 @@ def asof_join(
 
     ``by`` is a column of both sides; the other column names must differ. Of right rows at one time the
     largest ``tiebreak`` wins. Both sides are merged into one order per key; a long key is cut into parts
-    along time, and the last right row of earlier parts is carried over from one row per part.
+    along time, side and tiebreak, so also one hot time is split, and the last right row of earlier parts is carried over from one row per part.
     """
     payload = [c for c in right.columns if c != by]
     clash = set(payload) & set(left.columns)
@@ -37,24 +37,24 @@ def asof_join(
         F.lit(None).cast(right_side.schema["_tie"].dataType).alias("_tie"),
         left_row.alias("_l"), none_right.alias("_r"),
     )
-    merged = add_parts(right_side.unionByName(left_side), F.col("_by"), "_time", policy)
-    latest = F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_time", "_tie")))
-    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per part of a hot key; without hot keys the table is empty and its join falls away.
-    carried = merged.where(F.col("_hot")).groupBy("_group", "_part").agg(latest.alias("_latest")).select(
-        "_group", "_part", F.last("_latest", ignorenulls=True).over(before).alias("_carried")
-    )
-    within = Window.partitionBy("_group", "_part").orderBy(
-        F.col("_time").asc_nulls_last(), "_side", "_tie"
-    ).rowsBetween(Window.unboundedPreceding, 0)
-    found = F.coalesce(F.last("_r", ignorenulls=True).over(within), F.col("_carried"))
+    merged = right_side.unionByName(left_side)
+    order = [F.col("_time").asc_nulls_last(), F.col("_side").asc(), F.col("_tie").asc()]
+    split = split_hot(merged, F.col("_by"), order, policy)
+    upto = (Window.unboundedPreceding, 0)
+    found = F.last("_r", ignorenulls=True)
+    joined = split.rows.withColumn("_found", found.over(Window.partitionBy("_group").orderBy(*order).rowsBetween(*upto)))
+    if split.hot is not None:
+        latest = F.max_by("_r", F.when(F.col("_side") == 0, F.col("_place")))
+        # One row per part of a hot key: at most hot groups + ranges rows, see Split.
+        carried = split.hot.groupBy("_group", "_part").agg(latest.alias("_latest")).select(
+            "_group", "_part", F.last("_latest", ignorenulls=True).over(
+                Window.partitionBy("_group").orderBy("_part").rowsBetween(*EARLIER)).alias("_carried"))
+        here = Window.partitionBy("_group", "_part").orderBy("_place").rowsBetween(*upto)
+        hot = split.hot.join(F.broadcast(carried), ["_group", "_part"]).withColumn(
+            "_found", F.coalesce(found.over(here), F.col("_carried")))
+        joined = joined.unionByName(hot.select(*joined.columns))
     matched = F.when(F.col("_time").isNotNull() & F.col("_by").isNotNull(), F.col("_found"))
-    return (
-        merged.join(carried.hint("merge"), ["_group", "_part"], "left")
-        .withColumn("_found", found)
-        .where(F.col("_side") == 1)
-        .select(
-            *[F.col("_l").getField(c).alias(c) for c in left.columns],
-            *[matched.getField(c).alias(c) for c in payload],
-        )
+    return joined.where(F.col("_side") == 1).select(
+        *[F.col("_l").getField(c).alias(c) for c in left.columns],
+        *[matched.getField(c).alias(c) for c in payload],
     )

@@ -2,194 +2,159 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from dataclasses import dataclass
 
-from geoloom.functions.geo import is_finite, quoted
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
+
+from geoloom.functions.geo import quoted
 from geoloom.functions.text import natural_key
 from geoloom.operators.skew import DEFAULT_POLICY, HotPolicy, hot_groups
+from geoloom.session import materialise, store
 
 
-def order_expression(df: DataFrame, order: str) -> Column:
-    """Typed sort value of an order column; text sorts with its digit runs as numbers."""
-    value = quoted(order)
-    return natural_key(value) if isinstance(df.schema[order].dataType, T.StringType) else value
-
-
-def order_number(df: DataFrame, order: str, natural: bool = True) -> Column:
-    """What a group is cut by: a number that never decreases along the sort order, or hex text of a text key."""
-    dtype = df.schema[order].dataType
-    value = quoted(order)
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(value).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(value).cast("double")
-    if isinstance(dtype, T.TimestampNTZType):
-        # From the fields of the wall clock, so that no time zone takes part.
-        days, in_hour = F.unix_date(value.cast("date")), F.minute(value) * 60
-        return days * 86400.0 + F.hour(value) * 3600 + in_hour + F.extract(F.lit("SECOND"), value).cast("double")
-    if isinstance(dtype, T.StringType):
-        return F.hex(F.encode(natural_key(value) if natural else value, "UTF-8"))
-    if isinstance(dtype, T.NumericType):
-        return value.cast("double")
-    raise TypeError(f"Cannot order by a column of type {dtype.simpleString()}.")
-
-
-PREFIX_BYTES = 256
-# Letters and digits fill a small part of the byte range, so text is cut into more steps.
-TEXT_STEPS = 16
-
-
-def _bounds(at: Column, text: bool, name: str) -> list[Column]:
-    """Smallest and largest finite value, as aggregates."""
-    usable = at if text else F.when(is_finite(at), at)
-    return [F.min(usable).alias(f"{name}_low"), F.max(usable).alias(f"{name}_high")]
-
-
-def _with_prefix(table: DataFrame, text: bool, name: str) -> DataFrame:
-    """Adds the length of the hex text that a group's smallest and largest key share."""
-    if not text:
-        return table.withColumn(f"{name}_skip", F.lit(0))
-    low, high = F.col(f"{name}_low"), F.col(f"{name}_high")
-    shared = F.filter(F.sequence(F.lit(1), F.lit(PREFIX_BYTES)), lambda i: (
-        (i * 2 <= F.least(F.length(low), F.length(high))) & (F.substring(low, 1, i * 2) == F.substring(high, 1, i * 2))))
-    return table.withColumn(f"{name}_skip", F.size(shared) * 2)
-
-
-def _step(at: Column, text: bool, low: Column, high: Column, skip: Column, parts: Column) -> Column:
-    """Which of ``parts`` equal steps between the bounds a value falls in; null, NaN and infinity come last."""
-    if text:
-        def number(key: Column) -> Column:
-            return F.conv(F.rpad(F.substring(key, skip + 1, F.lit(12)), 12, "0"), 16, 10).cast("double")
-
-        at, low, high, parts = number(at), number(low), number(high), parts * TEXT_STEPS
-    step = F.floor((at - low) / (high - low) * parts)
-    return (
-        F.when(at.isNull() | F.isnan(at) | (at == float("inf")), parts)
-        .when((at == float("-inf")) | (high <= low), F.lit(0))
-        .otherwise(F.least(parts - 1, step))
-        .cast("bigint")
-    )
+@dataclass(frozen=True)
+class SortKey:
+    """A column to sort by. Text of an order (not of a tiebreak) sorts with its digit runs as numbers."""
 
+    name: str
+    descending: bool = False
+    nulls_first: bool = False
+    natural: bool = True
+
+
+Order = str | SortKey | list[str | SortKey]
+#: Bits of an increasing id that hold a row's place within its partition.
+PLACE_BITS = 33
+
+
+def sort_keys(order: Order, natural: bool = True) -> list[SortKey]:
+    given = order if isinstance(order, list) else [order]
+    return [k if isinstance(k, SortKey) else SortKey(k, natural=natural) for k in given]
 
-def add_parts(
-    df: DataFrame, group: Column, order: str, policy: HotPolicy = DEFAULT_POLICY, tie: str | None = None
-) -> DataFrame:
-    """Adds ``_group`` (null-safe group value), ``_hot`` and ``_part``, which grows along the order in a group.
 
-    Ordinary groups are one part. A hot group is cut into equal steps between its smallest and largest
-    order value, and where one order value alone is hot, its rows are cut along ``tie``. Bounds are exact
-    minima and maxima, so every use of the plan cuts the same way.
+def order_expression(df: DataFrame, key: SortKey | str) -> Column:
+    """Typed sort value of an order column."""
+    key = sort_keys(key)[0]
+    value = quoted(key.name)
+    if isinstance(df.schema[key.name].dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        raise TypeError(f"Cannot order by a column of type {df.schema[key.name].dataType.simpleString()}.")
+    return natural_key(value) if key.natural and isinstance(df.schema[key.name].dataType, T.StringType) else value
+
+
+def sort_columns(df: DataFrame, keys: list[SortKey]) -> list[Column]:
+    """Sort columns with direction and place of nulls."""
+    out = []
+    for k in keys:
+        value = order_expression(df, k)
+        if k.descending:
+            out.append(value.desc_nulls_first() if k.nulls_first else value.desc_nulls_last())
+        else:
+            out.append(value.asc_nulls_first() if k.nulls_first else value.asc_nulls_last())
+    return out
+
+
+@dataclass(frozen=True)
+class Split:
+    """Rows with ``_group`` (null-safe group value): ordinary groups, and hot ones (or None).
+
+    Hot rows are stored in ranges of about equal size by group and order: ``_part`` is a row's range and ``_place`` its
+    place there, in order. There are at most (hot groups + ranges) pairs of group and part.
     """
-    text = isinstance(df.schema[order].dataType, T.StringType)
-    base = df.withColumn("_group", F.struct(group.alias("value"))).withColumn("_at", order_number(df, order))
-    hot = _with_prefix(hot_groups(
-        base.select("_group", "_at"), ["_group"], policy, *_bounds(F.col("_at"), text, "_at")), text, "_at")
-    step = _step(F.col("_at"), text, *[F.col(c) for c in ("_at_low", "_at_high", "_at_skip", "_parts")])
-    # The hot table has at most policy.max_groups rows, see HotPolicy.
-    cut = base.join(F.broadcast(hot), "_group", "left").withColumn("_hot", F.col("_parts").isNotNull()).withColumn(
-        "_step", F.when(F.col("_hot"), step).otherwise(F.lit(0).cast("bigint"))
-    ).drop("_at", "_at_low", "_at_high", "_at_skip", "_parts")
-    if tie is None:
-        return cut.withColumnRenamed("_step", "_part")
-    return _split_ties(cut, df, order, tie, policy)
-
-
-def _split_ties(cut: DataFrame, df: DataFrame, order: str, tie: str, policy: HotPolicy) -> DataFrame:
-    """Makes ``_part`` of a step that holds a hot order value finer: by order value, then by steps of the tie."""
-    text = isinstance(df.schema[tie].dataType, T.StringType)
-    value = order_expression(df, order)
-    # A tiebreak sorts by its plain value.
-    at = order_number(df, tie, natural=False)
-    valued = cut.where(F.col("_hot")).select("_group", "_step", F.struct(value.alias("v")).alias("_value"), at.alias("_tie"))
-    crowded = _with_prefix(
-        hot_groups(valued, ["_group", "_step", "_value"], policy, *_bounds(F.col("_tie"), text, "_tie")), text, "_tie")
-    # At most policy.max_groups hot values over all steps, so the table is bounded like the one of hot groups.
-    steps = crowded.groupBy("_group", "_step").agg(F.collect_list(
-        F.struct("_value", "_parts", "_tie_low", "_tie_high", "_tie_skip")).alias("_crowd"))
-    found = F.get(F.filter("_crowd", lambda c: c["_value"]["v"].eqNullSafe(value)), 0)
-    split = F.col("_crowd").isNotNull()
-    finer = F.when(F.col("_this").isNotNull(), _step(
-        at, text, *[F.col("_this")[c] for c in ("_tie_low", "_tie_high", "_tie_skip", "_parts")]))
-    return (
-        cut.join(F.broadcast(steps), ["_group", "_step"], "left")
-        .withColumn("_this", found)
-        .withColumn("_part", F.struct(
-            "_step", F.when(split, value.isNull()).alias("last"), F.when(split, value).alias("value"),
-            F.coalesce(finer, F.lit(0).cast("bigint")).alias("tie_step"),
-        ))
-        .drop("_step", "_crowd", "_this")
-    )
+
+    rows: DataFrame
+    hot: DataFrame | None
+
+
+def split_hot(df: DataFrame, group: Column, order: list[Column], policy: HotPolicy = DEFAULT_POLICY) -> Split:
+    """Splits hot groups along the order by Spark's range partitioning.
+
+    Its cut points are quantiles of a sample, so they follow any distribution: outliers, frequent values (rows that
+    agree in the whole order are cut by their place in the input) and any type that sorts, in any direction. Without
+    hot groups nothing is stored and the input is read once more than its result needs, for the counts. With them it
+    is read once again to be stored, hot and other rows apart.
+    """
+    base = df.withColumn("_group", F.struct(group.alias("value")))
+    # At most policy.max_groups rows, see HotPolicy.
+    found = materialise(hot_groups(base.select("_group"), ["_group"], policy))
+    parts = found.agg(F.sum("_parts")).first()[0]
+    if not parts:
+        return Split(base, None)
+    marked = base.join(F.broadcast(found), "_group", "left").withColumn("_hot", F.col("_parts").isNotNull()).drop("_parts")
+    kept = store(marked, "split", "_hot")
+    hot = kept.where("_hot").drop("_hot").withColumn("_row", F.monotonically_increasing_id())
+    # More ranges than this gain nothing, and the driver keeps a cut point for each.
+    ranges = hot.repartitionByRange(min(int(parts), policy.max_groups), "_group", *order, "_row")
+    placed = ranges.sortWithinPartitions("_group", *order, "_row").drop("_row").withColumn("_id", F.monotonically_increasing_id())
+    stored = store(placed, "ranges").withColumn("_part", F.shiftright("_id", PLACE_BITS)).withColumn(
+        "_place", F.col("_id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1))).drop("_id")
+    return Split(kept.where("NOT _hot").drop("_hot"), stored)
+
+
+def _along(part: str = "_part") -> WindowSpec:
+    return Window.partitionBy("_group").orderBy(part)
+
+
+EARLIER = (Window.unboundedPreceding, -1)
+
+
+def _placed(split: Split, order: list[Column], first: list[str]) -> DataFrame:
+    """All rows with ``_position``, ``_total`` and ``_first_<i>`` of the group's first row. Rows of ordinary groups are
+    shuffled once by group, hot ones are numbered where they lie."""
+    within = Window.partitionBy("_group")
+    ordered = within.orderBy(*order)
+    firsts = [F.struct(quoted(c).alias("v")) for c in first]
+    rows = split.rows.withColumns({
+        "_position": F.row_number().over(ordered).cast("bigint"), "_total": F.count(F.lit(1)).over(within),
+        **{f"_first_{i}": F.first(c).over(ordered) for i, c in enumerate(firsts)}})
+    if split.hot is None:
+        return rows
+    parts = split.hot.groupBy("_group", "_part").agg(
+        F.min("_place").alias("_start"), F.count(F.lit(1)).alias("_rows"),
+        *[F.min_by(c, "_place").alias(f"_first_{i}") for i, c in enumerate(firsts)])
+    parts = parts.select(
+        "_group", "_part", "_start", F.coalesce(F.sum("_rows").over(_along().rowsBetween(*EARLIER)), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(within).alias("_total"),
+        *[F.first(f"_first_{i}").over(_along()).alias(f"_first_{i}") for i in range(len(first))])
+    # At most hot groups + ranges rows, see Split.
+    hot = split.hot.join(F.broadcast(parts), ["_group", "_part"]).withColumn(
+        "_position", F.col("_before") + F.col("_place") - F.col("_start") + 1)
+    return rows.unionByName(hot.select(*[quoted(c) for c in rows.columns]))
 
 
 def add_positions(
     df: DataFrame,
     group: str | None,
-    order: str,
-    tiebreak: list[str] | None = None,
+    order: Order,
+    tiebreak: list[str | SortKey] | None = None,
     first: list[str] | None = None,
     size: bool = True,
     policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
-    """Adds ``position`` (from 1) and, with ``size``, ``group_rows`` per group, nulls of ``order`` last.
+    """Adds ``position`` (from 1) and, with ``size``, ``group_rows`` per group.
 
-    ``first`` names columns whose value in the group's first row is added as ``first_<name>``.
-    The rows are shuffled once, by group and part. For hot groups one small row per part tells what lies in
-    the parts before it; without hot groups that table is empty and its join falls away at run time.
-    Rows of a group that agree in order and first tiebreak must still fit one task.
+    ``order`` is a column or several, each with its direction and place of nulls (:class:`SortKey`; last unless said
+    otherwise); ``first`` names columns whose value in the group's first row is added as ``first_<name>``. Rows that
+    agree in order and tiebreak come in any order.
     """
     first = first or []
-    parted, parts, sort = _parted(df, group, order, tiebreak or [], first, policy)
-    within = Window.partitionBy("_group", "_part")
-    added = {"position": F.row_number().over(within.orderBy(*sort)) + F.coalesce("_before", F.lit(0))}
+    keys = sort_columns(df, [*sort_keys(order), *sort_keys(tiebreak or [], natural=False)])
+    placed = _placed(split_hot(df, F.lit(0) if group is None else quoted(group), keys, policy), keys, first)
+    added = {"position": F.col("_position")}
     if size:
-        added["group_rows"] = F.coalesce("_total", F.count(F.lit(1)).over(within))
-    for i, name in enumerate(first):
-        here = F.struct(F.first(quoted(name)).over(within.orderBy(*sort)).alias("v"))
-        added[f"first_{name}"] = F.coalesce(f"_first_{i}", here)["v"]
-    return _with_parts(parted, parts).select(
-        *[quoted(c) for c in df.columns], *[value.alias(name) for name, value in added.items()]
-    )
-
-
-def _parted(df, group, order, tiebreak, first, policy):
-    """(rows with their part, one row per part of a hot group, sort order)."""
-    key = F.lit(0) if group is None else quoted(group)
-    parted = add_parts(df, key, order, policy, tiebreak[0] if tiebreak else None)
-    value = order_expression(df, order)
-    ties = [quoted(c) for c in tiebreak]
-    rank = F.struct(value.isNull(), value, *[x for c in ties for x in (c.isNull(), c)])
-    firsts = [F.min_by(F.struct(quoted(c).alias("v")), rank).alias(f"_first_{i}") for i, c in enumerate(first)]
-    parts = parted.where(F.col("_hot")).groupBy("_group", "_part").agg(F.count(F.lit(1)).alias("_rows"), *firsts)
-    along = Window.partitionBy("_group").orderBy("_part")
-    parts = parts.select(
-        "_group", "_part",
-        F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy("_group")).alias("_total"),
-        (F.col("_part") == F.max("_part").over(Window.partitionBy("_group"))).alias("_is_last_part"),
-        *[F.first(f"_first_{i}").over(along).alias(f"_first_{i}") for i in range(len(first))],
-    )
-    return parted, parts, [value.asc_nulls_last(), *[c.asc_nulls_last() for c in ties]]
-
-
-def _with_parts(parted: DataFrame, parts: DataFrame) -> DataFrame:
-    # Merge keeps the shuffle by group and part, which the window after it needs as well.
-    return parted.join(parts.hint("merge"), ["_group", "_part"], "left")
+        added["group_rows"] = F.col("_total")
+    added |= {f"first_{name}": F.col(f"_first_{i}")["v"] for i, name in enumerate(first)}
+    return placed.select(*[quoted(c) for c in df.columns], *[value.alias(name) for name, value in added.items()])
 
 
 def decimate_path(
-    df: DataFrame, group: str, order: str, every: int = 5, tiebreak: list[str] | None = None,
+    df: DataFrame, group: str, order: Order, every: int = 5, tiebreak: list[str | SortKey] | None = None,
     policy: HotPolicy = DEFAULT_POLICY,
 ) -> DataFrame:
     """Keeps the first, the last and every ``every``-th row of each group."""
-    parted, parts, sort = _parted(df, group, order, tiebreak or [], [], policy)
-    within = Window.partitionBy("_group", "_part").orderBy(*sort)
-    placed = _with_parts(parted, parts).select(
-        *[quoted(c) for c in df.columns],
-        (F.row_number().over(within) + F.coalesce("_before", F.lit(0))).alias("_position"),
-        (F.lead(F.lit(1)).over(within).isNull() & F.coalesce("_is_last_part", F.lit(True))).alias("_is_last"),
-    )
-    keep = (F.col("_position") == 1) | F.col("_is_last") | (F.col("_position") % every == 0)
-    return placed.where(keep).drop("_position", "_is_last")
+    keys = sort_columns(df, [*sort_keys(order), *sort_keys(tiebreak or [], natural=False)])
+    placed = _placed(split_hot(df, quoted(group), keys, policy), keys, [])
+    keep = (F.col("_position") == 1) | (F.col("_position") == F.col("_total")) | (F.col("_position") % every == 0)
+    return placed.where(keep).select(*[quoted(c) for c in df.columns])
 
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
@@ -242,28 +207,24 @@ def exact_median(
     weights = df.where(quoted(value).isNotNull() & ~F.isnan(quoted(value))).groupBy(
         quoted(group).alias("_key"), quoted(value).cast("double").alias("_value")
     ).agg(F.count(F.lit(1)).alias("_weight"))
-    parted = add_parts(weights, F.col("_key"), "_value", policy)
-    along = Window.partitionBy("_group").orderBy("_part")
-    parts = parted.where(F.col("_hot")).groupBy("_group", "_part").agg(F.sum("_weight").alias("_rows")).select(
-        "_group", "_part",
-        F.coalesce(F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy("_group")).alias("_total"),
-        F.sum("_rows").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
-    )
-    low = F.floor((F.col("_total") + 1) / 2).cast("bigint")
-    high = F.ceil((F.col("_total") + 1) / 2).cast("bigint")
-    # At most two parts of a hot group hold its middle: at most 2 * policy.max_groups rows.
-    middle = F.broadcast(parts.where((F.col("_before") < high) & (F.col("_upto") >= low)).drop("_upto"))
-    within = Window.partitionBy("_group", "_part")
+    split = split_hot(weights, F.col("_key"), [F.col("_value").asc()], policy)
+    within = Window.partitionBy("_group")
     upto = within.orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = parted.join(middle, ["_group", "_part"], "left").where(
-        ~F.col("_hot") | F.col("_total").isNotNull()
-    ).select(
-        "_key", "_value", "_weight", F.coalesce("_total", F.sum("_weight").over(within)).alias("_total"),
-        (F.sum("_weight").over(upto) + F.coalesce("_before", F.lit(0))).alias("_last"),
-    ).withColumn("_first", F.col("_last") - F.col("_weight") + 1)
-    lower = F.max(F.when((F.col("_first") <= low) & (F.col("_last") >= low), F.col("_value")))
-    upper = F.max(F.when((F.col("_first") <= high) & (F.col("_last") >= high), F.col("_value")))
+    placed = split.rows.withColumn("_total", F.sum("_weight").over(within)).withColumn("_last", F.sum("_weight").over(upto))
+    low, high = (F.floor((F.col("_total") + 1) / 2).cast("bigint"), F.ceil((F.col("_total") + 1) / 2).cast("bigint"))
+    if split.hot is not None:
+        parts = split.hot.groupBy("_group", "_part").agg(F.sum("_weight").alias("_rows")).select(
+            "_group", "_part", F.coalesce(F.sum("_rows").over(_along().rowsBetween(*EARLIER)), F.lit(0)).alias("_before"),
+            F.sum("_rows").over(within).alias("_total"),
+            F.sum("_rows").over(_along().rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"))
+        # At most two parts of a hot group hold its middle: at most 2 * policy.max_groups rows, and only those parts move.
+        middle = F.broadcast(parts.where((F.col("_before") < high) & (F.col("_upto") >= low)).drop("_upto"))
+        here = Window.partitionBy("_group", "_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+        hot = split.hot.join(middle, ["_group", "_part"]).withColumn("_last", F.col("_before") + F.sum("_weight").over(here))
+        placed = placed.unionByName(hot.select(*placed.columns))
+    begin = F.col("_last") - F.col("_weight") + 1
+    lower = F.max(F.when((begin <= low) & (F.col("_last") >= low), F.col("_value")))
+    upper = F.max(F.when((begin <= high) & (F.col("_last") >= high), F.col("_value")))
     return placed.groupBy("_key").agg(lower.alias("_lower"), upper.alias("_upper")).select(
         F.col("_key").alias(group),
         (F.col("_lower") + (F.col("_upper") - F.col("_lower")) * 0.5).alias(name),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,10 +38,29 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, for tables that are written and read back."""
-    import uuid
+    """A fresh path below the shared folder, for tables that are written and read back.
 
-    return f"{shared_dir(spark).rstrip('/')}/geoloom-{name}-{uuid.uuid4().hex}"
+    All paths of an application lie in one folder, which goes when the application ends.
+    """
+    context = spark.sparkContext
+    root = f"{shared_dir(spark).rstrip('/')}/geoloom-{context.applicationId}"
+    if root not in _ROOTS:
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+_ROOTS: set[str] = set()
+
+
+def store(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """``df`` written once as Parquet below the shared folder and read back, with a folder per value of ``by``."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def isolated_session(spark: SparkSession) -> SparkSession:

@@ -6,9 +6,10 @@ from pyspark.sql import Window, functions as F
 
 from geoloom.operators.asof import asof_join
 from geoloom.operators.ordering import (
-    add_group_size, add_parts, add_positions, decimate_path, deduplicate, exact_median, order_number, top_per_group,
+    SortKey, add_group_size, add_positions, decimate_path, deduplicate, exact_median, sort_columns, sort_keys, split_hot,
+    top_per_group,
 )
-from geoloom.operators.skew import DEFAULT_POLICY
+from geoloom.operators.skew import DEFAULT_POLICY, HotPolicy
 from tests.conftest import values
 
 
@@ -43,8 +44,6 @@ def test_positions_of_other_order_types(spark, tiny, sql_type):
     df = spark.range(91).select(F.lit("g").alias("g"), value.alias("o"), number.alias("n"))
     got = add_positions(df, "g", "o", policy=tiny)
     assert got.where(F.col("position") != F.col("n") + 1).count() == 0 and got.count() == 91
-    ordered = [r[0] for r in df.orderBy("n").select(order_number(df, "o")).collect()]
-    assert ordered == sorted(ordered)
 
 
 @pytest.mark.parametrize("tie", ["i", "s", "t"])
@@ -58,15 +57,66 @@ def test_hot_order_values_are_cut_along_the_tiebreak(spark, tiny, crowd, tie):
     want = df.select("i", F.row_number().over(w).cast("bigint").alias("position"))
     got = add_positions(df, "g", "o", [tie], policy=tiny)
     assert sorted(values(got, "i", "position")) == sorted(values(want))
-    parts = add_parts(df, F.col("g"), "o", tiny, tie).groupBy("_part").count()
-    assert parts.agg(F.max("count")).first()[0] <= 20
-
-
-def test_text_orders_with_a_long_common_prefix_are_cut(spark, tiny):
-    df = spark.range(60).select(F.lit("g").alias("g"), F.concat(F.lit("https://example.org/a/b/"), "id").alias("o"), "id")
-    parts = add_parts(df, F.col("g"), "o", tiny).groupBy("_part").count()
-    assert parts.count() > 5
-    assert add_positions(df, "g", "o", policy=tiny).where(F.col("position") != F.col("id") + 1).count() == 0
+    assert largest_part(df, tiny, ["o", tie]) <= 2 * tiny.part_rows
+
+
+def largest_part(df, policy, order):
+    split = split_hot(df, F.col("g"), sort_columns(df, sort_keys(order)), policy)
+    return split.hot.groupBy("_part").count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("order", [
+    "CASE WHEN id = 7 THEN 1e300 ELSE id / 1000D END", "CASE WHEN id = 7 THEN -9e15D ELSE id * 1D END", "pow(1.7D, id % 1000)",
+    "CASE WHEN id = 7 THEN repeat('z', 400) ELSE concat('https://example.org/a/b/', id) END",
+    "CASE WHEN id = 7 THEN '' ELSE concat(repeat('same ', 60), id) END",
+    "TIMESTAMP_NTZ '2024-01-01'", "CASE WHEN id = 7 THEN DATE '0001-01-01' ELSE date_add(DATE '2024-01-01', CAST(id AS INT)) END",
+    "CAST(NULL AS STRING)", "CAST(1 AS DECIMAL(38, 2))"])
+def test_no_distribution_leaves_a_large_part(spark, order):
+    """One outlier, one common value, a long common prefix: every part of a hot group stays near the target."""
+    policy = HotPolicy(floor_rows=1000, max_groups=50, part_rows=200)
+    df = spark.range(4000, numPartitions=4).selectExpr("'g' AS g", f"{order} AS o", "id", "concat('g', id % 40) AS cold")
+    assert largest_part(df, policy, ["o"]) <= 2 * policy.part_rows
+    keys = [F.col("o").asc_nulls_last() if "repeat" not in order and "concat" not in order else sort_columns(df, sort_keys("o"))[0]]
+    want = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy(*keys, "id")).cast("bigint").alias("position"))
+    assert values(add_positions(df, "g", "o", ["id"], policy=policy).select("id", "position").orderBy("id")) == values(want.orderBy("id"))
+
+
+def test_groups_that_cross_parts_and_rows_that_agree(spark):
+    policy = HotPolicy(floor_rows=20, max_groups=50, part_rows=16)
+    df = spark.range(600).selectExpr("CASE WHEN id < 90 THEN id % 30 ELSE id % 3 END AS g", "id % 2 AS o", "id")
+    got = add_positions(df, "g", "o", policy=policy)
+    assert got.count() == 600 and got.groupBy("g", "position").count().where("count > 1").count() == 0
+    assert got.where("position > group_rows OR position < 1").count() == 0
+    w = Window.partitionBy("g").orderBy("position")
+    assert got.withColumn("before", F.lag("o").over(w)).where("before > o").count() == 0
+
+
+@pytest.mark.parametrize("descending,nulls_first", [(False, False), (False, True), (True, False), (True, True)])
+def test_mixed_directions(spark, policy, descending, nulls_first):
+    df = spark.range(90).selectExpr("id % 2 AS g", "IF(id % 7 = 0, NULL, id % 5) AS a", "IF(id % 11 = 0, NULL, concat('x', id % 13)) AS b", "id")
+    keys = [SortKey("a", descending, nulls_first), SortKey("b", not descending, not nulls_first), SortKey("id", True)]
+    got = add_positions(df, "g", keys, policy=policy)
+    rows = sorted(df.collect(), key=lambda r: (
+        r.g, ((r.a is None) != nulls_first, (r.a or 0) * (-1 if descending else 1)),
+        ((r.b is None) == nulls_first, int((r.b or "x0")[1:]) * (1 if descending else -1)), -r.id))
+    want, seen = {}, {}
+    for r in rows:
+        seen[r.g] = seen.get(r.g, 0) + 1
+        want[r.id] = seen[r.g]
+    assert {r.id: r.position for r in got.collect()} == want
+    kept = {r.id for r in decimate_path(df, "g", keys, 5, policy=policy).collect()}
+    assert kept == {i for i, n in want.items() if n in (1, 45) or n % 5 == 0}
+
+
+def test_input_is_read_twice_at_most(spark, tiny):
+    """Once for the counts and once to store the split, however the result is used after."""
+    reads = spark.sparkContext.accumulator(0)
+    rows = spark.range(100, numPartitions=1).rdd.map(lambda r: (reads.add(1), ("g", r[0]))[1])
+    df = spark.createDataFrame(rows, "g string, o long")
+    reads.value = 0
+    out = add_positions(df, "g", "o", policy=tiny)
+    assert out.where("position <> o + 1").count() == 0 and out.count() == 100
+    assert reads.value <= 200
 
 
 def test_decimation(spark, policy):
@@ -116,6 +166,15 @@ def test_asof(spark, policy):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_asof_at_one_hot_time(spark):
+    """All rows of a key at one time: parts are cut along side and tiebreak, and the largest tiebreak wins everywhere."""
+    policy = HotPolicy(floor_rows=50, max_groups=20, part_rows=40)
+    left = spark.range(500).selectExpr("'k' AS k", "5 AS t", "id AS l")
+    right = spark.range(300).selectExpr("'k' AS k", "5 AS rt", "id * 7 % 300 AS r")
+    got = asof_join(left, right, "k", "t", "rt", "r", policy)
+    assert got.count() == 500 and values(got.select("rt", "r").distinct()) == [(5, 299)]
+
+
 def test_asof_refuses_shared_names(spark):
     df = spark.createDataFrame([("a", 1)], "k string, t int")
     with pytest.raises(ValueError):

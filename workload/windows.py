@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from geoloom.operators.ordering import add_group_size, add_positions, decimate_path, deduplicate, top_per_group
+from geoloom.operators.ordering import SortKey, add_group_size, add_positions, decimate_path, deduplicate, top_per_group
 from workload.base import GEO_CUSTOMER, GEO_EVENT, geo_customer, geo_event, table
 
 
@@ -36,6 +36,16 @@ def sorted_table(spark, sf_dir):
     return add_positions(orders, None, "o_orderdate", ["o_orderkey"]).drop("group_rows")
 
 
+def mixed_sorted(spark, sf_dir):
+    """Place of every line in one sort with directions and null places of its own for every column."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("quantity"),
+        F.when(F.col("l_orderkey") % 5 != 0, F.col("l_shipdate")).alias("shipped"), "l_partkey", "l_suppkey", "l_extendedprice")
+    order = [SortKey("quantity", descending=True, nulls_first=True), SortKey("shipped"), SortKey("l_extendedprice", descending=True),
+             SortKey("l_orderkey", descending=True), "l_linenumber", "l_partkey", "l_suppkey"]
+    return add_positions(lines, None, order).drop("group_rows", "l_partkey", "l_suppkey")
+
+
 def natural_sorted(spark, sf_dir):
     """Place of every part when its name and key are sorted with digit runs as numbers."""
     parts = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("a"), "p_partkey", F.lit("b"), "p_size").alias("code"))
@@ -55,7 +65,7 @@ def deduplicated(spark, sf_dir):
 QUERIES = {
     "W1_top_per_group": top_customers, "W2_group_size": group_sizes, "W3_decimate_path": decimated,
     "W4_first_rows": first_rows, "W3_positions": positions, "L1_sorted_table": sorted_table,
-    "L4_natural_sorted": natural_sorted, "L2_top_parts": top_parts, "L6_deduplicate": deduplicated,
+    "L1_mixed_directions": mixed_sorted, "L4_natural_sorted": natural_sorted, "L2_top_parts": top_parts, "L6_deduplicate": deduplicated,
 }
 
 SQL = {
@@ -76,6 +86,11 @@ SQL = {
           first_value(kind) OVER (PARTITION BY track_id ORDER BY observed_at, id) AS first_kind FROM geo_event""",
     "L1_sorted_table": """SELECT o_orderkey, o_orderdate, o_totalprice,
         row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS position FROM orders""",
+    "L1_mixed_directions": """WITH lines AS (SELECT l_orderkey, l_linenumber,
+          CASE WHEN l_linenumber <> 3 THEN l_quantity END AS quantity, CASE WHEN l_orderkey % 5 <> 0 THEN l_shipdate END AS shipped,
+          l_extendedprice, l_partkey, l_suppkey FROM lineitem)
+        SELECT l_orderkey, l_linenumber, quantity, shipped, l_extendedprice, row_number() OVER (ORDER BY quantity DESC NULLS FIRST,
+          shipped NULLS LAST, l_extendedprice DESC NULLS LAST, l_orderkey DESC, l_linenumber, l_partkey, l_suppkey) AS position FROM lines""",
     "L4_natural_sorted": """SELECT p_partkey, 'a' || p_partkey || 'b' || p_size AS code,
         row_number() OVER (ORDER BY p_partkey, p_size) AS position FROM part""",
     "L2_top_parts": """SELECT p_partkey, p_name, p_retailprice FROM part
