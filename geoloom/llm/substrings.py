@@ -3,7 +3,7 @@
 A document is streamed as overlapping segments: neighbouring windows of ``window`` words whose least hashed run of
 ``GRAM`` words (the minimizer) is the same one lie in one segment, of at most 2 * window - GRAM words. A segment goes to
 the shard of its minimizer, so all places of one word sequence meet in one shard, wherever they lie, and a word is sent
-three to four times. In a shard,
+about three times. In a shard,
 
 1. segments whose minimizer occurs in one document only are left out: nothing else can hold their windows;
 2. each distinct segment is indexed once, with the smallest document that holds it: suffix order, wavelet matrix of the
@@ -18,7 +18,7 @@ the windows of overfull ones are dealt one by one, by the hash of the whole wind
 different surroundings fills no shard. The table of overfull buckets has at most 4 * ``BUCKETS`` rows per shard.
 Shards are made for about ``SHARD_BYTES`` of text each. Words and sequences are compared by 64-bit hashes.
 
-Spans go back to their rows by document and hash of the text, in one join.
+Spans go back to their rows by document and hash of the text, in one join, for which texts travel compressed.
 
 Defined cases: a null text has no words, an empty one neither; texts of fewer words than a window keep everything; rows
 without a document id neither lose words nor make others lose any; of rows with one id none is smaller than the others,
@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from geoloom.llm.fmindex import Index
 from geoloom.llm.words import CASED, hash_spans, mix, run_hashes, utf8, word_spans
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 3
 #: Text of a piece of input that is cut at once, in bytes (a longer text alone), and text per shard.
-PIECE, SHARD_BYTES = 1 << 22, 1 << 23
+PIECE, SHARD_BYTES = 1 << 23, 1 << 24
 #: Buckets per shard; a bucket is overfull when it alone would fill a quarter of a shard.
 BUCKETS = 16
 #: Words sent per word of text, about, and bytes of a word.
-SENT, WORD_BYTES = 3.5, 6
+SENT, WORD_BYTES = 3, 6
 SPANS = "array<struct<first_word:int,end_word:int>>"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _ROW = "shard int, size int, packed binary, id long, text_hash long, first_word int, end_word int"
@@ -140,7 +140,7 @@ def pack(p: Piece, hashes: np.ndarray, chosen: np.ndarray) -> tuple[int, bytes]:
         (to_byte - from_byte).astype(np.uint32).tobytes(), (begin - p.first[text]).astype(np.int32).tobytes(),
         p.ids[text].tobytes(), hashes[text].astype(np.int64).tobytes(),
         *[p.data[a:b] for a, b in zip(from_byte.tolist(), to_byte.tolist())]])
-    return len(plain), pa.Codec("zstd").compress(plain, asbytes=True)
+    return len(plain), pa.Codec("zstd", 3).compress(plain, asbytes=True)
 
 
 def unpack(size: int, packed: bytes) -> list[np.ndarray]:
@@ -273,9 +273,9 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
 _NAMES = ["shard", "size", "packed", "id", "text_hash", "first_word", "end_word"]
 
 
-def without_words(text: str | None, spans: list[dict] | None) -> tuple[int, int, bytes, list[dict]]:
+def without_words(text: bytes | None, spans: list[dict] | None) -> tuple[int, int, bytes, list[dict]]:
     """(words, words in spans, the other words with a space between, spans joined and in order)."""
-    words = (text or "").encode().split()
+    words = (text or b"").split()
     joined: list[dict] = []
     for s in sorted(spans or (), key=lambda s: (s["first_word"], s["end_word"])):
         if joined and s["first_word"] <= joined[-1]["end_word"]:
@@ -293,20 +293,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     """Adds ``n_words``, ``n_removed``, ``kept`` (the text without repeats) and ``removed`` (spans of words) to all rows."""
     given = docs.drop("n_words", "n_removed", "kept", "removed")
     spans = repeated_spans(given, window, key, text).select(
-        F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+        F.col("id").alias("_id"), F.col("text_hash").alias("_text_hash"), F.col("spans").alias("_spans"))
+
+    def shrink(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            plain = [None if t is None else t.encode() for t in texts.to_pylist()]
+            yield pa.StructArray.from_arrays([
+                pa.array([len(p or b"") for p in plain], pa.int32()),
+                pa.array([p and pa.Codec("zstd", 3).compress(p, asbytes=True) for p in plain], pa.binary())], ["size", "data"])
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, found in batches:
-            rows = [without_words(t, s) for t, s in zip(texts.to_pylist(), found.to_pylist())]
+            rows = [without_words(t["data"] and pa.Codec("zstd").decompress(t["data"], t["size"], asbytes=True), s)
+                    for t, s in zip(texts.to_pylist(), found.to_pylist())]
             n, gone, kept, joined = zip(*rows) if rows else ([], [], [], [])
             yield pa.StructArray.from_arrays([
-                pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([k.decode() for k in kept], pa.string()), pa.array(joined, _SPANS)],
-                ["n_words", "n_removed", "kept", "removed"])
+                pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()),
+                pa.array(joined, _SPANS)], ["n_words", "n_removed", "kept", "removed"])
 
     apply = F.arrow_udf(run, f"struct<n_words:bigint,n_removed:bigint,kept:string,removed:{SPANS}>")
     value = F.col(f"`{text}`").cast("string")
-    joined = given.join(spans.hint("shuffle_hash"), (F.col(f"`{key}`").cast("long") == F.col("_id")) & (F.xxhash64(value) == F.col("_hash")), "left")
-    return joined.withColumn("_found", apply(value, F.col("_spans"))).select(
+    packed = given.withColumns({"_hash": F.xxhash64(value), "_text": F.arrow_udf(shrink, "struct<size:int,data:binary>")(value)})
+    joined = packed.join(spans.hint("shuffle_hash"), (F.col(f"`{key}`").cast("long") == F.col("_id")) & (F.col("_hash") == F.col("_text_hash")), "left")
+    return joined.withColumn("_found", apply("_text", "_spans")).select(
         *[F.col(f"`{c}`") for c in given.columns], *[F.col(f"_found.{c}") for c in ("n_words", "n_removed", "kept", "removed")])
 
 
