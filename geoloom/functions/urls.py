@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 # Private and link-local IPv4 networks, by first address and number of leading bits.
@@ -68,3 +70,10 @@ def is_public_https(url: Column) -> Column:
 def clean_link(url: Column) -> Column:
     """The link when it is http or https with a host and without credentials, else null."""
     return F.when(_scheme(url).isin("http", "https") & _sound(url), url)
+
+
+def clean_link_text(url: str | None) -> str | None:
+    """Driver-side form of :func:`clean_link` for the few links in a specification."""
+    found = re.match(r"https?://([^/?#]*)", url or "", re.IGNORECASE)
+    host = re.sub(r"\.\Z", "", re.sub(r":[0-9]*\Z", "", found[1])) if found else ""
+    return url if host and "@" not in found[1] and not re.search(STRANGE, url) else None

@@ -10,22 +10,21 @@ from datetime import datetime, timezone
 from functools import reduce
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from geoloom.functions.geo import as_number, focus_altitude, is_finite, quoted, relative_altitude
 from geoloom.functions.roles import infer_roles
 from geoloom.functions.text import SHORT_ITEMS, relation_name, row_label, short_text
-from geoloom.functions.urls import clean_link
+from geoloom.functions.urls import clean_link_text
 from geoloom.operators.extent import extent
 from geoloom.operators.layers import ROW_INDEX, Layer, layer_locations
 from geoloom.plans.guard import GuardedQuery, guard
 from geoloom.plans.scenes import Scene, normalize_scene, scene_extent, scene_marks
-from geoloom.session import materialise
+from geoloom.plans.store import PLACE, StoredRows, store_rows
+from geoloom.session import materialise, store
 from geoloom.sources.catalog import Catalog, Dataset
 from geoloom.sources.readers import file_bytes, format_of, from_records, read_csv, read_parquet
 
-#: Bits of an increasing id that hold a row's place within its partition.
-PLACE_BITS = 33
 PAGE_SIZE = 10
 PAGE_COLUMNS = 5
 SAMPLE_ROWS = 5
@@ -73,6 +72,7 @@ class Workspace:
         self.result_cap = result_cap
         self.results: dict[str, Result] = {}
         self._frames: dict[str, DataFrame] = {}
+        self._stored: dict[str, StoredRows] = {}
         self._sequence = 0
         self.scene: Scene | None = None
         self.active_result_id: str | None = None
@@ -87,40 +87,41 @@ class Workspace:
     def load_dataset(
         self, name: str, path: str | None = None, records: list[dict] | None = None, format: str | None = None,
         title: str | None = None, source_url: str | None = None, organization: str | None = None,
-        license: str | None = None, max_bytes: int | None = None, multi_line: bool = False,
+        license: str | None = None, max_bytes: int | None = None, multi_line: bool = False, **provenance,
     ) -> RelationInfo:
         """Adds a CSV or Parquet path, or up to 500 records. ``max_bytes`` refuses larger files; all rows are kept.
-        ``multi_line`` reads CSV cells with line breaks."""
+        Parquet is read where it lies, with the schema it has now; CSV, which cannot be pruned, is written once as
+        Parquet. ``multi_line`` reads CSV cells with line breaks. ``provenance`` holds further fields of
+        :class:`Dataset`, such as ``methodology``, ``caveats`` or ``sources``."""
         if (path is None or not path.strip()) == (records is None):
-            raise ValueError("Provide exactly one of path or records.")
+            raise ValueError("A dataset comes either from a path or from records.")
         relation = relation_name(name)
         if relation in self.catalog:
             raise ValueError(f"The name {relation} is taken; choose another one for this dataset.")
+        place = None if path is None else path.split("?")[0]
+        if place is not None and max_bytes is not None and file_bytes(self.spark, place) > max_bytes:
+            raise ValueError(f"The files hold more than {max_bytes} bytes.")
         if records is not None:
-            df = from_records(self.spark, records)
+            kept = from_records(self.spark, records)
+        elif format_of(path, format) == "parquet":
+            kept = read_parquet(self.spark, place)
         else:
-            if max_bytes is not None and file_bytes(self.spark, path.split("?")[0]) > max_bytes:
-                raise ValueError(f"The files hold more than {max_bytes} bytes.")
-            place = path.split("?")[0]
-            df = read_parquet(self.spark, place) if format_of(path, format) == "parquet" else read_csv(
-                self.spark, place, multi_line=multi_line)
-        _refuse_duplicate_names(df.columns)
-        kept = materialise(df)
+            kept = None
+        if kept is None:
+            text = read_csv(self.spark, place, multi_line=multi_line)
+            _refuse_duplicate_names(text.columns)
+            kept = store(text, "dataset")
+        _refuse_duplicate_names(kept.columns)
         inline = records is not None
         self.catalog.add(Dataset(
-            relation, lambda: kept, kind="agent" if inline else "remote", row_count=kept.count(),
-            title=title or relation,
+            relation, lambda: kept, kind="agent" if inline else "remote", title=title or relation,
             organization=organization or ("Supplied records" if inline else _place_of(path)),
-            source_url=self._link(source_url) or self._link(path), license=license or "Not specified",
-            retrieved=_now(), notes="Supplied inline; not independently verified." if inline else "Loaded from a path.",
+            source_url=clean_link_text(source_url) or clean_link_text(path), license=license or "Not specified",
+            retrieved=_now(), notes="Given as records; nobody has checked them." if inline else "Loaded from a path.",
+            **provenance,
         ))
         return self.inspect_relation(relation)
 
-    def _link(self, url: str | None) -> str | None:
-        if not url:
-            return None
-        return self.spark.range(1).select(clean_link(F.lit(url)).alias("u")).first()["u"]
-
     # SQL and results
 
     def execute_sql(self, sql: str, title: str = "SQL result", actor: str = "user") -> Result:
@@ -145,36 +146,31 @@ class Workspace:
         return self._save(df, title, actor, None, sources, time.monotonic())
 
     def _save(self, df, title, actor, sql, sources, started) -> Result:
-        """Stores rows in the partitions and the order that the query gave them. A row's index is its place within its
-        partition plus the rows of the partitions before, which are counted after storing. A result is truncated if
-        the cap cut it or anything it was read from."""
+        """Stores rows in the order that the query gave them. A result is truncated if the cap cut it or anything it
+        was read from."""
         _refuse_duplicate_names(df.columns)
         self._sequence += 1
         result_id = f"result_{self._sequence:04d}"
-        wanted = df if self.result_cap is None else df.limit(self.result_cap + 1)
-        stored = materialise(wanted.withColumn(ROW_INDEX, F.monotonically_increasing_id()))
-        part = F.shiftright(ROW_INDEX, PLACE_BITS)
-        sizes = stored.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
-        # One row for each partition of the result.
-        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = materialise(sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))))
-        fetched = offsets.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-        place = F.col(ROW_INDEX).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
-        indexed = stored.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(
-            ROW_INDEX, F.col("_before") + place).drop("_part", "_before", "_rows")
-        rows, cut = fetched, False
-        if self.result_cap is not None and fetched > self.result_cap:
-            indexed, rows, cut = indexed.where(F.col(ROW_INDEX) < self.result_cap), self.result_cap, True
+        rows, cut = store_rows(df, self.result_cap)
+        self._stored[result_id] = rows
         parents = [r for r in self.results.values() if r.relation in sources]
         return self.register_result(
-            indexed, id=result_id, title=title, sql=sql, row_count=rows,
+            rows.indexed(), rows.frame(), id=result_id, title=title, sql=sql, row_count=rows.rows,
             truncated=cut or any(r.truncated for r in parents), sources=tuple(sources), created_at=_now(),
             duration_ms=round((time.monotonic() - started) * 1000), actor=actor,
         )
 
-    def register_result(self, indexed: DataFrame, id: str, **fields) -> Result:
-        """Registers rows that have a row index as the result ``id`` and as the view ``_<id>``."""
-        plain = indexed.drop(ROW_INDEX)
+    def rows_between(self, result_id: str, low: int, high: int) -> DataFrame:
+        """Rows of a result, with their index, from ``low`` to ``high`` - 1."""
+        result = self.result(result_id)
+        if result.id in self._stored:
+            return self._stored[result.id].between(low, high)
+        return self._frames[result.id].where((F.col(ROW_INDEX) >= low) & (F.col(ROW_INDEX) < high))
+
+    def register_result(self, indexed: DataFrame, plain: DataFrame | None = None, *, id: str, **fields) -> Result:
+        """Registers rows that have a row index as the result ``id``, and ``plain`` (the same without the index) as
+        the view ``_<id>``."""
+        plain = indexed.drop(ROW_INDEX) if plain is None else plain
         schema = tuple((f.name, f.dataType.simpleString()) for f in plain.schema.fields)
         result = Result(id=id, relation=f"_{id}", columns=tuple(plain.columns), schema=schema, **fields)
         plain.createOrReplaceTempView(result.relation)
@@ -229,7 +225,7 @@ class Workspace:
         pages = max(1, -(-result.row_count // size))
         shown = min(max(1, page), pages)
         start = (shown - 1) * size
-        rows = self._frames[result.id].where((F.col(ROW_INDEX) >= start) & (F.col(ROW_INDEX) < start + size))
+        rows = self.rows_between(result.id, start, start + size)
         return rows.select(ROW_INDEX, *[quoted(c) for c in result.columns[:max_columns]]), shown, pages
 
     def present_result(self, result_id: str | None = None, page: int = 1, selected: int | None = None) -> dict:
@@ -239,7 +235,7 @@ class Workspace:
             raise ValueError("page counts from 1 and selected from 0.")
         if selected is not None:
             if selected >= result.row_count:
-                raise IndexError("The selected row is outside this result.")
+                raise IndexError(f"Row {selected} was selected, but the result has {result.row_count}.")
             page = selected // PAGE_SIZE + 1
         self.active_result_id = result.id
         _, shown, _ = self.page(result.id, page)
@@ -248,7 +244,7 @@ class Workspace:
     def row_detail(self, result_id: str, index: int) -> DataFrame:
         """Label, first four other columns, place in the result and focus of one row; empty past the end."""
         result = self.result(result_id)
-        df = self._frames[result.id]
+        df = self.rows_between(result.id, index, index + 1)
         roles = self._roles_of(result)
         label, group = roles["label"], roles["group"]
         shown = [c for c in result.columns if c != label][:DETAIL_COLUMNS]
@@ -262,7 +258,7 @@ class Workspace:
                 focus_altitude(relative_altitude(altitude, 0.0)).alias("altitude"),
             )
             focus = F.when(is_finite(lat) & is_finite(lon), point)
-        return df.where(F.col(ROW_INDEX) == index).select(
+        return df.select(
             row_label(quoted(label) if label else None, quoted(group) if group else None).alias("label"),
             F.array(*fields).alias("fields"),
             F.concat(F.col(ROW_INDEX) + 1, F.lit(f" of {result.row_count}")).alias("position"), focus.alias("focus"),
@@ -282,15 +278,20 @@ class Workspace:
         cleaned = name.lower() if name in self.catalog else relation_name(name)
         if cleaned in self.catalog:
             df, provenance, relation = self.catalog.frame(cleaned), self.catalog.entry(cleaned), cleaned
-            # Counted when it was loaded, or now.
-            rows = provenance.row_count if provenance.row_count is not None else df.count()
+            sample = df.limit(SAMPLE_ROWS)
+            # Stated, or counted now and kept; the count of Parquet files comes from their footers.
+            rows = provenance.row_count
+            if rows is None:
+                rows = df.count()
+                self.catalog.set_row_count(cleaned, rows)
+                provenance = self.catalog.entry(cleaned)
         elif found is not None:
             df, provenance, relation = self._frames[found.id].drop(ROW_INDEX), found, found.relation
-            rows = found.row_count
+            rows, sample = found.row_count, self.rows_between(found.id, 0, SAMPLE_ROWS).drop(ROW_INDEX)
         else:
             raise KeyError(f"Unknown relation {name}.")
         schema = tuple((f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields)
-        return RelationInfo(relation, rows, schema, df.limit(SAMPLE_ROWS), infer_roles(df.columns), provenance)
+        return RelationInfo(relation, rows, schema, sample, infer_roles(df.columns), provenance)
 
     def relation_sizes(self) -> DataFrame:
         """Rows and columns of every dataset, in one query."""
@@ -398,8 +399,9 @@ def _refuse_duplicate_names(columns: list[str]) -> None:
     repeated = sorted({c for c in columns if lower.count(c.lower()) > 1})
     if repeated:
         raise ValueError(f"Give each output column its own name; repeated: {', '.join(repeated)}.")
-    if ROW_INDEX in lower:
-        raise ValueError(f"{ROW_INDEX} is a reserved column name.")
+    for reserved in (ROW_INDEX, PLACE):
+        if reserved in lower:
+            raise ValueError(f"{reserved} is a reserved column name.")
 
 
 def _place_of(path: str) -> str:

@@ -84,6 +84,14 @@ class Dataset:
     license: str | None = None
     retrieved: str | None = None
     notes: str | None = None
+    download_url: str | None = None
+    license_url: str | None = None
+    methodology: str | None = None
+    caveats: str | None = None
+    snapshot_id: str | None = None
+    sha256: str | None = None
+    #: What the relation was made from: (id, title, url) each.
+    sources: tuple[tuple[str, str, str], ...] = ()
 
 
 class Catalog:

@@ -12,7 +12,7 @@ from geoloom.functions.geo import (
 from geoloom.functions.roles import infer_roles, roles_of_tables
 from geoloom.functions.text import clean_name, float_key_text, natural_key, relation_name, row_label, short_text
 from geoloom.functions.times import day_difference, days_after, epoch_timestamp, iso_text
-from geoloom.functions.urls import clean_link, is_public_https
+from geoloom.functions.urls import clean_link, clean_link_text, is_public_https
 
 
 def one(spark, *columns):
@@ -158,6 +158,7 @@ def test_links(spark):
              "https://u:p@a.org/": None, "javascript:alert(1)": None, "": None}
     df = spark.createDataFrame([(u,) for u in cases], "u string")
     assert {r[0]: r[1] for r in df.select("u", clean_link(F.col("u"))).collect()} == cases
+    assert {u: clean_link_text(u) for u in cases} == cases
 
 
 def test_roles(spark):

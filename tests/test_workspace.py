@@ -75,6 +75,38 @@ def test_whole_results_by_default(spark):
     assert (shown, pages) == (15_000, 15_000) and [r.id for r in page.orderBy("_row_index").collect()] == want[-10:]
 
 
+def scan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_results_are_pruned_file_scans(spark):
+    """One column and a filter of a stored result reach the files; pages open only their own, without a join."""
+    ws = Workspace(isolated_session(spark))
+    result = ws.execute_sql("select id, id % 10 as k, concat('n', id) as name, NULL as nothing from range(0, 40000, 1, 8) order by id")
+    plan = scan_of(ws.spark.sql(f"select name from {result.relation} where id > 39990"))
+    assert "FileScan parquet" in plan and "ReadSchema: struct<id:bigint,name:string>" in plan and "GreaterThan(id,39990)" in plan
+    assert "Join" not in plan and "ExistingRDD" not in plan
+    assert "Join" not in scan_of(ws.result_frame(result.id))
+    page = ws.page(result.id, 2000, max_columns=1)[0]
+    assert values(page.orderBy("id")) == [(i, i) for i in range(19990, 20000)]
+    assert len(page.inputFiles()) == 1 < len(ws.result_frame(result.id).inputFiles()) and "Join" not in scan_of(page)
+    assert values(ws.rows_between(result.id, 4999, 5002).orderBy("id"), "_row_index", "nothing") == [(i, None) for i in (4999, 5000, 5001)]
+    assert ws.rows_between(result.id, 50_000, 50_010).count() == 0
+    assert [r.id for r in ws.inspect_relation(result.id).sample.orderBy("id").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_datasets_of_parquet_are_read_where_they_lie(spark, tmp_path):
+    ws = Workspace(isolated_session(spark))
+    spark.range(50, numPartitions=2).selectExpr("id", "id * 2 AS double").write.parquet(str(tmp_path / "t.parquet"))
+    info = ws.load_dataset("t", path=str(tmp_path / "t.parquet"), caveats="none", sources=(("a", "A", "https://a.org"),))
+    assert info.row_count == 50 and ws.catalog.entry("t").row_count == 50 and ws.catalog.entry("t").caveats == "none"
+    plan = scan_of(ws.query("select double from t where id = 7"))
+    assert "EqualTo(id,7)" in plan and str(tmp_path) in plan
+    (tmp_path / "c.csv").write_text("a,b\n1,x\n2,y\n")
+    ws.load_dataset("c", path=str(tmp_path / "c.csv"))
+    assert "FileScan parquet" in scan_of(ws.query("select a from c")) and ws.query("select sum(a) from c").first()[0] == 3
+
+
 def test_children_of_cut_results_are_cut(spark):
     ws = Workspace(isolated_session(spark), result_cap=100)
     parent = ws.execute_sql("select id from range(1000)")
@@ -107,7 +139,7 @@ def test_lineage_of_chained_results(ws):
 
 
 def test_output_names(ws):
-    for sql in ("select 1 as a, 2 as A", "select 1 as _row_index"):
+    for sql in ("select 1 as a, 2 as A", "select 1 as _row_index", "select 1 as _row_place"):
         with pytest.raises(ValueError):
             ws.execute_sql(sql)
 
