@@ -40,7 +40,7 @@ from geoloom.llm.words import CASED, hash_spans, mix, run_hashes, utf8, word_spa
 
 WINDOW, GRAM = 13, 3
 #: Text of a piece of input that is cut at once, in bytes (a longer text alone), and text per shard.
-PIECE, SHARD_BYTES = 1 << 23, 1 << 24
+PIECE, SHARD_BYTES = 6 << 20, 1 << 23
 #: Buckets per shard; a bucket is overfull when it alone would fill a quarter of a shard.
 BUCKETS = 16
 #: Words sent per word of text, about, and bytes of a word.
@@ -143,15 +143,17 @@ def pack(p: Piece, hashes: np.ndarray, chosen: np.ndarray) -> tuple[int, bytes]:
     return len(plain), pa.Codec("zstd", 3).compress(plain, asbytes=True)
 
 
-def unpack(size: int, packed: bytes) -> list[np.ndarray]:
-    plain = np.frombuffer(pa.Codec("zstd").decompress(packed, size), np.uint8)
-    n = int(plain[:8].view(np.int64)[0])
-    out, at = [], 8
-    for kind in (np.uint32, np.uint32, np.int32, np.int64, np.int64):
-        width = n * np.dtype(kind).itemsize
-        out.append(np.frombuffer(plain[at: at + width].tobytes(), kind))
-        at += width
-    return [*out, plain[at:]]
+_COLUMNS = (np.uint32, np.uint32, np.int32, np.int64, np.int64)
+
+
+def unpack(size: int, packed: bytes) -> tuple[list[np.ndarray], bytes]:
+    """The columns that ``pack`` has written, and the texts as they follow each other."""
+    plain = pa.Codec("zstd").decompress(packed, size, asbytes=True)
+    n, out, at = int(np.frombuffer(plain, np.int64, 1)[0]), [], 8
+    for kind in _COLUMNS:
+        out.append(np.frombuffer(plain, kind, n, at).copy())
+        at += n * np.dtype(kind).itemsize
+    return out, plain[at:]
 
 
 def _runs(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,19 +166,24 @@ def _runs(owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def search_shard(packed: list[tuple[int, bytes]], window: int) -> list[np.ndarray]:
     """(document, text hash, first word, end word) of what a shard's segments share with smaller documents."""
-    columns = [np.concatenate(c) for c in zip(*[unpack(*p) for p in packed])] if packed else [np.zeros(0, np.int64)] * 6
-    minimizer, size, start, ids, hashes, data = columns
+    # The texts are unpacked again, one part at a time, once it is known which segments stay.
+    parts = [unpack(*p)[0] for p in packed]
+    minimizer, size, start, ids, hashes = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5
     order = np.argsort(minimizer, kind="stable")
     first = np.flatnonzero(np.concatenate([[True], np.diff(minimizer[order]) != 0])) if len(order) else order
-    group = np.cumsum(np.isin(np.arange(len(order)), first)) - 1
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
     shared = np.minimum.reduceat(ids[order], first) < np.maximum.reduceat(ids[order], first) if len(order) else order
-    kept = np.sort(order[shared[group]]) if len(order) else order
-    if not len(kept):
+    kept = np.zeros(len(order), bool)
+    kept[order] = shared[group] if len(order) else False
+    if not kept.any():
         return [np.zeros(0, np.int64)] * 4
-    upto = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-    raw = data.tobytes()
-    data = np.frombuffer(b"".join([raw[a:b] for a, b in zip(upto[kept].tolist(), upto[kept + 1].tolist())]), np.uint8)
-    del raw
+    texts, at = [], 0
+    for p, (_, sizes, *_) in zip(packed, parts):
+        raw, upto, mine = unpack(*p)[1], np.concatenate([[0], np.cumsum(sizes.astype(np.int64))]), np.flatnonzero(kept[at: at + len(sizes)])
+        texts += [raw[a:b] for a, b in zip(upto[mine].tolist(), upto[mine + 1].tolist())]
+        at += len(sizes)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    del texts, parts, order, group, minimizer
     begins, ends, first = word_spans(data, np.concatenate([[0], np.cumsum(size[kept].astype(np.int64))]))
     words = hash_spans(data, begins, ends, CASED)
     start, ids, hashes = start[kept], ids[kept], hashes[kept]
@@ -190,6 +197,7 @@ def search_shard(packed: list[tuple[int, bytes]], window: int) -> list[np.ndarra
     at = np.repeat(first[:-1][sample], lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     _, symbols = np.unique(words[at], return_inverse=True)
     bounds = np.concatenate([[0], np.cumsum(lengths)])
+    del data, begins, ends, words, at
     index = Index(symbols + 1, bounds, least)
     n = lengths - window + 1
     offset = np.concatenate([[0], np.cumsum(n)])
