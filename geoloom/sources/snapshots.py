@@ -1,13 +1,18 @@
-"""Scene snapshots: one JSON document per scene with its capped results."""
+"""Scene snapshots: the rows of every result as Parquet, beside one small metadata row.
+
+A snapshot is a folder: ``rows/<run>/<result>`` holds each result's rows with their index, ``meta`` one JSON record with
+scenes and results, which names these folders. The record is written last, so a snapshot is there when its rows are,
+and one that is written again points to its old rows until the new ones are complete. Documents that hold rows and
+metadata in one JSON text are read as well.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from geoloom.functions.geo import quoted
-from geoloom.functions.times import iso_text
 from geoloom.operators.layers import ROW_INDEX
 
 VERSION = 2
@@ -31,64 +36,41 @@ SCENE = (
 DOCUMENT = (
     f"version int, generatedAt string, defaultSceneId string, scene {SCENE}, scenes array<{SCENE}>, "
     "results array<struct<id: string, relation: string, title: string, sql: string, columns: array<string>, "
-    "schema: array<struct<name: string, type: string>>, rows: array<string>, rowCount: bigint, truncated: boolean, "
+    "schema: array<struct<name: string, type: string>>, rows: array<string>, rowsPath: string, rowCount: bigint, truncated: boolean, "
     "sources: array<string>, durationMs: bigint, actor: string>>"
 )
 
 
-def _cell(name: str, dtype: T.DataType) -> Column:
-    value = quoted(name)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        value = iso_text(value)
-    return value.alias(name)
-
-
-def _rows_text(df: DataFrame) -> DataFrame:
-    """One row with all result rows as a JSON array; the result cap bounds its size."""
-    fields = [f for f in df.schema.fields if f.name != ROW_INDEX]
-    row = F.to_json(F.struct(*[_cell(f.name, f.dataType) for f in fields]), {"ignoreNullFields": "false"})
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(ROW_INDEX).alias("i"), row.alias("row"))))
-    return df.agg(F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda r: r["row"]), ","), F.lit("]")).alias("rows"))
+def _place(snapshot: str, run: str, result_id: str) -> str:
+    return f"{snapshot}/rows/{run}/{result_id}"
 
 
-def snapshot_document(workspace, scene_id: str, spec: dict, results: dict[str, str], snapshot_date: str) -> DataFrame:
-    """The document of one scene as a single text row.
+def write_snapshot(workspace, out: str, scene_id: str, spec: dict, results: dict[str, str], snapshot_date: str) -> str:
+    """Writes the snapshot of one scene to ``out/<scene id>`` and returns that path.
 
-    ``results`` maps a saved result id to the id it has in the snapshot. Nothing depends on the clock: the
-    time stamp is the catalog's latest retrieval date and durations are 0.
+    ``results`` maps a saved result id to the id it has in the snapshot. Nothing that is read back depends on the
+    clock: the time stamp is the catalog's latest retrieval date and durations are 0.
     """
+    path, run = f"{out.rstrip('/')}/{scene_id}", uuid.uuid4().hex
     scene = {"id": scene_id, **spec, "layers": [
         {**layer, "resultId": results[layer["resultId"]]} for layer in spec["layers"]
     ]}
-    head = {
-        "version": VERSION, "generatedAt": f"{snapshot_date}T00:00:00.000Z", "defaultSceneId": scene_id,
-        "scene": scene, "scenes": [scene],
-    }
-    parts = []
+    entries = []
     for saved_id, snapshot_id in results.items():
         result = workspace.result(saved_id)
-        schema = [{"name": n, "type": TYPE_NAMES.get(t, t)} for n, t in result.schema]
-        meta = {
+        workspace.result_frame(saved_id).write.parquet(_place(path, run, snapshot_id))
+        entries.append({
             "id": snapshot_id, "relation": f"_{snapshot_id}", "title": result.title, "sql": result.sql,
-            "columns": list(result.columns), "schema": schema, "rowCount": result.row_count,
+            "columns": list(result.columns), "rowsPath": f"rows/{run}/{snapshot_id}", "rowCount": result.row_count,
+            "schema": [{"name": n, "type": TYPE_NAMES.get(t, t)} for n, t in result.schema],
             "truncated": result.truncated, "sources": list(result.sources), "durationMs": 0, "actor": "snapshot",
-        }
-        text = json.dumps(meta, ensure_ascii=False)[:-1]
-        rows = _rows_text(workspace.result_frame(saved_id))
-        parts.append(rows.select(F.concat(F.lit(text + ', "rows": '), "rows", F.lit("}")).alias("part")))
-    joined = parts[0]
-    for part in parts[1:]:
-        other = part.scalar()
-        joined = joined.select(F.concat("part", F.lit(","), other).alias("part"))
-    start = json.dumps(head, ensure_ascii=False)[:-1] + ', "results": ['
-    return joined.select(F.concat(F.lit(start), "part", F.lit("]}")).alias("value"))
-
-
-def write_snapshot(workspace, out: str, scene_id: str, spec: dict, results: dict[str, str], snapshot_date: str) -> str:
-    """Writes the document below ``out/<scene id>`` and returns that path."""
-    path = f"{out.rstrip('/')}/{scene_id}"
-    document = snapshot_document(workspace, scene_id, spec, results, snapshot_date)
-    document.coalesce(1).write.mode("overwrite").text(path)
+        })
+    record = {
+        "version": VERSION, "generatedAt": f"{snapshot_date}T00:00:00.000Z", "defaultSceneId": scene_id,
+        "scene": scene, "scenes": [scene], "results": entries,
+    }
+    meta = workspace.spark.range(1).select(F.from_json(F.lit(json.dumps(record)), DOCUMENT).alias("d")).select("d.*")
+    meta.coalesce(1).write.mode("overwrite").json(f"{path}/meta")
     return path
 
 
@@ -104,9 +86,29 @@ def build_snapshots(workspace, out: str, reports, snapshot_date: str) -> list[st
 
 
 def read_snapshots(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Documents of one or more snapshot files, parsed; ``rows`` stay JSON text per row."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
-    return text.select(F.from_json("value", DOCUMENT).alias("d")).select("d.*")
+    """Metadata of one or more snapshots, and the folder each lies in (``base``). Rows of a document that holds them
+    stay JSON text, one value per row."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    base = F.regexp_replace(F.col("_metadata.file_path"), r"/meta/[^/]*\z", "")
+    return files.text(path).select(F.from_json("value", DOCUMENT).alias("d"), base.alias("base")).select("d.*", "base")
+
+
+def stored_counts(documents: DataFrame) -> DataFrame:
+    """(rowsPath, base, rows, in_order) of the results with rows of their own: counted rows, and whether their indexes
+    are 0 onwards without gaps."""
+    spark = documents.sparkSession
+    places = documents.select("base", F.explode("results.rowsPath").alias("rowsPath")).where("rowsPath IS NOT NULL")
+    held = [f"{r['base']}/{r['rowsPath']}" for r in places.collect()]  # a few paths per scene
+    if not held:
+        return spark.createDataFrame([], "base string, rowsPath string, rows long, in_order boolean")
+    rows = spark.read.schema(f"{ROW_INDEX} long").option("recursiveFileLookup", True).parquet(*held)
+    folder = F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*\z", "")
+    n, at = F.count(F.lit(1)), F.col(ROW_INDEX)
+    counted = rows.groupBy(folder.alias("folder")).agg(
+        n.alias("rows"), ((F.min(at) == 0) & (F.max(at) == n - 1) & (F.sum(at) == n * (n - 1) / 2)).alias("in_order"))
+    return counted.select(
+        F.regexp_extract("folder", r"\A(.*)/(rows/[^/]*/[^/]*)\z", 1).alias("base"),
+        F.regexp_extract("folder", r"\A(.*)/(rows/[^/]*/[^/]*)\z", 2).alias("rowsPath"), "rows", "in_order")
 
 
 def snapshot_rows(documents: DataFrame, result_id: str, schema: list[tuple[str, str]]) -> DataFrame:
@@ -130,12 +132,14 @@ def load_snapshot(workspace, path: str, show: bool = True):
     Metadata (at most 8 results and their columns) comes to the driver; rows do not.
     """
     documents = read_snapshots(workspace.spark, path)
-    heads = documents.select("generatedAt", "scene", F.transform("results", lambda r: r.dropFields("rows")).alias("results"))
+    heads = documents.select(
+        "base", "generatedAt", "scene", F.transform("results", lambda r: r.dropFields("rows")).alias("results"))
     scene = None
     for head in heads.collect():
         scene = head["scene"]
         for r in head["results"]:
-            rows = snapshot_rows(documents, r["id"], [(f["name"], f["type"]) for f in r["schema"]])
+            rows = workspace.spark.read.parquet(f"{head['base']}/{r['rowsPath']}") if r["rowsPath"] else snapshot_rows(
+                documents, r["id"], [(f["name"], f["type"]) for f in r["schema"]])
             workspace.register_result(
                 rows, id=r["id"], title=r["title"], sql=r["sql"], row_count=r["rowCount"],
                 truncated=bool(r["truncated"]), sources=tuple(r["sources"] or ()), created_at=head["generatedAt"],
@@ -156,11 +160,14 @@ def load_snapshot(workspace, path: str, show: bool = True):
 
 
 def snapshot_contract(documents: DataFrame) -> DataFrame:
-    """One row per document with its rule results and whether all hold."""
+    """One row per snapshot with its rule results and whether all hold. Rows are counted where they lie."""
     result_ids = F.transform("results", lambda r: r["id"])
     linked = F.forall(F.col("scene.layers"), lambda layer: F.array_contains(result_ids, layer["resultId"]))
-    sound = F.forall("results", lambda r: (F.size(r["rows"]) > 0) & (F.size(r["rows"]) == r["rowCount"])
-                     & (F.size(r["columns"]) > 0))
+    results = documents.select("base", F.explode("results").alias("r")).select("base", "r.rowsPath", F.col("r")).join(
+        stored_counts(documents), ["base", "rowsPath"], "left")
+    rows = F.coalesce("rows", F.when(F.col("rowsPath").isNull(), F.size("r.rows")), F.lit(0))
+    sound = (rows > 0) & (rows == F.col("r.rowCount")) & (F.size("r.columns") > 0) & F.coalesce("in_order", F.lit(True))
+    per_snapshot = results.groupBy("base").agg(F.min(F.coalesce(sound, F.lit(False))).alias("results_sound"))
     rules = {
         "version_ok": F.col("version") == VERSION,
         "ids_agree": (F.col("defaultSceneId") == F.col("scene.id")) & (F.get("scenes", 0)["id"] == F.col("scene.id"))
@@ -168,9 +175,10 @@ def snapshot_contract(documents: DataFrame) -> DataFrame:
         "one_layer": F.size("scene.layers") == 1,
         "one_result": F.size("results") == 1,
         "layers_linked": linked,
-        "results_sound": sound,
+        "results_sound": F.col("results_sound"),
     }
-    checked = documents.select("defaultSceneId", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in rules.items()])
+    checked = documents.join(per_snapshot, "base", "left").select(
+        "defaultSceneId", *[F.coalesce(c, F.lit(False)).alias(n) for n, c in rules.items()])
     every = F.lit(True)
     for name in rules:
         every = every & F.col(name)

@@ -18,7 +18,7 @@ from geoloom.sources.catalog import RELATION_FILES, bundled_loaders
 from geoloom.sources.digest import digest_mismatches, directory_fingerprint, file_digests
 from geoloom.sources.manifest import latest_retrieval, manifest_sources, read_manifest
 from geoloom.sources.readers import from_records, read_csv, read_csv_text
-from geoloom.sources.snapshots import build_snapshots, load_snapshot, read_snapshots, snapshot_contract
+from geoloom.sources.snapshots import build_snapshots, load_snapshot, read_snapshots, snapshot_contract, write_snapshot
 from tests.conftest import values
 
 
@@ -146,6 +146,31 @@ def test_snapshots_build_replay_and_contract(ws, spark):
     assert replay.execute_sql("select count(*) as n from _bootstrap_ikea_locations").sources == ("_bootstrap_ikea_locations",)
 
 
+def test_snapshot_rows_lie_in_files_of_their_own(spark, tmp_path):
+    """Many rows, no value that holds more than one, and a contract that notices lost and doubled rows."""
+    ws = Workspace(isolated_session(spark))
+    saved = ws.execute_sql("select id, id * 0.5D as latitude, 1.0D as longitude, array(id) as a, timestamp_ntz '2024-01-01 00:00:00' as t from range(0, 30000, 1, 4)")
+    spec = {"headline": "h", "subheadline": "s", "layers": [{"id": "l", "resultId": saved.id}], "camera": {"fit": "none"}}
+    path = write_snapshot(ws, str(tmp_path), "many", spec, {saved.id: "r"}, "2026-09-03")
+    documents = read_snapshots(spark, path)
+    assert documents.where("exists(results, r -> r.rows is not null)").count() == 0
+    assert snapshot_contract(documents).first()["passed"]
+    replay = Workspace(isolated_session(spark))
+    load_snapshot(replay, path)
+    assert replay.query("select sum(id) from _r").first()[0] == 30000 * 29999 // 2
+    assert replay.page("r", 3)[0].columns == ["_row_index", "id", "latitude", "longitude", "a", "t"]
+    assert sorted(values(replay.page("r", 3)[0], "id")) == [(i,) for i in range(20, 30)]
+    again = write_snapshot(ws, str(tmp_path), "many", spec, {saved.id: "r"}, "2026-09-03")
+    assert again == path and read_snapshots(spark, path).count() == 1 and len(list((tmp_path / "many" / "rows").iterdir())) == 2
+    current = read_snapshots(spark, path).select(F.get("results", 0)["rowsPath"]).first()[0]
+    parts = sorted((tmp_path / "many" / current).glob("part-*"))
+    parts[0].rename(parts[0].with_name("_hidden"))
+    assert not snapshot_contract(read_snapshots(spark, path)).first()["results_sound"]
+    extra = spark.read.parquet(str(tmp_path / "many" / current)).limit(7500)
+    extra.write.mode("append").parquet(str(tmp_path / "many" / current))
+    assert not snapshot_contract(read_snapshots(spark, path)).first()["results_sound"]
+
+
 def test_broken_snapshots_fail_the_contract(spark, tmp_path):
     layer = {"id": "a", "type": "points", "title": "t", "resultId": "r"}
     scene = {"id": "s", "headline": "h", "subheadline": "s", "layers": [layer], "camera": {"fit": "none"}}

@@ -75,6 +75,21 @@ def replayed(spark, sf_dir):
     return replay.query("SELECT * FROM _bootstrap_orders_events")
 
 
+def snapshot_sink(spark, sf_dir):
+    """The rows of a written snapshot with two results, read from its files, beside what its metadata says of them."""
+    ws = workspace(spark, sf_dir)
+    placed = ws.execute_sql(PLACED, title="Large orders")
+    pending = ws.execute_sql(f"SELECT o_orderkey AS event_id, {SPREAD} FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderkey", title="Pending")
+    spec = {"headline": "Orders", "subheadline": "Large and pending orders.",
+            "layers": [{"id": "large", "resultId": placed.id, "type": "rings", "title": placed.title}], "camera": {"fit": "none"}}
+    path = write_snapshot(ws, scratch_path(spark, "sink"), "orders", spec, {placed.id: "large", pending.id: "pending"}, "2026-09-03")
+    said = read_snapshots(spark, path).select("defaultSceneId", "generatedAt", F.explode("results").alias("r")).select(
+        "defaultSceneId", "generatedAt", F.col("r.id").alias("result"), F.col("r.rowCount").alias("stated"))
+    rows = spark.read.schema("_row_index long, event_id long, latitude double").option("recursiveFileLookup", True).parquet(f"{path}/rows")
+    found = rows.select("*", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]*)/[^/]*\z", 1).alias("result"))
+    return found.join(F.broadcast(said), "result")
+
+
 def _chain(ws):
     first = ws.execute_sql("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey", title="per customer")
     second = ws.execute_sql(f"""SELECT c.c_nationkey, sum(r.n) AS n FROM {first.relation} AS r
@@ -120,7 +135,7 @@ def contract(spark, sf_dir):
 QUERIES = {
     "Q4_ancestry": ancestry, "I2_workspace": listing, "G10_scene_camera": scene_camera, "V4_snapshot_contract": contract,
     "Q2_execute_sql": executed, "L3_result_cap": capped, "Q3_truncation": truncation, "Q5_requery": requeried,
-    "Q6_page": third_page, "Q8_row_detail": detail, "Q12_snapshot_replay": replayed,
+    "Q6_page": third_page, "Q8_row_detail": detail, "Q11_snapshot_sink": snapshot_sink, "Q12_snapshot_replay": replayed,
 }
 
 SQL = {
@@ -162,5 +177,10 @@ SQL = {
           row_number() OVER (ORDER BY magnitude DESC, event_id) AS i FROM placed)
         SELECT name AS label, 'event_id' AS first_field, CAST(event_id AS VARCHAR) AS first_value,
           i || ' of ' || n AS position, latitude, longitude, 0.75e0 AS view_altitude FROM found WHERE i = 8""",
+    "Q11_snapshot_sink": f"""WITH large AS ({PLACED}), found AS (
+          SELECT 'large' AS result, row_number() OVER (ORDER BY magnitude DESC, event_id) - 1 AS _row_index, event_id, latitude FROM large
+          UNION ALL SELECT 'pending', row_number() OVER (ORDER BY o_orderkey) - 1, o_orderkey, latitude
+          FROM (SELECT *, {SPREAD} FROM orders WHERE o_orderstatus = 'P'))
+        SELECT *, 'orders' AS defaultSceneId, '2026-09-03T00:00:00.000Z' AS generatedAt, count(*) OVER (PARTITION BY result) AS stated FROM found""",
     "Q12_snapshot_replay": PLACED,
 }
