@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geoloom.llm.tables import once
+
 #: Ranks that a vocabulary may hold: what is sent to the executors is bounded by it.
 MAX_RANKS = 1 << 20
 #: Matches whose ids a worker keeps; longer matches (in bytes) have a queue to themselves and are not kept.
@@ -243,18 +245,6 @@ class Encoder:
         return np.frombuffer(next(self.encode_all([text])), np.int32)
 
 
-_WORKER: dict[int, object] = {}
-
-
-def _once(shared, make):
-    """What ``make`` builds from a broadcast value, once per worker process."""
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = make(shared.value)
-    return _WORKER[key]
-
-
 def _packed(batch: pa.Array, encoder: Encoder) -> pa.Array:
     """Ids of a batch of texts as lists."""
     found = list(encoder.encode_all(t.as_py() or "" for t in batch))
@@ -273,7 +263,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _once(shared, lambda value: Encoder(*value))
+        encoder = once(shared, lambda value: Encoder(*value))
         for batch in batches:
             yield _packed(batch, encoder)
 
@@ -298,7 +288,7 @@ def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
     shared = df.sparkSession.sparkContext.broadcast((ranks, pattern))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = _once(shared, lambda value: Encoder(*value))
+        encoder = once(shared, lambda value: Encoder(*value))
         tokens = {rank: token for token, rank in encoder.ranks.items()}
         for batch in batches:
             found = _packed(batch, encoder)

@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from geoloom.llm.tables import lean
+
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3)
 MAX_LANGUAGES = 256
@@ -53,6 +55,7 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     of a language in the training rows does not favour it. Counts cover all rows."""
     rows = labelled.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).dropna()
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -83,6 +86,7 @@ def predict(df: DataFrame, names: list[str], log_probs: np.ndarray, text: str =
     """Adds the likeliest language and its posterior probability under equal priors, 0 to 1."""
     shared = df.sparkSession.sparkContext.broadcast((names, log_probs))
 
+    @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         learned, matrix = shared.value
         for batch in batches:

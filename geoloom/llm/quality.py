@@ -25,9 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geoloom.llm.tables import lean, text_pieces
 from geoloom.llm.words import NOT_LETTERS, NOT_MARKS, SPACES, mix, word_hashes
 
 BITS = 18
+#: Texts of an Arrow batch that are handled at once, in bytes (a longer text alone).
+PIECE = 1 << 21
 #: Rated documents that the model is fitted on, at most.
 MAX_LABELLED = 12_000
 #: A feature must occur in two documents of the sample and in one of so many to get a weight.
@@ -148,11 +151,13 @@ def learn(docs: DataFrame, ratings: DataFrame, grade: Column, key: str = "doc_id
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(
         F.broadcast(chosen), "key").select("grade", "text")
 
+    @lean
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, first = features(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(
-                pa.array(first.astype(np.int32)), pa.array(found))], ["grade", "found"])
+            for lo, part in text_pieces(batch.column(1), PIECE):
+                found, first = features(part)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.ListArray.from_arrays(
+                    pa.array(first.astype(np.int32)), pa.array(found))], ["grade", "found"])
 
     sample = rows.mapInArrow(read, "grade int, found array<int>").toArrow().combine_chunks()
     grades = sample["grade"].to_numpy().astype(int)
@@ -167,10 +172,13 @@ def grade_texts(df: DataFrame, model: Model, at_least: int, text: str = "text",
     learned, if that is lower)."""
     shared = df.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
 
+    @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        weights, thresholds = shared.value
+        weights, thresholds = shared.value[0].astype(float), shared.value[1]
         for batch in batches:
-            above = 1 - _sigmoid(thresholds - _scores(weights.astype(float), *features(batch))[:, None])
+            # Features take several times the memory of their texts.
+            scores = [_scores(weights, *features(part)) for _, part in text_pieces(batch, PIECE)]
+            above = 1 - _sigmoid(thresholds - np.concatenate([np.zeros(0), *scores])[:, None])
             level = min(at_least, len(thresholds))
             reach = above[:, level - 1] if level > 0 else np.ones(len(batch))
             yield pa.StructArray.from_arrays([pa.array(above.sum(axis=1)), pa.array(reach)], ["expected", "reach"])
