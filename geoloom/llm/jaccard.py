@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from geoloom.llm.components import components
 from geoloom.llm.signatures import PAIRED_FROM, PERCENT, digests, distinct_sets, signatures
-from geoloom.llm.tables import small_batches, stored
+from geoloom.llm.tables import lean, small_batches, stored, text_pieces
 from geoloom.llm.words import shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -52,13 +52,7 @@ ROWS_AT_ONCE = 1 << 19
 
 def pieces(batch: pa.Array) -> Iterator[tuple[int, pa.Array]]:
     """A text column in parts of bounded size, each with the number of its first row."""
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch), 0).to_numpy(zero_copy_only=False))
-    lo = 0
-    while lo < len(batch):
-        done = int(sizes[lo - 1]) if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(sizes, done + PIECE, "right")))
-        yield lo, batch.slice(lo, hi - lo)
-        lo = hi
+    return text_pieces(batch, PIECE)
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -74,6 +68,7 @@ def sizes_and_counts(docs: DataFrame, bits: int) -> DataFrame:
     """Per document (kind 0) key, node and size; per task (kind 1) the bucket counts in compressed blocks."""
     blocks = 1 << (bits - BLOCK_BITS)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint16)
         for batch in batches:
@@ -131,6 +126,7 @@ def index(docs: DataFrame, table: np.ndarray, frequent: int, buckets: int) -> Da
     in ``n``, and in ``more`` the numbers of single tokens of both prefixes and where these end)."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in pieces(batch.column(0)):
@@ -202,7 +198,7 @@ def at_level(node: Column, level: Column) -> Column:
 
 
 def could_link(x: Column, y: Column) -> Column:
-    """Whether two nodes (structs as in ``groups``) can reach the threshold. Of two sets that are indexed at the
+    """Whether two nodes (structs as in ``about``) can reach the threshold. Of two sets that are indexed at the
     smaller one's size level, the one whose prefix ends first shares none of its lone prefix tokens with the other."""
     level = F.least(x["level"], y["level"])
     a, b = at_level(x, level), at_level(y, level)
@@ -219,6 +215,7 @@ def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     wanted = keys.select("key").distinct()
     wanted = F.broadcast(wanted) if keys.count() <= BROADCAST_KEYS else wanted
 
+    @lean
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, part in pieces(batch.column(0)):
@@ -233,6 +230,7 @@ def overlaps(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     with small_batches(docs.sparkSession):
         sets = stored(fetched.groupBy("node").agg(F.first("tokens").alias("tokens")), "sets")
 
+    @lean
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in (2, 3)]
@@ -252,7 +250,7 @@ def links_of(compared: DataFrame) -> DataFrame:
 
 def cross_pairs(rows: DataFrame, frequent: int) -> DataFrame:
     """Pairs of nodes of one group that are in different components and could still link. ``rows`` has sig, x and lead
-    (structs as in ``groups``), root, and the overlap of x with the lead (null if they were not compared)."""
+    (structs as in ``about``), root, and the overlap of x with the lead (null if they were not compared)."""
     names = ("node", "size", "level", "low_level", "ends", "low_ends", "free", "low_free")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,6 +313,11 @@ def cross_pairs(rows: DataFrame, frequent: int) -> DataFrame:
         "bucket").applyInArrow(run, "a long, b long").distinct()
 
 
+def _known(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """Adds what is known of the nodes in the columns node and lead, as x and lead_x."""
+    return pairs.join(about, "node").join(about.select(F.col("node").alias("lead"), F.col("x").alias("lead_x")), "lead")
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_shingles, component_id (the smallest key of its group), and n_links, the links
     found from its set to other sets (the ones that were needed to find the groups)."""
@@ -343,20 +346,23 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             (F.col("size") - F.col("more")[0] + F.col("shared")).alias("free"),
             F.when(one_level, F.col("size") - F.col("more")[0] + F.col("shared")).otherwise(
                 F.col("size") - F.col("more")[1] + F.col("low_shared")).alias("low_free")).alias("x"))
-    rows = rows.select("sig", "node").join(about, "node").select("sig", "x")
-    # Each group's first node is the one with the smallest share of lone tokens.
-    lead = rows.groupBy("sig").agg(F.min_by("x", F.struct(-F.col("x.free") / F.col("x.size"), "x.node")).alias("lead"))
-    rows = stored(rows.join(lead, "sig"), "groups")
-    first = rows.where("x.node <> lead.node").where(could_link(F.col("x"), F.col("lead")))
+    # Each group's first node is the one with the smallest share of lone tokens. Rows keep no more than the two nodes;
+    # what is known of these is joined where a pair is tested.
+    about = stored(about, "about")
+    ranked = rows.select("sig", "node").join(about.select("node", F.struct(
+        -F.col("x.free") / F.col("x.size"), "node").alias("rank")), "node")
+    lead = ranked.groupBy("sig").agg(F.min_by("node", "rank").alias("lead"))
+    rows = stored(ranked.select("sig", "node").join(lead, "sig"), "groups")
+    first = _known(rows.where("node <> lead").select("node", "lead").distinct(), about).where(could_link(F.col("x"), F.col("lead_x")))
     compared = stored(overlaps(given, nodes, stored(first.select(
-        F.col("lead.node").alias("a"), F.col("x.node").alias("b")).distinct(), "pairs")), "compared")
+        F.col("lead").alias("a"), F.col("node").alias("b")), "pairs")), "compared")
     roots = components(links_of(compared).select("a", "b"))
-    rooted = rows.withColumn("node", F.col("x.node")).join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
+    rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    live = rooted.join(split.select("sig"), "sig", "left_semi").withColumn("a", F.col("lead.node")).join(
-        compared.select("a", F.col("b").alias("node"), "overlap"), ["a", "node"], "left").withColumn(
-        "overlap", F.when(F.col("a") == F.col("node"), F.col("x.size")).otherwise(F.col("overlap")))
+    live = rooted.join(split.select("sig"), "sig", "left_semi").withColumn("a", F.col("lead")).join(
+        compared.select("a", F.col("b").alias("node"), "overlap"), ["a", "node"], "left")
+    live = _known(live, about).select("sig", "x", F.col("lead_x").alias("lead"), "root", F.when(
+        F.col("a") == F.col("node"), F.col("x.size")).otherwise(F.col("overlap")).alias("overlap"))
     both_ways = compared.select("a", "b").unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
     further = stored(overlaps(given, nodes, stored(cross_pairs(live, frequent).join(
         both_ways, ["a", "b"], "left_anti"), "pairs")), "compared")
