@@ -29,7 +29,7 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from geoloom.llm.tables import stored
+from geoloom.llm.tables import lean, stored
 from geoloom.llm.urls import host_of
 
 #: Share of a host's pages that a class must occur on, and pages that a host must have for text to be template text.
@@ -153,6 +153,7 @@ def occurrence_vectors(pages: DataFrame) -> DataFrame:
     """Per (host, token) of columns host, page and html: pages it occurs on, its occurrences, whether it is text, and
     the fingerprint of its occurrence vector. Token 0 stands for the page itself."""
 
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[tuple[str, int], list] = {}
@@ -183,8 +184,9 @@ def candidate_classes(vectors: DataFrame) -> DataFrame:
     """Per host, its tokens that occur on enough pages, with their class (vector) and whether it is the root's."""
     hosts = vectors.where("token = 0").select("host", F.col("pages").alias("all_pages"),
                                               F.col("vector").alias("root"))
-    frequent = vectors.where("token <> 0").join(hosts, "host").where(
-        (F.col("pages") >= F.greatest(F.col("all_pages") * SHARE, F.lit(2))) & (~F.col("is_text") | (
+    # Most tokens occur on one page only; they go before the join deals rows by host.
+    frequent = vectors.where("token <> 0 AND pages >= 2").join(hosts, "host").where(
+        (F.col("pages") >= F.col("all_pages") * SHARE) & (~F.col("is_text") | (
             (F.col("pages") >= F.col("all_pages") * TEXT_SHARE) & (F.col("all_pages") >= TEXT_PAGES))))
     return frequent.groupBy("host").agg(F.collect_list(F.struct(
         "token", F.col("vector").alias("class"), (F.col("vector") == F.col("root")).alias("is_root"))).alias("tokens"))
@@ -193,6 +195,7 @@ def candidate_classes(vectors: DataFrame) -> DataFrame:
 def valid_classes(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     """Classes (host, class) whose order, and place between the root class's tokens, is the same on every page."""
 
+    @lean
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[tuple[str, int], tuple[int, int]] = {}
@@ -229,7 +232,9 @@ def valid_classes(pages: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def templates(pages: DataFrame) -> DataFrame:
     """Per host, the tokens of its template, from columns host, page and html."""
-    candidates = stored(candidate_classes(occurrence_vectors(pages)), "classes")
+    # Stored, as it is read twice, and the pages would be cut into tokens for each.
+    vectors = stored(occurrence_vectors(pages), "vectors")
+    candidates = stored(candidate_classes(vectors), "classes")
     valid = valid_classes(pages, candidates)
     tokens = candidates.select("host", F.explode("tokens").alias("t")).select("host", "t.token", "t.class")
     return stored(tokens.join(valid, ["host", "class"]).groupBy("host").agg(
@@ -243,6 +248,7 @@ def extract_text(pages: DataFrame, url: str = "url", html: str = "html", text: s
     page = F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns if c != html] or [F.lit(0)])
     read = pages.select(host.alias("host"), page.alias("page"), F.col(f"`{html}`").alias("html"))
 
+    @lean
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         known: dict[int, frozenset[int]] = {}
         for bodies, listed in batches:
