@@ -41,6 +41,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
+from geoloom.llm.tables import lean
 from geoloom.llm.words import byte_run_hashes, mix, word_hashes
 
 #: Edits allowed per word of an item, and words that an item must have.
@@ -59,6 +60,8 @@ PIECE = 1 << 22
 #: Letters and marks of scripts that are written without blanks.
 BLANKLESS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u31ff\u3400-\u9fff\uf900-\ufaff"
                        "\ufe30-\ufe4f\uff00-\uffef\U00020000-\U0003ffff]")
+#: What stands between words.
+BLANKS = " \t\n\r\v\f"
 #: Places of a text that are compared with short items at once.
 PLACES = 1 << 18
 _PAD = np.uint64(0x5BF03635F0A31E29)
@@ -211,7 +214,8 @@ class Exact:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, plain(text)) for i, text in items]
-        free = [(bool(BLANKLESS.match(text.strip()[0])), bool(BLANKLESS.match(text.strip()[-1]))) for _, text in items]
+        inner = [text.strip(BLANKS) for _, text in items]
+        free = [(bool(BLANKLESS.match(t[0])), bool(BLANKLESS.match(t[-1]))) for t in inner]
         # Per power of two: items whose first and last so many bytes overlap or meet, ordered by the first ones' hash.
         self.levels = []
         for width in sorted({1 << len(x).bit_length() - 1 for _, x in self.items}):
@@ -275,6 +279,7 @@ def add_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     shared = docs.sparkSession.sparkContext.broadcast(
         ([words[lo:hi] for lo, hi in zip(first[:-1], first[1:])], short))
 
+    @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index, exact = Index(shared.value[0]), Exact(shared.value[1])
         for batch in batches:

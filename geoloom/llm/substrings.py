@@ -36,6 +36,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoloom.llm.fmindex import Index
+from geoloom.llm.tables import lean
 from geoloom.llm.words import CASED, hash_spans, mix, run_hashes, utf8, word_spans
 
 WINDOW, GRAM = 13, 3
@@ -245,6 +246,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     shards = _size(docs.sparkSession, rows)
     shared = docs.sparkSession.sparkContext.broadcast(_overfull(rows, shards, window))
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         overfull = shared.value
         for number, (p, hashes) in enumerate(pieces(batches, window)):
@@ -310,6 +312,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
                 pa.array([len(p or b"") for p in plain], pa.int32()),
                 pa.array([p and pa.Codec("zstd", 3).compress(p, asbytes=True) for p in plain], pa.binary())], ["size", "data"])
 
+    @lean
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, found in batches:
             rows = [without_words(t["data"] and pa.Codec("zstd").decompress(t["data"], t["size"], asbytes=True), s)

@@ -142,3 +142,11 @@ def test_short_items_are_found_exactly(spark, monkeypatch, tmp_path):
 def test_pieces_of_a_batch_do_not_matter(monkeypatch):
     monkeypatch.setattr(decontaminate, "PIECE", 10)
     assert word_hashes(pa.array(["a b", None, "A"]))[0][0] == word_hashes(pa.array(["A"]))[0][0]
+
+
+def test_items_of_odd_white_space(spark):
+    """Characters that only some languages count as blank are words here, and no item stops the search."""
+    items = spark.createDataFrame([(1, "\u00a0"), (2, "\u3000\u3000"), (3, "\x1c"), (4, " \t"), (5, "plain words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a \u3000\u3000 b"), (2, "with plain  words in it"), (3, None)], "doc_id long, text string")
+    found = {r.doc_id: [x.item_id for x in r.leaks] for r in add_leaks(docs, items, least_words=1).collect()}
+    assert found == {1: [2], 2: [5], 3: []}
