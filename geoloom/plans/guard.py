@@ -24,7 +24,16 @@ TABLE_FUNCTIONS = {
     "range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack",
     "json_tuple",
 }
-REFUSED_FUNCTIONS = {"reflect", "java_method", "try_reflect", "input_file_name", "read_files"}
+#: Built-in functions that run other code or read files, the session or the host.
+REFUSED_FUNCTIONS = {
+    "current_catalog", "current_database", "current_path", "current_schema", "current_timezone", "current_user",
+    "from_avro", "from_protobuf", "input_file_block_length", "input_file_block_start", "input_file_name", "java_method",
+    "read_files", "reflect", "schema_of_avro", "session_user", "to_avro", "to_protobuf", "try_reflect", "user", "version",
+}
+#: Expressions that read the clock.
+CLOCK = {"CurrentDate", "CurrentTime", "CurrentTimestamp"}
+#: Names that stand for such a function where no column has them; columns are then named with their relation.
+REFUSED_NAMES = {"current_catalog", "current_database", "current_schema", "current_user", "session_user", "user"}
 
 
 class RefusedQuery(ValueError):
@@ -52,10 +61,29 @@ def guard(spark: SparkSession, sql: str | None, known: Iterable[str]) -> Guarded
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
     except Exception as error:  # the parser's own message names the position
         raise RefusedQuery(f"The query cannot be parsed: {_first_line(error)}") from error
-    names = {name.lower(): name for name in known}
-    read: dict[str, None] = {}
-    _check(plan, frozenset(), names, read)
-    return GuardedQuery(text, tuple(read))
+    found = _Reading(spark, {name.lower(): name for name in known})
+    _check(plan, frozenset(), found)
+    return GuardedQuery(text, tuple(found.read))
+
+
+class _Reading:
+    """What a query may read, and what it reads."""
+
+    def __init__(self, spark: SparkSession, known: dict[str, str]):
+        self.known, self.read = known, {}
+        self._registry = spark._jsparkSession.sessionState().functionRegistry()
+        self._identifier = spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+        self._allowed: dict[str, bool] = {}
+
+    def function(self, parts: list[str]) -> None:
+        """Refuses all but Spark's own functions; a registered function is not one, whatever its name."""
+        name = ".".join(parts).lower()
+        if name not in self._allowed:
+            info = None if len(parts) != 1 or name in REFUSED_FUNCTIONS else self._registry.lookupFunction(
+                self._identifier.apply(name))
+            self._allowed[name] = info is not None and info.isDefined() and info.get().getSource() == "built-in"
+        if not self._allowed[name]:
+            raise RefusedQuery(f"The function {name} is not available.")
 
 
 def _first_line(error: Exception) -> str:
@@ -67,7 +95,7 @@ def _items(seq) -> Iterable:
     return (seq.apply(i) for i in range(seq.size()))
 
 
-def _check(plan, local: frozenset[str], known: dict[str, str], read: dict[str, None]) -> None:
+def _check(plan, local: frozenset[str], found: _Reading) -> None:
     """Walks a plan; ``local`` holds the names that earlier WITH entries define here."""
     kind = plan.getClass().getSimpleName().rstrip("$")
     if kind not in PLAN_NODES:
@@ -77,11 +105,11 @@ def _check(plan, local: frozenset[str], known: dict[str, str], read: dict[str, N
         for entry in _items(plan.cteRelations()):
             name = entry._1().lower()
             own = inner | {name} if plan.allowRecursion() else inner
-            _check(entry._2(), own, known, read)
+            _check(entry._2(), own, found)
             inner = inner | {name}
         local = inner
     elif kind == "UnresolvedRelation":
-        _check_relation(plan, local, known, read)
+        _check_relation(plan, local, found)
     elif kind == "SubqueryAlias" and plan.alias().lower() == "asof":
         raise RefusedQuery("ASOF is no join here but would be read as an alias; use the as-of join operator.")
     elif kind == "UnresolvedTableValuedFunction":
@@ -89,34 +117,41 @@ def _check(plan, local: frozenset[str], known: dict[str, str], read: dict[str, N
         if name not in TABLE_FUNCTIONS:
             raise RefusedQuery(f"The table function {name} is not available.")
     for expression in _items(plan.expressions()):
-        _check_expression(expression, local, known, read)
+        _check_expression(expression, local, found)
     for child in _items(plan.children()):
-        _check(child, local, known, read)
+        _check(child, local, found)
 
 
-def _check_relation(plan, local, known, read) -> None:
+def _check_relation(plan, local, found) -> None:
     parts = list(_items(plan.multipartIdentifier()))
     name = parts[-1].lower()
     if len(parts) != 1 or plan.isStreaming():
         raise RefusedQuery("Relations are named without a path, catalog or stream.")
     if name in local:
         return
-    if name not in known:
+    if name not in found.known:
         raise RefusedQuery(f"Unknown relation {parts[0]}; load external data through the dataset loader first.")
-    read[known[name]] = None
+    found.read[found.known[name]] = None
 
 
-def _check_expression(expression, local, known, read) -> None:
+def _check_expression(expression, local, found) -> None:
     kind = expression.getClass().getSimpleName()
     if kind == "UnresolvedFunction":
-        name = ".".join(_items(expression.nameParts())).lower()
-        if name in REFUSED_FUNCTIONS:
-            raise RefusedQuery(f"The function {name} is not available.")
+        found.function(list(_items(expression.nameParts())))
+    elif kind == "UnresolvedGenerator":
+        if expression.name().funcName().lower() not in TABLE_FUNCTIONS:
+            raise RefusedQuery(f"The table function {expression.name().funcName()} is not available.")
+    elif kind == "UnresolvedAttribute":
+        parts = list(_items(expression.nameParts()))
+        if len(parts) == 1 and parts[0].lower() in REFUSED_NAMES:
+            raise RefusedQuery(f"{parts[0]} may name the session; name a column of that name with its relation.")
+    elif "UnresolvedIdentifier" in kind or kind.startswith("Current") and kind not in CLOCK:
+        raise RefusedQuery(f"Names are written out here, and this query needs {kind}.")
     plan = getattr(expression, "plan", None) if _holds_plan(expression) else None
     if plan is not None:
-        _check(plan(), local, known, read)
+        _check(plan(), local, found)
     for child in _items(expression.children()):
-        _check_expression(child, local, known, read)
+        _check_expression(child, local, found)
 
 
 def _holds_plan(expression) -> bool:

@@ -76,7 +76,6 @@ class Workspace:
         self._sequence = 0
         self.scene: Scene | None = None
         self.active_result_id: str | None = None
-        spark.conf.set("spark.sql.runSQLOnFiles", "false")
 
     # Datasets
 

@@ -18,6 +18,12 @@ REFUSED = [
     "select * from identifier('orders')", "select * from read_csv('x')", "select * from missing", "select * from default.orders",
     "select * from orders where o_custkey in (select x from (select reflect('a', 'b') as x))",
     "select * from orders where exists (select 1 from missing)", "create table x as select 1", "explain select 1",
+    "select session_user()", "select current_user", "select user()", "SELECT user FROM orders", "select current_database()",
+    "select current_catalog() from nation", "select input_file_name() from orders", "select version()", "select current_timezone()",
+    "select identifier('session_user')()", "select builtin.session_user()", "select my_udf(1)", "select default.my_udf(1)",
+    "select o_orderkey from orders group by all having max(session_user()) = 'root'", "select no_such_function(1)",
+    "select transform(array(1), x -> concat(x, session_user()))", "select * from orders lateral view my_table(1)",
+    "select from_protobuf(x, 'm', '/etc/passwd') from (select 1 as x)", "select * from nation order by current_user()",
     "select * from orders version as of 1", "select (select max(x) from secret)", "selection", "set a = 1",
 ]
 ACCEPTED = [
@@ -28,7 +34,10 @@ ACCEPTED = [
      ("orders", "nation", "region")),
     ("with recursive r(n) as (select 1 union all select n + 1 from r where n < 5) select * from r", ()),
     ("select * from values (1, 2) as v(a, b)", ()), ("select o_custkey, count(*) c from orders group by all having count(*) > 1", ("orders",)),
-    ("select 'orders in a text' as a -- nation", ()), ("select * from orders tablesample (10 percent)", ("orders",)),
+    ("select 'orders in a text' as a -- nation", ()), ("select o.user from (select 1 as `user`) as o", ()),
+    ("select current_date(), now(), current_timestamp, abs(-1), upper('a'), kll_sketch_agg_bigint(a) from (select 1L as a)", ()),
+    ("select col from nation lateral view explode(array(1, 2)) as col", ("nation",)),
+    ("select sum(x) filter (where x > 0) over (order by x), count(distinct x), x::int, x is null, x between 1 and 2 from (select 1 as x)", ()), ("select * from orders tablesample (10 percent)", ("orders",)),
 ]
 
 
@@ -47,6 +56,20 @@ def test_refused(ws, sql):
         guard(ws.spark, sql, ws.catalog.names())
 
 
+def test_registered_functions_are_refused_even_under_a_known_name(ws):
+    ws.spark.udf.register("my_udf", lambda x: x, "int")
+    ws.spark.udf.register("abs", lambda x: 7, "int")
+    for sql in ("select my_udf(1)", "select abs(-1)"):
+        with pytest.raises(RefusedQuery):
+            guard(ws.spark, sql, ws.catalog.names())
+
+
+def test_the_session_is_left_as_it_is(spark):
+    before = spark.conf.get("spark.sql.runSQLOnFiles")
+    Workspace(spark)
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == before
+
+
 @pytest.mark.parametrize("sql,relations", ACCEPTED)
 def test_accepted(ws, sql, relations):
     assert set(guard(ws.spark, sql, ws.catalog.names()).relations) == set(relations)
