@@ -16,12 +16,14 @@ from geoloom.functions.geo import as_number, focus_altitude, is_finite, quoted,
 from geoloom.functions.roles import infer_roles
 from geoloom.functions.text import SHORT_ITEMS, relation_name, row_label, short_text
 from geoloom.functions.urls import clean_link_text
+from geoloom.operators.closure import ancestors
 from geoloom.operators.extent import extent
 from geoloom.operators.layers import ROW_INDEX, Layer, layer_locations
+from geoloom.operators.quality import count_mismatches
 from geoloom.plans.guard import GuardedQuery, guard
 from geoloom.plans.scenes import Scene, normalize_scene, scene_extent, scene_marks
 from geoloom.plans.store import PLACE, StoredRows, store_rows
-from geoloom.session import materialise, store
+from geoloom.session import store
 from geoloom.sources.catalog import Catalog, Dataset
 from geoloom.sources.readers import file_bytes, format_of, from_records, read_csv, read_parquet
 
@@ -30,6 +32,8 @@ PAGE_COLUMNS = 5
 SAMPLE_ROWS = 5
 SHORT_ROWS, SHORT_COLUMNS, SHORT_SCHEMA, SHORT_RESULTS = 2, 10, 12, 8
 DETAIL_COLUMNS = 4
+RESULT_FIELDS = ("id string, relation string, title string, sql string, row_count bigint, truncated boolean, "
+                 "sources array<string>, actor string, created_at string")
 
 
 @dataclass(frozen=True)
@@ -189,13 +193,43 @@ class Workspace:
         return self._frames[result_id]
 
     def results_frame(self) -> DataFrame:
-        """Metadata of all results as a table."""
-        rows = [(r.id, r.relation, r.title, r.sql, r.row_count, r.truncated, list(r.sources), r.actor, r.created_at)
-                for r in self.results.values()]
-        return self.spark.createDataFrame(
-            rows, "id string, relation string, title string, sql string, row_count bigint, truncated boolean, "
-            "sources array<string>, actor string, created_at string",
-        )
+        """Metadata of all results as a table; rows are counted where they are stored."""
+        none = self.spark.createDataFrame([], RESULT_FIELDS)
+        return reduce(DataFrame.unionByName, [self._described(r) for r in self.results.values()], none)
+
+    def _described(self, r: Result) -> DataFrame:
+        said = {"id": r.id, "relation": r.relation, "title": r.title, "sql": r.sql, "truncated": r.truncated,
+                "actor": r.actor, "created_at": r.created_at}
+        plain = self._stored[r.id].frame() if r.id in self._stored else self._frames[r.id]
+        return plain.agg(F.count(F.lit(1)).alias("row_count")).select(
+            "row_count", *[F.lit(v).alias(k) for k, v in said.items()],
+            F.array(*[F.lit(s) for s in r.sources]).cast("array<string>").alias("sources"))
+
+    def count_report(self) -> DataFrame:
+        """Datasets whose stated row count differs from the counted one: (relation, rowCount, rows)."""
+        stated = [(n, self.catalog.entry(n).row_count) for n in self.catalog.names()]
+        said = self.spark.createDataFrame([x for x in stated if x[1] is not None], "relation string, rowCount bigint")
+        return count_mismatches(said, self.relation_sizes().select("relation", "rows"))
+
+    def provenance(self, result_id: str) -> dict:
+        """Where a result comes from: its query, the catalog entries and results it was read from (also indirectly), and
+        how the current scene shows it."""
+        result = self.result(result_id)
+        found, open_names = [], list(result.sources)
+        while open_names:
+            name = open_names.pop(0)
+            if name not in found:
+                found.append(name)
+                open_names += next((r.sources for r in self.results.values() if r.relation == name), ())
+        shown = [x for x in (self.scene.layers if self.scene else ()) if x.result_id == result.id]
+        return {
+            "result": result.id, "title": result.title, "sql": result.sql, "createdAt": result.created_at, "actor": result.actor,
+            "rowCount": result.row_count, "truncated": result.truncated,
+            "datasets": [_plain(self.catalog.entry(n)) for n in found if n in self.catalog],
+            "results": [r.id for r in self.results.values() if r.relation in found],
+            "scene": {"headline": self.scene.headline, "subheadline": self.scene.subheadline,
+                      "layers": [{"id": x.id, "type": x.type, "title": x.title} for x in shown]} if shown else None,
+        }
 
     def lineage(self) -> DataFrame:
         """One row per (result, parent): relations and earlier results that a result was read from."""
@@ -203,20 +237,8 @@ class Workspace:
         return self.spark.createDataFrame(edges, "result string, parent string")
 
     def ancestry(self) -> DataFrame:
-        """All direct and indirect parents: (result, ancestor, distance), by the distance of the shortest way.
-
-        Each step follows one more parent from the pairs found last and keeps those not found before, so every pair
-        is expanded once, however many ways lead to it.
-        """
-        edges = materialise(self.lineage().distinct())
-        found = newest = edges.select("result", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-        step = edges.select(F.col("result").alias("ancestor"), F.col("parent").alias("next"))
-        while not newest.isEmpty():
-            further = newest.join(step, "ancestor").select(
-                "result", F.col("next").alias("ancestor"), (F.col("distance") + 1).alias("distance")).distinct()
-            newest = materialise(further.join(found, ["result", "ancestor"], "left_anti"))
-            found = materialise(found.unionByName(newest))
-        return found
+        """All direct and indirect parents: (result, ancestor, distance), by the distance of the shortest way."""
+        return ancestors(self.lineage(), "result").withColumnRenamed("node", "result")
 
     def page(self, result_id: str, page: int = 1, size: int = PAGE_SIZE, max_columns: int = PAGE_COLUMNS):
         """(rows of a 1-based page, page shown, number of pages); the page is clamped to the result."""
@@ -294,7 +316,10 @@ class Workspace:
 
     def relation_sizes(self) -> DataFrame:
         """Rows and columns of every dataset, in one query."""
-        frames = [(name, self.catalog.frame(name)) for name in self.catalog.names()]
+        return self._sizes(self.catalog.names())
+
+    def _sizes(self, names: list[str]) -> DataFrame:
+        frames = [(name, self.catalog.frame(name)) for name in names]
         return reduce(DataFrame.unionByName, [df.agg(
             F.lit(name).alias("relation"), F.count(F.lit(1)).alias("rows"),
             F.lit(len(df.columns)).cast("bigint").alias("columns")) for name, df in frames])
@@ -310,19 +335,25 @@ class Workspace:
         }
 
     def inspect_workspace(self) -> DataFrame:
-        """Datasets, results and the scene's layers in one table; the last 8 results are marked as recent."""
+        """Datasets, results and the scene's layers in one table; the last 8 results are marked as recent. Rows of
+        results and of datasets that have been read are counted."""
         entries = [self.catalog.entry(n) for n in self.catalog.names()]
         rows = [("dataset", d.relation, d.relation, d.row_count, self.catalog.is_loaded(d.relation), d.title, [], True,
                  False) for d in entries]
         recent = list(self.results)[-SHORT_RESULTS:]
-        rows += [("result", r.id, r.relation, r.row_count, True, r.title, list(r.sources), r.id in recent,
-                  r.id == self.active_result_id) for r in self.results.values()]
         rows += [("layer", x.id, f"_{x.result_id}", None, True, x.title, [x.result_id], True,
                   x.result_id == self.active_result_id) for x in (self.scene.layers if self.scene else ())]
-        return self.spark.createDataFrame(
-            rows, "kind string, id string, relation string, rows bigint, loaded boolean, title string, "
-            "sources array<string>, recent boolean, active boolean",
-        )
+        listed = self.spark.createDataFrame(
+            rows, "kind string, id string, relation string, stated bigint, loaded boolean, title string, "
+            "sources array<string>, recent boolean, active boolean")
+        loaded = [d.relation for d in entries if self.catalog.is_loaded(d.relation)]
+        counted = self._sizes(loaded).select("relation", "rows") if loaded else self.spark.createDataFrame([], "relation string, rows bigint")
+        # One row per dataset on either side.
+        listed = listed.join(F.broadcast(counted), "relation", "left").withColumn("rows", F.coalesce("rows", "stated")).drop("stated")
+        results = self.results_frame().select(
+            F.lit("result").alias("kind"), "id", "relation", F.col("row_count").alias("rows"), F.lit(True).alias("loaded"),
+            "title", "sources", F.col("id").isin(recent).alias("recent"), F.col("id").eqNullSafe(F.lit(self.active_result_id)).alias("active"))
+        return listed.unionByName(results)
 
     def layer_columns(self) -> tuple[DataFrame, DataFrame]:
         """The scene's layer mappings and the results' columns as tables, for the integrity check."""

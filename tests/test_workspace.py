@@ -161,6 +161,24 @@ def test_lineage_of_chained_results(ws):
     assert ws.results_frame().count() == 3
 
 
+def test_where_results_come_from(ws):
+    first = ws.execute_sql("select n_nationkey as id, n_name as name, 1.0D as latitude, 2.0D as longitude from nation")
+    second = ws.execute_sql(f"select r.* from {first.relation} r join region on id = r_regionkey")
+    ws.render_scene({"headline": "h", "subheadline": "s", "layers": [{"id": "a", "resultId": second.id}]})
+    said = ws.provenance(second.id)
+    assert [d["relation"] for d in said["datasets"]] == ["region", "nation"] and said["results"] == [first.id]
+    assert said["scene"] == {"headline": "h", "subheadline": "s", "layers": [{"id": "a", "type": "points", "title": second.id}]}
+    assert ws.provenance(first.id)["scene"] is None
+    assert {r.id: r.row_count for r in ws.results_frame().collect()} == {first.id: 25, second.id: 5}
+
+
+def test_row_counts_that_differ_from_the_stated_ones(spark):
+    ws = Workspace(isolated_session(spark))
+    for name, stated in (("right", 3), ("wrong", 4), ("unstated", None)):
+        ws.add_relation(name, lambda: ws.spark.range(3), row_count=stated)
+    assert values(ws.count_report()) == [("wrong", 4, 3)]
+
+
 def test_output_names(ws):
     for sql in ("select 1 as a, 2 as A", "select 1 as _row_index", "select 1 as _row_place"):
         with pytest.raises(ValueError):

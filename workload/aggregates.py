@@ -11,6 +11,8 @@ from geoloom.operators.extent import extent
 from geoloom.operators.layers import coordinate_report
 from geoloom.operators.ordering import exact_median
 from geoloom.operators.quality import broken_layers, check_rules, list_differences, missing_metadata, table_metrics
+from geoloom.operators.sketches import COUNT_ERROR, RANK_ERROR, merge_sketches, read_sketches, sketch
+from geoloom.session import store
 from geoloom.sources.manifest import latest_retrieval
 from workload.base import GEO_CUSTOMER, GEO_EVENT, geo_customer, geo_event, table
 
@@ -29,6 +31,21 @@ def distinct_counts(spark, sf_dir):
         F.count_distinct("o_custkey").alias("customers"), F.count_distinct("o_orderstatus").alias("statuses"))
 
 
+def sketched(spark, sf_dir):
+    """Medians and distinct orders per flag from sketches that are built per line number, stored and merged, against the
+    exact ranks and counts."""
+    lines = table(spark, sf_dir, "lineitem")
+    fine = store(sketch(lines, ["l_returnflag", "l_linenumber"], "l_extendedprice", "l_orderkey"), "sketches")
+    read = read_sketches(merge_sketches(fine, ["l_returnflag"]))
+    # One row per flag.
+    return lines.join(F.broadcast(read), "l_returnflag").groupBy("l_returnflag", "n").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("l_orderkey").alias("orders"),
+        F.avg((F.col("l_extendedprice") <= F.col("estimate")).cast("double")).alias("rank"),
+        F.max("distinct_estimate").alias("distinct")).select(
+        "l_returnflag", "n", "lines", "orders", (F.abs(F.col("rank") - 0.5) <= 2 * RANK_ERROR).alias("median_within"),
+        (F.abs(F.col("distinct") / F.col("orders") - 1) <= COUNT_ERROR).alias("distinct_within"))
+
+
 def combined_row(spark, sf_dir):
     """One row from several tables by scalar subqueries."""
     orders = table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("v"))
@@ -114,7 +131,7 @@ def ordered_lists(spark, sf_dir):
 
 QUERIES = {
     "J4_broken_layers": broken_layers_of_parts, "V3_missing_metadata": blank_metadata, "V3_list_differences": ordered_lists,
-    "A1_grouped": grouped, "A2_distinct_counts": distinct_counts, "A3_combined_row": combined_row,
+    "A1_grouped": grouped, "A1_sketches": sketched, "A2_distinct_counts": distinct_counts, "A3_combined_row": combined_row,
     "A5_circular_mean": circular_mean, "A6_latest_date": latest_date, "G11_extent": view_extent,
     "V1_coverage": coverage, "G1_coordinate_report": valid_coordinates,
 }
@@ -148,6 +165,8 @@ SQL = {
         WHERE o.o_orderstatus IS DISTINCT FROM e.expected""",
     "A1_grouped": f"""WITH {GEO_EVENT} SELECT track_id, round(avg(value), 6) AS mean, max(value) AS largest,
         round(median(value), 6) AS middle, count(*) AS observations FROM geo_event GROUP BY track_id""",
+    "A1_sketches": """SELECT l_returnflag, count(*) AS n, count(*) AS lines, count(DISTINCT l_orderkey) AS orders,
+        true AS median_within, true AS distinct_within FROM lineitem GROUP BY l_returnflag""",
     "A2_distinct_counts": """SELECT count(DISTINCT o_custkey) AS customers, count(DISTINCT o_orderstatus) AS statuses
         FROM orders""",
     "A3_combined_row": """SELECT (SELECT count(*) FROM lineitem) AS lines, (SELECT count(*) FROM orders) AS orders,

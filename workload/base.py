@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+def workspace(spark: SparkSession, sf_dir: str, result_cap: int | None = None) -> Workspace:
     """A workspace with names of its own over the test tables."""
-    ws = Workspace(isolated_session(spark))
+    ws = Workspace(isolated_session(spark), result_cap)
     for name in TABLES:
         ws.add_relation(name, lambda name=name: table(ws.spark, sf_dir, name))
     return ws

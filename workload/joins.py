@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from geoloom.functions.geojson import explode_edges
 from geoloom.operators.asof import asof_join
+from geoloom.operators.closure import chain_depths
 from geoloom.operators.near import near_join
 from geoloom.operators.region import assign_region
 from geoloom.operators.skew import lookup_join
@@ -51,6 +52,28 @@ def latest_purchase(spark, sf_dir):
     return asof_join(left, right, "track_id", "observed_at", "purchase_time", "purchase_id")
 
 
+def partial_sample(spark, sf_dir):
+    """A tenth of the lines, by a seed: its size lies within five standard deviations, the same seed gives the same rows,
+    and all are rows of the table."""
+    ws = workspace(spark, sf_dir)
+    text = "SELECT l_orderkey, l_linenumber FROM lineitem TABLESAMPLE (10 PERCENT) REPEATABLE (42)"
+    ws.execute_sql(text)
+    ws.execute_sql(text)
+    return ws.query("""SELECT (SELECT count(*) FROM lineitem) AS population,
+          abs((SELECT count(*) FROM _result_0001) - 0.1D * (SELECT count(*) FROM lineitem))
+            <= 5 * sqrt(0.09D * (SELECT count(*) FROM lineitem)) AS of_size,
+          (SELECT count(*) FROM (SELECT * FROM _result_0001 EXCEPT ALL SELECT * FROM _result_0002)) AS unrepeated,
+          (SELECT count(*) FROM (SELECT * FROM _result_0001 EXCEPT ALL SELECT l_orderkey, l_linenumber FROM lineitem)) AS strangers""")
+
+
+def order_chains(spark, sf_dir):
+    """Every order's first order of its customer, and its number of orders since, by following one link at a time."""
+    orders = table(spark, sf_dir, "orders")
+    before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    links = orders.select(F.col("o_orderkey").alias("node"), F.lag("o_orderkey").over(before).alias("parent"))
+    return chain_depths(links).select(F.col("node").alias("o_orderkey"), F.col("root").alias("first_order"), "depth")
+
+
 # Texts that both engines read alike.
 SHARED = {
     "X1_outer_joins": """SELECT c.c_custkey, count(o.o_orderkey) AS orders, sum(CASE WHEN c.c_custkey IS NULL THEN 1 ELSE 0 END)
@@ -59,6 +82,9 @@ SHARED = {
     "X1_semi_anti": """SELECT 'with' AS kind, count(*) AS customers FROM customer AS c SEMI JOIN orders AS o
           ON c.c_custkey = o.o_custkey
         UNION ALL SELECT 'without', count(*) FROM customer AS c ANTI JOIN orders AS o ON c.c_custkey = o.o_custkey""",
+    "X1_cross": """SELECT r.r_name, n.n_name, s.suppliers, s.suppliers * 100 + r.r_regionkey AS code
+        FROM region AS r CROSS JOIN nation AS n
+        CROSS JOIN (SELECT count(*) AS suppliers, max(s_acctbal) AS largest FROM supplier) AS s""",
     "X1_lateral": """SELECT c.c_custkey, t.total FROM customer AS c,
         LATERAL (SELECT round(sum(o.o_totalprice), 2) AS total FROM orders AS o WHERE o.o_custkey = c.c_custkey) AS t""",
     "X2_rollup": """SELECT l_returnflag, l_linestatus, count(*) AS lines, grouping(l_linestatus) AS level FROM lineitem
@@ -105,6 +131,7 @@ _WRAPPED = {"X4_set_operations": f"SELECT * FROM ({SHARED['X4_set_operations']})
 QUERIES = {
     "J1_near_pairs": near_pairs, "J2_regions": regions, "J2_regions_of_text": regions_of_text,
     "J3_event_observations": event_observations, "X9_asof": latest_purchase,
+    "X6_chain_depths": order_chains, "X7_partial_sample": partial_sample,
     **{name: _guarded(_WRAPPED.get(name, text)) for name, text in {**SHARED, **SPARK_ONLY}.items()},
 }
 
@@ -137,6 +164,9 @@ SQL = {
     **SHARED,
     "X7_pivot": """SELECT l_returnflag, sum(l_quantity) FILTER (WHERE l_linestatus = 'F') AS filled,
         sum(l_quantity) FILTER (WHERE l_linestatus = 'O') AS open FROM lineitem GROUP BY l_returnflag""",
+    "X6_chain_depths": """SELECT o_orderkey, first_value(o_orderkey) OVER w AS first_order, row_number() OVER w - 1 AS depth FROM orders
+        WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) QUALIFY depth > 0""",
+    "X7_partial_sample": "SELECT count(*) AS population, true AS of_size, 0 AS unrepeated, 0 AS strangers FROM lineitem",
     "X7_whole_sample": "SELECT o_orderkey, o_custkey FROM orders",
     "X8_functions": """SELECT event_id, upper(event_type) AS kind, strftime(ts, '%Y-%m') AS month,
         CAST(json_extract_string(props, '$.k') AS INT) AS k, len(string_split(props, ':')) AS parts,

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geoloom.functions.geo import rounded
+from geoloom.operators.closure import ancestors
 from geoloom.session import scratch_path
 from geoloom.sources.snapshots import load_snapshot, read_snapshots, snapshot_contract, write_snapshot
-from workload.base import workspace
+from workload.base import table, workspace
 
 SUMMARY = """SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity, count(*) AS lines
 FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY l_returnflag, l_linestatus"""
@@ -36,8 +37,12 @@ def capped(spark, sf_dir):
     return _rows(workspace(spark, sf_dir), LINES)
 
 
+#: Bound of the results that show truncation; smaller than one of the tables at most scales.
+CAP = 12_000
+
+
 def truncation(spark, sf_dir):
-    ws = workspace(spark, sf_dir)
+    ws = workspace(spark, sf_dir, result_cap=CAP)
     for name in ("events", "orders", "lineitem"):
         ws.execute_sql(f"SELECT * FROM {name}", title=name)
     return ws.results_frame().select("title", "row_count", "truncated")
@@ -103,6 +108,15 @@ def ancestry(spark, sf_dir):
     return ws.ancestry()
 
 
+def turns_before(spark, sf_dir):
+    """All earlier turns of every turn of a conversation, each turn following the one before."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
+    at = F.struct("conv_id", "turn")
+    links = turns.select(at.alias("node"), F.struct("conv_id", (F.col("turn") - 1).cast(turns.schema["turn"].dataType).alias("turn")).alias("parent"))
+    return ancestors(links.join(turns.select(at.alias("parent")), "parent", "left_semi")).select(
+        F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("turn"), F.col("ancestor.turn").alias("earlier"), "distance")
+
+
 def listing(spark, sf_dir):
     ws = workspace(spark, sf_dir)
     _chain(ws)
@@ -133,7 +147,7 @@ def contract(spark, sf_dir):
 
 
 QUERIES = {
-    "Q4_ancestry": ancestry, "I2_workspace": listing, "G10_scene_camera": scene_camera, "V4_snapshot_contract": contract,
+    "Q4_ancestry": ancestry, "Q4_closure": turns_before, "I2_workspace": listing, "G10_scene_camera": scene_camera, "V4_snapshot_contract": contract,
     "Q2_execute_sql": executed, "L3_result_cap": capped, "Q3_truncation": truncation, "Q5_requery": requeried,
     "Q6_page": third_page, "Q8_row_detail": detail, "Q11_snapshot_sink": snapshot_sink, "Q12_snapshot_replay": replayed,
 }
@@ -143,8 +157,12 @@ SQL = {
         ('_result_0002', 'orders', 2), ('_result_0002', 'customer', 1), ('_result_0003', '_result_0002', 1),
         ('_result_0003', '_result_0001', 2), ('_result_0003', 'customer', 2), ('_result_0003', 'orders', 3))
         AS a(result, ancestor, distance)""",
-    "I2_workspace": f"""SELECT 'dataset' AS kind, 'orders' AS relation, CAST(NULL AS BIGINT) AS rows, false AS active
-        UNION ALL SELECT 'dataset', 'customer', NULL, false
+    "Q4_closure": """WITH turns AS (SELECT DISTINCT conv_id, turn FROM conversations), runs AS (
+          SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM turns)
+        SELECT a.conv_id, a.turn, b.turn AS earlier, CAST(a.turn - b.turn AS INT) AS distance
+        FROM runs AS a JOIN runs AS b ON a.conv_id = b.conv_id AND a.run = b.run AND b.turn < a.turn""",
+    "I2_workspace": f"""SELECT 'dataset' AS kind, 'orders' AS relation, count(*) AS rows, false AS active FROM orders
+        UNION ALL SELECT 'dataset', 'customer', count(*), false FROM customer
         UNION ALL SELECT 'result', '_result_0001', count(DISTINCT o_custkey), false FROM orders
         UNION ALL SELECT 'result', '_result_0002', count(DISTINCT c_nationkey), false FROM customer JOIN orders ON c_custkey = o_custkey
         UNION ALL SELECT 'result', '_result_0003', 1, true""",
@@ -166,7 +184,7 @@ SQL = {
           l_extendedprice) - 1 AS _row_index, l_orderkey, l_linenumber, l_quantity FROM lineitem
         ORDER BY _row_index""",
     "Q3_truncation": " UNION ALL ".join(
-        f"SELECT '{t}' AS title, count(*) AS row_count, false AS truncated FROM {t}"
+        f"SELECT '{t}' AS title, least(count(*), {CAP}) AS row_count, count(*) > {CAP} AS truncated FROM {t}"
         for t in ("events", "orders", "lineitem")),
     "Q5_requery": f"""WITH first AS ({TOTALS})
         SELECT o_orderstatus, count(*) AS orders, max(quantity) AS largest

@@ -14,7 +14,7 @@ from geoloom.sources.catalog import typed_time
 from geoloom.plans.workspace import compact_values
 from geoloom.sources.digest import row_digests, table_fingerprint
 from geoloom.sources.manifest import audit_sources
-from geoloom.sources.readers import MICROSECOND_PATTERN, read_csv, read_ndjson, read_parquet
+from geoloom.sources.readers import MICROSECOND_PATTERN, from_records, read_csv, read_ndjson, read_parquet
 from workload.base import TABLES, table, workspace
 
 
@@ -32,6 +32,17 @@ def ndjson_source(spark, sf_dir):
     return read_ndjson(spark, path, df.schema)
 
 
+def inline_records(spark, sf_dir):
+    """The totals of every nation, handed over as records, beside the nations that they name."""
+    totals = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
+        F.count(F.lit(1)).alias("customers"), F.max("c_acctbal").alias("largest")).orderBy("c_nationkey")
+    records = [{**r.asDict(), "noted": f"2024-01-{1 + r.c_nationkey % 28:02d}T00:00:00", "tags": ["a", str(r.c_nationkey)]}
+               for r in totals.collect()]  # one record per nation
+    given = from_records(spark, records, timestamps=["noted"])
+    return given.join(table(spark, sf_dir, "nation"), given.c_nationkey == F.col("n_nationkey")).select(
+        "n_name", "customers", "largest", "noted", F.element_at("tags", 2).alias("tag"))
+
+
 def load_dataset(spark, sf_dir):
     ws = workspace(spark, sf_dir)
     info = ws.load_dataset("Loaded Customers.parquet", path=f"{sf_dir}/customer.parquet")
@@ -115,6 +126,7 @@ QUERIES = {
     "S1_csv_source": csv_source,
     "S2_parquet_source": lambda spark, sf_dir: read_parquet(spark, f"{sf_dir}/part.parquet"),
     "S3_ndjson_source": ndjson_source,
+    "S3_inline_records": inline_records,
     "S4_load_dataset": load_dataset,
     "S6a_key_text": key_text,
     "S6b_epoch_days": epoch_days,
@@ -156,6 +168,9 @@ SQL = {
     "S1_csv_source": "SELECT * FROM orders",
     "S2_parquet_source": "SELECT * FROM part",
     "S3_ndjson_source": "SELECT * FROM events",
+    "S3_inline_records": """SELECT n_name, count(*) AS customers, max(c_acctbal) AS largest,
+        TIMESTAMP '2024-01-01' + (n_nationkey % 28) * INTERVAL 1 DAY AS noted, CAST(n_nationkey AS VARCHAR) AS tag
+        FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey""",
     "S4_load_dataset": "SELECT * FROM customer",
     "S6a_key_text": """SELECT o_orderkey,
         CAST(o_orderkey * 1000000 + (o_orderkey % 8) / 8e0 AS VARCHAR) AS id FROM orders""",
