@@ -173,45 +173,46 @@ class Report:
     showcase: bool = True
 
     def scene(self, result_id: str) -> dict:
-        layer = {"id": self.id, "resultId": result_id, "type": self.layer_type, "title": self.title}
-        if self.style:
-            layer["style"] = self.style
+        layer = {"id": self.id, "resultId": result_id, "type": self.layer_type, "title": self.title,
+                 "style": {**STYLES[self.layer_type], **self.style}}
         return {"headline": self.headline, "subheadline": self.subheadline, "layers": [layer],
                 "camera": {"fit": self.fit}}
 
 
+#: Looks of the reports, one for each type of mark; colours come from the palette.
+STYLES = {"points": {"radius": 0.3, "opacity": 0.8}, "rings": {"radius": 5.0, "opacity": 0.75},
+          "paths": {"width": 0.9, "opacity": 0.8}, "polygons": {"opacity": 0.6}}
+
+# The ids of reports and of their queries, which are part of the ids of snapshots.
 REPORTS = {
     report.id: report
     for report in [
         Report("theme_parks", "places", "Theme parks", "Theme parks of the world",
-               "Every well documented theme park, by country.", theme_parks, ("theme_parks_landmarks",), "points",
-               {"color": "#f2b85b", "radius": 0.38, "opacity": 0.92}),
+               "Every well documented theme park, by country.", theme_parks, ("theme_parks_landmarks",), "points"),
         Report("heritage_landmarks", "places", "Heritage landmarks", "The best known heritage places",
                "The 260 heritage places with the most links.", heritage_landmarks, ("theme_parks_landmarks",),
-               "points", {"color": "#d8a4e2", "radius": 0.22, "opacity": 0.86}),
+               "points"),
         Report("mcdonalds", "locations", "McDonald's", "McDonald's in every country",
                "The five most confident locations per country.", lambda r: brand_sample(r, "McDonald's"),
-               ("global_chains",), "points", {"color": "#f06d5f", "radius": 0.2, "opacity": 0.88}),
+               ("global_chains",), "points"),
         Report("starbucks", "locations", "Starbucks", "Starbucks in every country",
                "The five most confident locations per country.", lambda r: brand_sample(r, "Starbucks"),
-               ("global_chains",), "points", {"color": "#70c49a", "radius": 0.2, "opacity": 0.88}),
+               ("global_chains",), "points"),
         Report("ikea", "locations", "IKEA", "All IKEA locations", "Every confident IKEA location by country.",
-               brand_places, ("global_chains",), "points", {"color": "#f3ce57", "radius": 0.24, "opacity": 0.9}),
+               brand_places, ("global_chains",), "points"),
         Report("earthquakes", "events", "Magnitude 8 and above", "The largest earthquakes",
                "Earthquakes of magnitude 8 and above since 1900.", lambda r: strong_earthquakes(r, 8.0),
-               ("earthquakes",), "rings", {"color": "#ee7287", "radius": 3.5, "opacity": 0.88}),
+               ("earthquakes",), "rings"),
         Report("major_rivers", "paths", "Major rivers", "Nine great rivers",
                "Thinned centrelines that keep both ends of every segment.", named_rivers, ("major_rivers",), "paths",
-               {"color": "#62cce1", "width": 0.68, "opacity": 0.86, "animate": False}),
+               style={"animate": False}),
         Report("tsunamis", "events", "Large tsunamis", "Sources of large tsunamis",
-               "Definite sources with waves of five metres or more.", large_tsunamis, ("tsunami_events",), "rings",
-               {"color": "#62cce1", "radius": 4.5, "opacity": 0.88}),
+               "Definite sources with waves of five metres or more.", large_tsunamis, ("tsunami_events",), "rings"),
         Report("atlantic_storms", "tracks", "Atlantic storms", "Atlantic storms of 2025",
-               "Tracks of the named storms of one season.", season_storms, ("atlantic_storms",), "paths",
-               {"color": "#ef9a67", "width": 0.72, "opacity": 0.82, "animate": True}, "all-layers"),
+               "Tracks of the named storms of one season.", season_storms, ("atlantic_storms",), "paths", fit="all-layers"),
         Report("ocean_loops", "loops", "Ocean loops", "Drifters that keep looping",
                "The 24 most persistent loops of drifters with a drogue.", persistent_loops, ("drifter_loopers",),
-               "rings", {"color": "#62cce1", "radius": 6}, "all-layers"),
+               "rings", fit="all-layers"),
         Report("storms", "tracks", "Recent storms", "Storm tracks since 2023",
                "Wind and pressure along the tracks of named storms.", recent_storms, ("atlantic_storms",), "paths",
                fit="all-layers", showcase=False),

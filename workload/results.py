@@ -73,7 +73,7 @@ def replayed(spark, sf_dir):
     saved = ws.execute_sql(PLACED, title="Large orders")
     spec = {"headline": "Large orders", "subheadline": "Orders of at least 300,000.",
             "layers": [{"id": "orders", "resultId": saved.id, "type": "rings", "title": saved.title,
-                        "style": {"color": "#ee7287", "radius": 3.5}}], "camera": {"fit": "none"}}
+                        "style": {"radius": 4.0}}], "camera": {"fit": "none"}}
     path = write_snapshot(ws, scratch_path(spark, "snapshot"), "orders", spec, {saved.id: "bootstrap_orders_events"}, "2026-09-03")
     replay = workspace(spark, sf_dir)
     load_snapshot(replay, path)
