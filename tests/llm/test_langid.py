@@ -1,8 +1,9 @@
 """Held-out accuracy of language identification, and its defined cases."""
 
+import math
 import zlib
 
-from geoloom.llm.langid import PIECE, learn, ngrams, predict
+from geoloom.llm.langid import BUCKETS, PIECE, SMOOTHING, learn, ngrams, predict
 from geoloom.llm.langid_query import op9_langid
 import numpy as np
 
@@ -19,6 +20,38 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_predictions_by_plain_python(spark):
+    """Counts, smoothing and posterior of every document of a small table, by dictionaries and floats."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    grams = {r.doc_id: [int(g) for part in ngrams(r.text or "") for g in part] for r in docs}
+    counts = {}
+    for r in docs:
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.text is not None and r.lang is not None:
+            mine = counts.setdefault(r.lang, {})
+            for g in grams[r.doc_id]:
+                mine[g] = mine.get(g, 0) + 1
+    totals = {lang: sum(c.values()) + SMOOTHING * BUCKETS for lang, c in counts.items()}
+    got = {r.doc_id: r for r in op9_langid(spark, folder).collect()}
+    for r in docs:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        sums = {lang: sum(math.log((c.get(g, 0) + SMOOTHING) / totals[lang]) for g in grams[r.doc_id]) for lang, c in counts.items()}
+        best = max(sorted(sums), key=sums.get)
+        assert got[r.doc_id].lang_pred == best
+        assert math.isclose(got[r.doc_id].score, 1 / sum(math.exp(s - sums[best]) for s in sums.values()), abs_tol=1e-3)
+
+
+def test_ties_repeats_and_long_texts(spark):
+    """Languages that learned the same are equally likely, the first by name wins; equal rows get equal answers."""
+    rows = [("xx", "ab ab"), ("aa", "ab ab"), (None, "ab"), ("xx", None)]
+    names, matrix = learn(spark.createDataFrame(rows, "lang string, text string"))
+    asked = spark.createDataFrame([(1, "ab"), (1, "ab"), (2, "ab " * 200_000), (3, ""), (4, None), (5, "12 !")], "doc_id long, text string")
+    got = [(r.doc_id, r.lang_pred, round(r.score, 6)) for r in predict(asked, names, matrix).collect()]
+    assert got == [(1, "aa", 0.5), (1, "aa", 0.5), (2, "aa", 0.5), (3, "und", 0.0), (4, "und", 0.0), (5, "und", 0.0)]
+
+
 def test_pieces_count_every_ngram_once():
     text = "abcdefg hij" * 7
     whole = np.sort(np.concatenate(list(ngrams(text))))
