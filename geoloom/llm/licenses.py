@@ -1,27 +1,29 @@
 """License scans: winnowed fingerprints of templates pick candidates, and banded alignment reports coverage and spans.
 
-1. Templates and documents are cut into words (lower-cased letters and digits). Hashes of ``GRAM`` words run over them;
-   of every ``WINDOW`` neighbouring hashes the smallest is a fingerprint (winnowing), so any common run of
-   ``GRAM + WINDOW - 1`` words gives a common fingerprint. An inverted index holds the templates' fingerprints, each
-   with template and place. Templates shorter than that give all their hashes (the whole template, if it is shorter
-   than a gram); documents are then looked up by all their hashes of that length, so short notices are found as well.
-2. Hits of one template are put on diagonals; neighbouring hits of nearby diagonals make one candidate region. A
-   reworded notice may share no fingerprint. So a place where enough of a template's words stand near each other, in any
-   order, is a region as well: a match needs ``LEAST_COVERAGE`` of the words, and as one word alone is at distance
-   words - 1, no closest alignment spans twice the template's words. This test loses no match.
-3. The template is aligned to the region by edit distance over words, in a band around the hits' diagonals, free at
-   the region's ends; regions of the second kind are short and are aligned without a band. The report has the words of the template that are matched in order, their share, and the span.
+A document holds a template of n words where a run of its words is within ``EDITS`` * n word edits (changed, missing or
+added words) of it, so at least 1 - ``EDITS`` of the template's words are matched in order.
+
+1. Templates and documents are cut into words (lower-cased letters and digits). So few edits leave a run of
+   ``intact_run(n)`` template words untouched in every match. Hashes of some fewer words run over both sides, and of
+   every ``window`` neighbouring ones the smallest is a fingerprint (winnowing), such that a run of that length always
+   holds one. An inverted index of the templates' fingerprints with template and place thus finds every match; without a
+   common fingerprint there is none.
+2. Hits of one template are put on diagonals; neighbouring hits of nearby diagonals make one candidate region.
+3. The template is aligned to the region by edit distance over words, in the band around the hits' diagonals that so few
+   edits can reach, free at the region's ends. The report has the words of the template that are matched in order,
+   their share, and the span.
 
 Documents are handled where they lie, in batches, without shuffle or join; the templates are a short list and are sent
-with the tasks.
+with the tasks. The work for a text grows with its words and its hits.
 
 Defined cases: null and empty texts match nothing; repeated rows are each reported; a text may hold a template several
-times and several templates in one place, all are reported; empty tables give empty tables. The result column replaces
-one of its name; all others stay.
+times and several templates in one place, all are reported; matches of one template that overlap are reported once, the
+closest (then first) one; empty tables give empty tables. The result column replaces one of its name; all others stay.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +31,11 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
+from geoloom.llm.tables import lean
 from geoloom.llm.words import hash_spans, mix, utf8, word_spans
 
-GRAM, WINDOW = 4, 4
-#: Share of a template's words that must be matched, and words that its templates must have.
-LEAST_COVERAGE, MIN_WORDS = 0.8, 4
-#: Words by which the alignment may leave the hits' diagonals, as a share of the template's length, and at least.
-BAND_SHARE, BAND_WORDS = 0.2, 3
+#: Edits per word of a template, and words that templates must have.
+EDITS, MIN_WORDS = 0.2, 4
 MAX_TEMPLATE_WORDS = 100_000
 #: Separators: all bytes but ASCII letters and digits and those beyond ASCII.
 MARKS = np.ones(256, bool)
@@ -61,144 +61,93 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - views[:, ::-1].argmin(axis=1))
 
 
-def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> tuple[int, int, int, int]:
-    """Alignment of a whole template to any run of ``words``: (distance, matched words, first word, word after the
-    last). Only cells within ``band`` of the diagonal (place in words minus place in the template) are looked at."""
-    far = len(template) + len(words) + 1
+def intact_run(words: int) -> int:
+    """Words in a row that every match of a template keeps: the edits cut what is left into one part more than them."""
+    edits = int(EDITS * words)
+    return -(-(words - edits) // (edits + 1))
+
+
+def fingerprint_form(words: int) -> tuple[int, int]:
+    """(words of a gram, window) such that a template's intact run always holds a winnowed gram."""
+    run = intact_run(words)
+    return (run - 1, 2) if run > 2 else (run, 1)
+
+
+def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> list[tuple[int, int, int, int]]:
+    """Runs of words closest to the whole template: (distance, matched words, first word, word after the last) for each
+    end of a run, in a band of diagonals (place in words minus place in the template) from ``low`` to ``high``."""
+    step, most, far = 1 << 40, 1 << 17, 1 << 60  # distance, most - matches and start in one number
     n = len(words)
-    # Per place in words: distance, matches (negated, so that smaller is better), start.
-    row = {j: (0, 0, j) for j in range(max(0, diagonal - band), min(n, diagonal + band) + 1)}
+    j = np.arange(n + 1)
+    row = np.full(n + 1, far)
+    a, b = max(0, low), min(n, high) + 1
+    if a >= b:
+        return []
+    row[a:b] = (most << 22) + j[a:b]
     for i, t in enumerate(template, 1):
-        new: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, diagonal + i - band), min(n, diagonal + i + band) + 1):
-            best = (far, 0, j)
-            if j in row:
-                d, m, s = row[j]
-                best = min(best, (d + 1, m, s))
-            if j - 1 in new:
-                d, m, s = new[j - 1]
-                best = min(best, (d + 1, m, s))
-            if j - 1 in row:
-                d, m, s = row[j - 1]
-                same = t == words[j - 1]
-                best = min(best, (d + (not same), m - same, s))
-            new[j] = best
-        row = new
-    if not row:
-        return far, 0, 0, 0
-    end = min(row, key=lambda j: (row[j], j))
-    distance, matched, start = row[end]
-    return distance, -matched, start, end
-
-
-def align_whole(template: np.ndarray, words: np.ndarray) -> tuple[int, int, int, int]:
-    """As ``align``, without a band."""
-    step, most = 1 << 40, 1 << 17  # distance, most - matches and start in one number
-    j = np.arange(len(words) + 1)
-    row = (most << 22) + j
-    for t in template:
-        new = row + step
-        new[1:] = np.minimum(new[1:], row[:-1] + np.where(words == t, -(1 << 22), step))
-        row = np.minimum.accumulate(new - j * step) + j * step
-    end = int(row.argmin())
-    best = int(row[end])
-    return best >> 40, most - (best >> 22 & (1 << 18) - 1), best & (1 << 22) - 1, end
+        before, (a, b) = row, (max(0, low + i), min(n, high + i) + 1)
+        row = np.full(n + 1, far)
+        if a >= b:
+            return []
+        new = before[a:b] + step
+        left = max(a, 1)
+        new[left - a:] = np.minimum(new[left - a:], before[left - 1: b - 1] + np.where(words[left - 1: b - 1] == t, -(1 << 22), step))
+        row[a:b] = np.minimum.accumulate(new - j[a:b] * step) + j[a:b] * step
+    return [(v >> 40, most - (v >> 22 & (1 << 18) - 1), v & (1 << 22) - 1, int(e)) for e, v in zip(j, row.tolist()) if v < far]
 
 
 class Templates:
-    """Fingerprints of all templates, by length of their grams."""
+    """Fingerprints of all templates, by their form."""
 
     def __init__(self, templates: list[tuple[str, np.ndarray]]):
         self.names = [n for n, _ in templates]
         self.words = [w for _, w in templates]
-        by_size: dict[tuple[int, bool], list[tuple[int, int, int]]] = {}
+        self.edits = [int(EDITS * len(w)) for w in self.words]
+        by_form: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for i, words in enumerate(self.words):
-            size = min(GRAM, len(words))
+            size, window = form = fingerprint_form(len(words))
             hashes = grams(words, size)
-            winnowed = len(words) >= GRAM + WINDOW - 1
-            for at in winnow(hashes, WINDOW) if winnowed else range(len(hashes)):
-                by_size.setdefault((size, winnowed), []).append((int(hashes[at]), i, int(at)))
+            by_form.setdefault(form, []).extend((int(hashes[at]), i, int(at)) for at in winnow(hashes, window))
         self.index = []
-        for (size, winnowed), entries in by_size.items():
+        for form, entries in by_form.items():
             entries.sort()
-            self.index.append((size, winnowed, np.array([h for h, _, _ in entries], np.uint64),
-                               np.array([e[1:] for e in entries])))
-
-        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
-        # Per template: how often it holds each word.
-        self.held = np.array([np.bincount(np.searchsorted(self.vocabulary, w), minlength=len(self.vocabulary))
-                              for w in self.words])
-        self.need = [int(np.ceil(LEAST_COVERAGE * len(w))) for w in self.words]
-
-    def dense(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(template, place) where the next words hold enough of the template's, from one of them on."""
-        if not len(self.vocabulary):
-            return
-        slot = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        known = np.flatnonzero(self.vocabulary[slot] == words)
-        slot = slot[known]
-        for t, (held, need) in enumerate(zip(self.held, self.need)):
-            if len(known) < need:
-                continue
-            mine = held[slot] > 0
-            place, of = known[mine], slot[mine]
-            span = 2 * len(self.words[t])
-            at = place[: max(0, len(place) - need + 1)]
-            at = at[place[need - 1:] - at < span] if len(at) else at
-            if not len(at):
-                continue
-            total = np.zeros(len(at), np.int64)
-            for w in np.flatnonzero(held):
-                those = place[of == w]
-                total += np.minimum(held[w], np.searchsorted(those, at + span) - np.searchsorted(those, at))
-            for a in at[total >= need].tolist():
-                yield t, a
+            self.index.append((*form, np.array([h for h, _, _ in entries], np.uint64), np.array([e[1:] for e in entries])))
 
     def hits(self, words: np.ndarray) -> np.ndarray:
-        """(template, diagonal, place) of all fingerprints of a document that the index holds."""
-        found = [np.zeros((0, 3), np.int64)]
-        for size, winnowed, keys, entries in self.index:
+        """(template, diagonal) of all fingerprints of a document that the index holds, in order."""
+        found = [np.zeros((0, 2), np.int64)]
+        for size, window, keys, entries in self.index:
             hashes = grams(words, size)
-            at = winnow(hashes, WINDOW) if winnowed else np.arange(len(hashes))
+            at = winnow(hashes, window)
             lo, hi = np.searchsorted(keys, hashes[at]), np.searchsorted(keys, hashes[at], "right")
             at, lo, n = at[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
             which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            place = np.repeat(at, n)
-            found.append(np.stack([entries[which, 0], place - entries[which, 1], place], 1))
-        found = np.concatenate(found)
-        return found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+            found.append(np.stack([entries[which, 0], np.repeat(at, n) - entries[which, 1]], 1))
+        return np.unique(np.concatenate(found), axis=0)
 
     def matches(self, words: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(template, first word, word after the last, matched words, distance), by place; overlapping alignments of
-        one template are reported once, the closest one."""
-        hits, best, i = self.hits(words), [], 0
+        """(template, first word, word after the last, matched words, distance), by place."""
+        hits, kept, i = self.hits(words), [], 0
         while i < len(hits):
-            template, diagonal, _ = (int(x) for x in hits[i])
-            band = max(BAND_WORDS, int(BAND_SHARE * len(self.words[template])))
-            j = i + 1
-            while j < len(hits) and hits[j, 0] == template and hits[j, 1] <= diagonal + band:
-                j += 1
-            mid = int(hits[(i + j - 1) // 2, 1])
-            lo = max(0, min(int(hits[i, 1]), mid) - band)
-            hi = min(len(words), int(hits[j - 1, 1]) + len(self.words[template]) + band)
-            distance, matched, start, end = align(self.words[template], words[lo:hi], mid - lo, 2 * band)
-            if matched >= LEAST_COVERAGE * len(self.words[template]):
-                best.append((distance, template, lo + start, lo + end, matched))
-            i = j
-        done = -1, 0  # template and end of its last exact copy
-        for template, at in self.dense(words):
-            if template == done[0] and at < done[1]:
-                continue
-            n, need = len(self.words[template]), self.need[template]
-            lo, hi = max(0, at - (n - need)), at + 2 * n + (n - need)
-            distance, matched, start, end = align_whole(self.words[template], words[lo:hi])
-            if matched >= need:
-                best.append((distance, template, lo + start, lo + end, matched))
-                done = (template, lo + end) if not distance else done
-        kept: list[tuple[int, int, int, int, int]] = []
-        for distance, template, start, end, matched in sorted(best):
-            if all(k[0] != template or end <= k[1] or start >= k[2] for k in kept):
-                kept.append((template, start, end, matched, distance))
+            template = int(hits[i, 0])
+            near: list[tuple[int, int, int, int]] = []
+            while i < len(hits) and hits[i, 0] == template:
+                edits, n, j = self.edits[template], len(self.words[template]), i + 1
+                while j < len(hits) and hits[j, 0] == template and hits[j, 1] <= hits[j - 1, 1] + 2 * edits:
+                    j += 1
+                lowest, highest = int(hits[i, 1]) - edits, int(hits[j - 1, 1]) + edits
+                lo, hi = max(0, lowest), min(len(words), highest + n + edits)
+                near += [(d, lo + start, lo + end, m) for d, m, start, end in align(
+                    self.words[template], words[lo:hi], lowest - lo, highest - lo) if d <= edits]
+                i = j
+            starts: list[int] = []
+            taken: list[tuple[int, int]] = []
+            for distance, start, end, matched in sorted(near, key=lambda x: (x[0], -x[3], x[1], x[2])):
+                at = bisect(starts, start)
+                if (not at or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                    starts.insert(at, start)
+                    taken.insert(at, (start, end))
+                    kept.append((template, start, end, matched, distance))
         return sorted(kept, key=lambda k: (k[1], k[0]))
 
 
@@ -218,6 +167,7 @@ def add_licenses(docs: DataFrame, templates: dict[str, str], text: str = "text",
         if len(words) < MIN_WORDS:
             raise ValueError(f"Template {name} has fewer than {MIN_WORDS} words.")
 
+    @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = Templates(listed)
         for batch in batches:

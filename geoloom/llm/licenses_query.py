@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from geoloom.llm.licenses import add_licenses
 from geoloom.llm.tables import table
 
-# Notices as licenses and their users word them.
+# Notices and whole texts as licenses and their users word them.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "CC-BY-4.0": "This work is licensed under the Creative Commons Attribution 4.0 International License",
@@ -24,6 +24,35 @@ TEMPLATES = {
                 "General Public License as published by the Free Software Foundation",
     "Apache text": "you may not use this file except in compliance with the License. You may obtain a copy of the License "
                    "at http://www.apache.org/licenses/LICENSE-2.0",
+    "MIT whole": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+                 "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
+                 "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of "
+                 "the Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+                 "conditions: The above copyright notice and this permission notice shall be included in all copies or "
+                 "substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, "
+                 "EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+                 "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+                 "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+                 "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC whole": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+                 "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+                 "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+                 "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+                 "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS "
+                 "OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING "
+                 "OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause whole": "Redistribution and use in source and binary forms, with or without modification, are permitted "
+                 "provided that the following conditions are met: 1. Redistributions of source code must retain the above "
+                 "copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form "
+                 "must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+                 "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE "
+                 "COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+                 "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+                 "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+                 "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+                 "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+                 "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+                 "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
 }
 
 

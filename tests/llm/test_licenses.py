@@ -2,12 +2,15 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from geoloom.llm.licenses import GRAM, LEAST_COVERAGE, WINDOW, Templates, add_licenses, align, grams, template_words, winnow
+from geoloom.llm.licenses import (
+    EDITS, Templates, add_licenses, align, fingerprint_form, grams, intact_run, template_words, winnow,
+)
 from geoloom.llm.licenses_query import TEMPLATES, op6_licenses
 from tests.conftest import SF_DIR
 
@@ -43,7 +46,7 @@ def test_query_against_brute_force(spark):
         body = words(text)
         for name, template in listed.items():
             distance, matched = best_match(template, body)
-            if -matched >= LEAST_COVERAGE * len(template):
+            if distance <= int(EDITS * len(template)):
                 want.add((doc_id, name))
                 best = min(got[doc_id, name], key=lambda r: r.distance)
                 assert best.distance == distance and best.matched_words == -matched
@@ -57,7 +60,8 @@ def test_query_against_brute_force(spark):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2), min_size=1, max_size=12), st.lists(st.integers(0, 3), max_size=20))
 def test_wide_bands_align_exactly(template, body):
-    distance, matched, start, end = align(np.array(template, np.uint64), np.array(body, np.uint64), 0, 100)
+    found = align(np.array(template, np.uint64), np.array(body, np.uint64), -100, 100)
+    distance, matched, start, end = min(found, key=lambda x: (x[0], -x[1]))
     assert (distance, -matched) == best_match(template, body)
     assert best_match(template, body[start:end])[0] == distance
 
@@ -70,7 +74,7 @@ def test_one_changed_or_added_word(name):
     pad = np.arange(1, 40, dtype=np.uint64)
     for at in range(n):
         for changed in (True, False):
-            if changed and n - 1 < LEAST_COVERAGE * n or not changed and at == 0:
+            if n < 5 or not changed and at == 0:
                 continue
             body = np.concatenate([pad, listed[0][1][:at], pad[:1], listed[0][1][at + changed:], pad])
             ((_, _, _, matched, distance),) = held.matches(body)
@@ -82,7 +86,7 @@ def test_one_changed_or_added_word(name):
 def test_no_match_is_missed(template, body):
     distance, matched = best_match(template, body)
     got = Templates([("x", np.array(template, np.uint64))]).matches(np.array(body, np.uint64))
-    if -matched >= LEAST_COVERAGE * len(template):
+    if distance <= int(EDITS * len(template)):
         assert min((d, -m) for _, _, _, m, d in got) == (distance, matched)
     for _, start, end, m, d in got:
         assert best_match(template, body[start:end]) == (d, -m)
@@ -96,16 +100,44 @@ def test_reworded_notice_without_common_run(spark):
 
 def test_common_runs_share_a_fingerprint():
     rng = random.Random(4)
-    for _ in range(50):
-        run = [rng.getrandbits(64) for _ in range(GRAM + WINDOW - 1)]
+    for n in range(4, 200):
+        size, window = fingerprint_form(n)
+        assert size + window - 1 == intact_run(n)
+        run = [rng.getrandbits(64) for _ in range(intact_run(n))]
         sides = []
         for _ in range(2):
             text = np.array([rng.getrandbits(64) for _ in range(9)] + run + [rng.getrandbits(64) for _ in range(9)], np.uint64)
-            hashes = grams(text, GRAM)
-            sides.append(set(hashes[winnow(hashes, WINDOW)].tolist()))
+            hashes = grams(text, size)
+            sides.append(set(hashes[winnow(hashes, window)].tolist()))
         assert sides[0] & sides[1]
 
 
+def test_the_index_decides():
+    """Without its entries nothing is found, and only words around hits are aligned."""
+    listed = [(n, template_words(t)) for n, t in TEMPLATES.items()]
+    assert max(len(w) for _, w in listed) > 150
+    body = np.concatenate([np.arange(500, dtype=np.uint64), *[w for _, w in listed], np.arange(500, dtype=np.uint64)])
+    held = Templates(listed)
+    assert {held.names[m[0]] for m in held.matches(body)} == set(TEMPLATES)
+    held.index = [(size, window, keys[:0], entries[:0]) for size, window, keys, entries in held.index]
+    assert held.matches(body) == []
+
+
+def test_many_copies_take_linear_time():
+    template = template_words(TEMPLATES["BSD text"])
+    held = Templates([("x", template)])
+    near = template.copy()
+    near[5] = 1
+    seconds = []
+    for copies in (5_000, 20_000):
+        started = time.perf_counter()
+        assert len(held.matches(np.tile(near, copies))) == copies
+        seconds.append(time.perf_counter() - started)
+    assert seconds[1] < 8 * seconds[0] + 1
+    scrambled = np.tile(template[::-1], 600)
+    assert held.matches(scrambled) == []
+
+
 def test_changed_and_repeated_notices(spark):
     long = TEMPLATES["GPL text"].replace("modify", "alter").replace("published by", "issued lately by")
     rows = [(1, f"x {long} y. RELEASED, under the MIT\nlicense! And released under the mit license", "c"), (2, None, "c"),
