@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geoloom.llm.tables import once
+from geoloom.llm.tables import hand_back, once
 
 #: Ranks that a vocabulary may hold: what is sent to the executors is bounded by it.
 MAX_RANKS = 1 << 20
@@ -290,9 +290,12 @@ def round_trip(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str =
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = once(shared, lambda value: Encoder(*value))
         tokens = {rank: token for token, rank in encoder.ranks.items()}
-        for batch in batches:
-            found = _packed(batch, encoder)
-            yield pa.StructArray.from_arrays([found, _bytes(found, tokens)], ["ids", "data"])
+        try:
+            for batch in batches:
+                found = _packed(batch, encoder)
+                yield pa.StructArray.from_arrays([found, _bytes(found, tokens)], ["ids", "data"])
+        finally:
+            hand_back()  # the encoder stays for the next task
 
     apply = F.arrow_udf(run, "struct<ids:array<int>,data:binary>")
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (ids, data)]

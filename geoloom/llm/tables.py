@@ -38,7 +38,8 @@ def once(shared, make: Callable) -> object:
     return _WORKER[key]
 
 
-def _hand_back() -> None:
+def hand_back() -> None:
+    """Gives freed memory back to the system."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -57,7 +58,7 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            _hand_back()
+            hand_back()
 
     return whole
 
