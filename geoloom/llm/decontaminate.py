@@ -19,11 +19,11 @@ Parts are grouped by length, the window of a group being its smallest length. Be
 enough words of the group's parts for the distance to be possible at all; that test loses nothing. Documents are
 handled where they lie, in batches: no shuffle, no join. Only the items are broadcast; their size is checked.
 
-Items of fewer than ``MIN_WORDS`` words, which one word in five cannot be edited of, are searched exactly where the
-caller asks for it (``least_words``): every place of a text is compared with all of them by hashes of their first and
-last bytes, blanks counting as one space. They must stand between blanks, but on a side where the item begins or ends
-with a script that is written without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese), they may lie anywhere in a
-longer run; the reported words are those that the passage touches.
+Items of fewer than ``MIN_WORDS`` words, of which no edit is allowed, are searched exactly where the caller asks for it
+(``least_words``), and so are all of fewer than ``EXACT_BELOW`` words: every place of a text is compared with them by
+hashes of their first and last bytes, blanks counting as one space. They must stand between blanks, but on a side where
+the item begins or ends with a script that is written without blanks (Chinese, Japanese, Thai, Lao, Khmer, Burmese), they
+may lie anywhere in a longer run; the reported words are those that the passage touches.
 
 Defined cases: null or empty texts leak nothing; items that are null or hold no word cannot be searched, and items of
 fewer than ``least_words`` words are not, as any text might hold them by chance; repeated items are reported each; each document reports an item
@@ -45,7 +45,9 @@ from geoloom.llm.tables import lean
 from geoloom.llm.words import byte_run_hashes, mix, word_hashes
 
 #: Edits allowed per word of an item, and words that an item must have.
-EDITS, MIN_WORDS = 0.2, 8
+EDITS, MIN_WORDS = 0.2, 5
+#: Items of fewer words are searched exactly as well.
+EXACT_BELOW = 8
 #: Share of leaks at the largest distance that are to be found (see the test that measures it).
 RECALL = 0.95
 EMBEDDINGS, SAMPLES, STEPS_KEPT = 6, 6, 3
@@ -53,7 +55,7 @@ EMBEDDINGS, SAMPLES, STEPS_KEPT = 6, 6, 3
 PART = 20
 #: Lengths of windows grow by this factor from group to group.
 GROUP_GROWTH = 1.25
-#: Bytes of items that are broadcast at most.
+#: Bytes of items that are broadcast at once; more items are searched in parts of that size.
 MAX_ITEM_BYTES = 64 << 20
 #: Texts of an Arrow batch that are handled at once, in bytes (a longer text alone).
 PIECE = 1 << 22
@@ -269,15 +271,22 @@ def add_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     rows = items.select(F.col(f"`{item_key}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).where(
         "text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).collect()[0][0] or 0
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"The items hold {size} bytes; at most {MAX_ITEM_BYTES} are broadcast. Search them in parts.")
+    parts = max(1, -(-size // MAX_ITEM_BYTES))
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(parts))
+    found = [_search(docs, rows.where(part == k), least_words)(F.col(f"`{text}`").cast("string")) for k in range(parts)]
+    return docs.withColumn(out, found[0] if parts == 1 else F.array_sort(F.concat(*found)))
+
+
+def _search(docs: DataFrame, rows: DataFrame, least_words: int):
+    """Function from texts to the leaks of some items."""
     held = rows.toArrow()
     words, first = word_hashes(held["text"])
     ids = held["id"].to_pylist()
     short = [(i, held["text"][i].as_py()) for i in np.flatnonzero(
-        (np.diff(first) >= max(1, least_words)) & (np.diff(first) < MIN_WORDS)).tolist()]
+        (np.diff(first) >= max(1, least_words)) & (np.diff(first) < EXACT_BELOW)).tolist()]
+    # An item that is too short for the caller has no words to search for.
     shared = docs.sparkSession.sparkContext.broadcast(
-        ([words[lo:hi] for lo, hi in zip(first[:-1], first[1:])], short))
+        ([words[lo:hi] if hi - lo >= least_words else words[:0] for lo, hi in zip(first[:-1], first[1:])], short))
 
     @lean
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -291,15 +300,17 @@ def add_leaks(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
                 part = batch.slice(lo, hi - lo)
                 leaks = index.leaks(*word_hashes(part))
                 if exact.items:
-                    leaks = sorted(leaks + exact.leaks(part.to_pylist()))
+                    best = {}
+                    for doc, item, *place in sorted(leaks + exact.leaks(part.to_pylist())):
+                        best.setdefault((doc, item), place)
+                    leaks = [(*key, *place) for key, place in best.items()]
                 for doc, item, distance, start, end in leaks:
                     found[lo + doc].append({"item_id": ids[item], "distance": distance, "first_word": start,
                                             "end_word": end})
                 lo = hi
             yield pa.array(found, _LEAKS)
 
-    apply = F.arrow_udf(run, "array<struct<item_id:bigint,distance:int,first_word:bigint,end_word:bigint>>")
-    return docs.withColumn(out, apply(F.col(f"`{text}`").cast("string")))
+    return F.arrow_udf(run, "array<struct<item_id:bigint,distance:int,first_word:bigint,end_word:bigint>>")
 
 
 _LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("first_word", pa.int64()),

@@ -60,7 +60,7 @@ def test_query_against_brute_force(spark):
 
 def test_recall_at_the_largest_distance():
     rng = random.Random(11)
-    items = [np.array([rng.getrandbits(64) for _ in range(rng.randrange(8, 60))], np.uint64) for _ in range(120)]
+    items = [np.array([rng.getrandbits(64) for _ in range(rng.randrange(5, 60))], np.uint64) for _ in range(120)]
     index, docs = Index(items), []
     for i, item in enumerate(items):
         words = item.tolist()
@@ -88,7 +88,7 @@ def edited(item, edits, rng, mixed):
     raise AssertionError("no such edits")
 
 
-@pytest.mark.parametrize("size", [8, 10, 15, 24, 40, 59, 60, 89, 100, 150, 200, 300, 500])
+@pytest.mark.parametrize("size", [5, 6, 7, 8, 10, 15, 24, 40, 59, 60, 89, 100, 150, 200, 300, 500])
 @pytest.mark.parametrize("mixed", [False, True])
 def test_recall_does_not_fall_with_the_length(size, mixed):
     rng = random.Random(size)
@@ -131,7 +131,7 @@ def test_short_items_are_found_exactly(spark, monkeypatch, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
     got = sorted((r.doc_id, r.item_id, r.distance, r.first_word, r.end_word) for r in op7_leaks(spark, str(tmp_path)).collect())
-    assert got == [(1, 1, 0, 1, 7), (2, 2, 0, 1, 2), (3, 3, 0, 1, 2), (6, 3, 0, 10, 11), (6, 6, 0, 0, 10),
+    assert got == [(1, 1, 0, 1, 7), (2, 2, 0, 1, 2), (3, 3, 0, 1, 2), (4, 1, 1, 0, 5), (6, 3, 0, 10, 11), (6, 6, 0, 0, 10),
                    (9, 2, 0, 60_000, 60_001), (10, 3, 0, 0, 1)]
     texts = [t for _, t in docs]
     want = sorted(Exact([(i, t) for i, t in items[:3]]).leaks(texts))
@@ -144,6 +144,26 @@ def test_pieces_of_a_batch_do_not_matter(monkeypatch):
     assert word_hashes(pa.array(["a b", None, "A"]))[0][0] == word_hashes(pa.array(["A"]))[0][0]
 
 
+def test_many_items_are_searched_in_parts(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(rng.randrange(5, 30))) for _ in range(60)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{t} x {texts[i - 1]}") for i, t in enumerate(texts)], "doc_id long, text string")
+    whole = {r.doc_id: r.leaks for r in add_leaks(docs, items).collect()}
+    assert all({x.item_id for x in leaks} >= {i, (i - 1) % 60} for i, leaks in whole.items())
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_BYTES", 500)
+    assert {r.doc_id: r.leaks for r in add_leaks(docs, items).collect()} == whole
+
+
+def test_short_items_of_scripts_without_blanks(spark):
+    """Five words or more may hold an edit, and may still begin or end inside a longer run."""
+    item = "日本 a b c d e首都"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x東" + item + "京 y"), (2, "日本 a b z d e首都")], "doc_id long, text string")
+    got = {r.doc_id: [(x.distance, x.first_word, x.end_word) for x in r.leaks] for r in add_leaks(docs, items).collect()}
+    assert got == {1: [(0, 0, 6)], 2: [(1, 0, 6)]}
+
+
 def test_items_of_odd_white_space(spark):
     """Characters that only some languages count as blank are words here, and no item stops the search."""
     items = spark.createDataFrame([(1, "\u00a0"), (2, "\u3000\u3000"), (3, "\x1c"), (4, " \t"), (5, "plain words")], "item_id long, text string")
