@@ -30,8 +30,8 @@ REFUSED_FUNCTIONS = {
     "from_avro", "from_protobuf", "input_file_block_length", "input_file_block_start", "input_file_name", "java_method",
     "read_files", "reflect", "schema_of_avro", "session_user", "to_avro", "to_protobuf", "try_reflect", "user", "version",
 }
-#: Expressions that read the clock.
-CLOCK = {"CurrentDate", "CurrentTime", "CurrentTimestamp"}
+#: The same as expressions.
+REFUSED_EXPRESSIONS = {"CurrentCatalog", "CurrentDatabase", "CurrentSchema", "CurrentTimeZone", "CurrentUser"}
 #: Names that stand for such a function where no column has them; columns are then named with their relation.
 REFUSED_NAMES = {"current_catalog", "current_database", "current_schema", "current_user", "session_user", "user"}
 
@@ -145,7 +145,7 @@ def _check_expression(expression, local, found) -> None:
         parts = list(_items(expression.nameParts()))
         if len(parts) == 1 and parts[0].lower() in REFUSED_NAMES:
             raise RefusedQuery(f"{parts[0]} may name the session; name a column of that name with its relation.")
-    elif "UnresolvedIdentifier" in kind or kind.startswith("Current") and kind not in CLOCK:
+    elif "UnresolvedIdentifier" in kind or kind.rstrip("$") in REFUSED_EXPRESSIONS:
         raise RefusedQuery(f"Names are written out here, and this query needs {kind}.")
     plan = getattr(expression, "plan", None) if _holds_plan(expression) else None
     if plan is not None:

@@ -36,6 +36,7 @@ ACCEPTED = [
     ("select * from values (1, 2) as v(a, b)", ()), ("select o_custkey, count(*) c from orders group by all having count(*) > 1", ("orders",)),
     ("select 'orders in a text' as a -- nation", ()), ("select o.user from (select 1 as `user`) as o", ()),
     ("select current_date(), now(), current_timestamp, abs(-1), upper('a'), kll_sketch_agg_bigint(a) from (select 1L as a)", ()),
+    ("select max(a) over (order by a rows between 3 preceding and current row) from (select 1 as a)", ()),
     ("select col from nation lateral view explode(array(1, 2)) as col", ("nation",)),
     ("select sum(x) filter (where x > 0) over (order by x), count(distinct x), x::int, x is null, x between 1 and 2 from (select 1 as x)", ()), ("select * from orders tablesample (10 percent)", ("orders",)),
 ]
