@@ -7,15 +7,15 @@
    class (the one that occurs once on every page). Classes that hold everywhere are nested into the template.
 3. What is left between template tokens are slots; the slots of the article are the main text. Slots below elements
    that never hold it (menus, page headers and footers, sidebars, notices, adverts, forms, scripts, comments) are left
-   out. Text that belongs to the template is left out only where the page's own text outweighs it, so copies of one
-   page on a host, however many, keep their text.
+   out. Text that belongs to the template is left out only on pages without an article or main element, and there only
+   where the page's own text outweighs it, so copies of one page on a host, however many, keep their text.
 
 Templates are joined to the pages by host. They are small, written to the shared folder first, so Spark broadcasts
 them when their size allows it and else shuffles, splitting hot hosts. Whole pages are read; nothing is gathered per
 host but its template, whose tokens each occur on at least ``SHARE`` of the host's pages.
 
 Defined cases: null or empty html gives an empty text; a null URL or one without a host belongs to the host ``""``;
-hosts of few pages have no text in their template; broken or unclosed markup is read as far as it goes. Repeated rows
+a host of one page has no template; broken or unclosed markup is read as far as it goes. Repeated rows
 give repeated rows, empty tables empty tables. Columns named like the result's are replaced, all others stay.
 """
 
@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 from geoloom.llm.tables import lean, stored
 from geoloom.llm.urls import host_of
 
-#: Share of a host's pages that a class must occur on, and pages that a host must have for text to be template text.
-SHARE, TEXT_SHARE, TEXT_PAGES = 0.5, 0.9, 20
+#: Share of a host's pages that a class must occur on, and that text must occur on to be template text.
+SHARE, TEXT_SHARE = 0.5, 0.9
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd label mark q s samp small span strike "
                    "strong sub sup time tt u var wbr".split())
@@ -129,20 +129,23 @@ def page_tokens(html: str) -> list[tuple[int, str | None, int, bool]]:
 
 
 def main_text(tokens: list[tuple[int, str | None, int, bool]], template: frozenset[int] = frozenset()) -> str:
-    """The blocks of the article's slots (else the main element's, else all), without boilerplate, and without template
-    text where the page's own text outweighs it there, in blocks or characters; else they stay whole."""
+    """The blocks of the article's slots, without boilerplate, all of them where the page adds any to the template; else
+    those of the main element's slots; else, on pages without either, all blocks of the page, without template text
+    where the page's own text outweighs it, in blocks or characters."""
     blocks = [(text, where, token in template) for token, text, where, dropped in tokens
               if text is not None and not dropped]
     whole: list[str] = []
-    for level in (1, 2, 0):
-        held = [(text, shared) for text, where, shared in blocks if not level or where & level]
-        own, taken = [t for t, shared in held if not shared], [t for t, shared in held if shared]
-        if own and (len(own) >= len(taken) or sum(map(len, own)) >= sum(map(len, taken))):
-            return " ".join(own)
-        if own and not whole:
+    for level in (1, 2):
+        held = [(text, shared) for text, where, shared in blocks if where & level]
+        if not all(shared for _, shared in held):
             return " ".join(t for t, _ in held)
         whole = whole or [t for t, _ in held]
-    return " ".join(whole)
+    if whole:
+        return " ".join(whole)
+    own, taken = ([t for t, _, shared in blocks if shared == side] for side in (False, True))
+    if own and (len(own) >= len(taken) or sum(map(len, own)) >= sum(map(len, taken))):
+        return " ".join(own)
+    return " ".join(t for t, _, _ in blocks)
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -186,8 +189,7 @@ def candidate_classes(vectors: DataFrame) -> DataFrame:
                                               F.col("vector").alias("root"))
     # Most tokens occur on one page only; they go before the join deals rows by host.
     frequent = vectors.where("token <> 0 AND pages >= 2").join(hosts, "host").where(
-        (F.col("pages") >= F.col("all_pages") * SHARE) & (~F.col("is_text") | (
-            (F.col("pages") >= F.col("all_pages") * TEXT_SHARE) & (F.col("all_pages") >= TEXT_PAGES))))
+        F.col("pages") >= F.col("all_pages") * F.when(F.col("is_text"), TEXT_SHARE).otherwise(SHARE))
     return frequent.groupBy("host").agg(F.collect_list(F.struct(
         "token", F.col("vector").alias("class"), (F.col("vector") == F.col("root")).alias("is_root"))).alias("tokens"))
 

@@ -44,12 +44,22 @@ def pages_of(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string")
 
 
-def test_template_text_is_left_out(spark):
+@pytest.mark.parametrize("pages", [2, 19, 20, 25])
+def test_text_of_an_article_stays_whatever_repeats(spark, pages):
     rows = [(i, "http://a.com/x", f"<body><article><p>Read on our site.</p><p>own {i}</p></article><div>links</div></body>",
-             "clash", "clash") for i in range(25)]
+             "clash", "clash") for i in range(pages)]
     out = extract_text(pages_of(spark, rows))
     assert out.columns == ["page_id", "url", "html", "host", "text", "n_chars"]
-    assert {r.page_id: r.text for r in out.collect()} == {i: f"own {i}" for i in range(25)}
+    assert {r.page_id: r.text for r in out.collect()} == {i: f"Read on our site. own {i}" for i in range(pages)}
+
+
+@pytest.mark.parametrize("pages", [2, 19, 20, 25])
+def test_template_text_is_left_out_where_no_element_tells(spark, pages):
+    """No article, no main element and no telling names: what all pages of the host share is the template."""
+    rows = [(i, "http://a.com/x", f"<body><div class='topline'><b>Home</b> About us</div><div><p>Page {i} has words of its own</p><p>and "
+             f"a second block, number {i}.</p></div><div class='q7'>Imprint and rules</div></body>", "", "") for i in range(pages)]
+    assert {r.page_id: r.text for r in extract_text(pages_of(spark, rows)).collect()} == {
+        i: f"Page {i} has words of its own and a second block, number {i}." for i in range(pages)}
 
 
 @pytest.mark.parametrize("copies", [2, 19, 20, 2000])
