@@ -133,6 +133,16 @@ def test_extent(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_extent_of_longitudes_that_cancel_out(spark):
+    """Evenly around the globe there is no mean direction; rounding of the sums is not taken for one, in any order."""
+    around = [(0.0, i / 100 - 180, 0.0) for i in range(36_000)]
+    for rows in (around, around[::-1], around[1::2] + around[::2]):
+        found = extent(locations(spark, rows)).first()
+        assert (found["center_longitude"], found["angular_spread"]) == (0.0, 180.0)
+    leaning = extent(locations(spark, around + [(0.0, 12.5, 0.0)])).first()
+    assert leaning["center_longitude"] == pytest.approx(12.5, abs=1e-6)
+
+
 def test_union_and_locations(spark):
     df = path_table(spark)
     shapes = spark.createDataFrame([(i, s) for i, s in enumerate(SHAPES)], "id int, geometry string")
