@@ -182,12 +182,14 @@ def add_group_size(
 
 
 def deduplicate(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key combination, the smallest by ``order`` (nulls last).
+    """One row per key combination, the smallest by ``order`` and then by its other columns that sort (nulls last).
 
-    A partial aggregate, so that copies of one row collapse before the shuffle.
+    Rows that agree in ``order`` thus have one survivor, whatever their place in the input. A partial aggregate, so
+    that copies of one row collapse before the shuffle.
     """
-    rank = F.struct(*[x for c in order for x in (quoted(c).isNull(), quoted(c))])
     rest = [c for c in df.columns if c not in keys]
+    ties = [f.name for f in df.schema.fields if f.name in rest and f.name not in order and _sorts(f.dataType)]
+    rank = F.struct(*[x for c in [*order, *ties] for x in (quoted(c).isNull(), quoted(c))])
     kept = df.groupBy(*[quoted(c) for c in keys]).agg(
         F.min_by(F.struct(*[quoted(c) for c in rest]), rank).alias("_row")
     )
@@ -196,6 +198,14 @@ def deduplicate(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     )
 
 
+def _sorts(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return all(_sorts(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _sorts(dtype.elementType)
+    return not isinstance(dtype, (T.MapType, T.VariantType, T.CalendarIntervalType, T.SpatialType))
+
+
 def exact_median(
     df: DataFrame, group: str, value: str, name: str = "median", policy: HotPolicy = DEFAULT_POLICY
 ) -> DataFrame:

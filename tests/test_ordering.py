@@ -150,6 +150,14 @@ def test_deduplication_keeps_the_smallest(spark):
     assert got == sorted([("x", 1.0, "a", 2), ("x", 2.0, "q", 9), (None, 1.0, "m", 4)], key=str)
 
 
+def test_deduplication_decides_ties_by_the_whole_row(spark):
+    """Rows that agree in keys and order have the same survivor in any order of the input; maps do not sort."""
+    rows = [("x", 1, 9, "c", {"m": 1}), ("x", 1, 9, None, {"m": 2}), ("x", 1, 7, "b", {"m": 3}), ("x", 1, 7, "a", {"m": 4})]
+    for given in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(given, "id string, place int, day int, name string, m map<string,int>").coalesce(1)
+        assert values(deduplicate(df, ["id"], ["place"])) == [("x", 1, 7, "a", {"m": 4})]
+
+
 def test_asof(spark, policy):
     rnd = random.Random(3)
     left = [(rnd.choice(["k", "k", "m", None]), rnd.randrange(100) if rnd.random() > 0.05 else None, i) for i in range(80)]
