@@ -59,6 +59,14 @@ def test_near_join_plans_no_loop(spark):
         near_join(a, a, ("lat", "lon", "t"), ("lat", "lon", "t"))
 
 
+def test_near_join_spreads_the_pairs_of_one_cell(spark):
+    """Few bytes may make many pairs: one place with 20,000 rows is dealt to several tasks, and no side is broadcast."""
+    left = spark.range(20_000).selectExpr("id AS i", "30D AS lat", "-40D AS lon", "TIMESTAMP_NTZ '2024-01-01' AS t")
+    right = spark.range(3).selectExpr("id AS j", "30D AS lat2", "-40D AS lon2", "TIMESTAMP_NTZ '2024-01-02' AS t2")
+    got = near_join(left, right, ("lat", "lon", "t"), ("lat2", "lon2", "t2"))
+    assert got.count() == 60_000 and got.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_grid_join_of_copies(spark, tiny):
     """Equal rows of a hot key are spread and still meet once each."""
     left = spark.createDataFrame([("h", 1)] * 40 + [("c", 2)], "k string, a int")
