@@ -61,8 +61,9 @@ def test_near_join_plans_no_loop(spark):
 
 def test_near_join_spreads_the_pairs_of_one_cell(spark):
     """Few bytes may make many pairs: one place with 20,000 rows is dealt to several tasks, and no side is broadcast."""
-    left = spark.range(20_000).selectExpr("id AS i", "30D AS lat", "-40D AS lon", "TIMESTAMP_NTZ '2024-01-01' AS t")
-    right = spark.range(3).selectExpr("id AS j", "30D AS lat2", "-40D AS lon2", "TIMESTAMP_NTZ '2024-01-02' AS t2")
+    place = ["30 + id * 0D AS {}", "id * 0D - 40 AS {}", "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, id % 2) AS {}"]
+    left = spark.range(20_000).selectExpr("id AS i", *[p.format(n) for p, n in zip(place, ("lat", "lon", "t"))]).coalesce(1)
+    right = spark.range(3).selectExpr("id AS j", *[p.format(n) for p, n in zip(place, ("lat2", "lon2", "t2"))]).coalesce(1)
     got = near_join(left, right, ("lat", "lon", "t"), ("lat2", "lon2", "t2"))
     assert got.count() == 60_000 and got.select(F.spark_partition_id()).distinct().count() > 1
 
