@@ -50,6 +50,17 @@ def test_near_join_equals_all_pairs(spark, policy, days, dlat, dlon, km):
     assert sorted(values(got, "i", "j", "distance_km")) == sorted(w for w in want if w[2] is not None)
 
 
+def test_near_join_beyond_the_poles(spark):
+    """Where the longitude shrinks to nothing, a cell's whole width is within reach."""
+    rnd = random.Random(5)
+    left, right = ([(i, rnd.choice([rnd.uniform(80, 100), 90.0, -90.0]), rnd.uniform(-30, 30), START) for i in range(n)] for n in (60, 50))
+    a = spark.createDataFrame(left, "i int, lat double, lon double, t timestamp_ntz")
+    b = spark.createDataFrame(right, "j int, lat2 double, lon2 double, t2 timestamp_ntz")
+    got = near_join(a, b, ("lat", "lon", "t"), ("lat2", "lon2", "t2"), 1, 5.0, 20.0, 300.0)
+    want = [(l[0], r[0], near(l, r, 1, 5.0, 20.0, 300.0)) for l in left for r in right]
+    assert sorted(values(got, "i", "j", "distance_km")) == sorted(w for w in want if w[2] is not None)
+
+
 def test_near_join_plans_no_loop(spark):
     a = spark.createDataFrame(observations(5, 1, False), "i int, lat double, lon double, t timestamp_ntz")
     b = spark.createDataFrame(observations(5, 2, False), "j int, lat2 double, lon2 double, t2 timestamp_ntz")
