@@ -79,6 +79,62 @@ def test_near_join_spreads_the_pairs_of_one_cell(spark):
     assert got.count() == 60_000 and got.select(F.spark_partition_id()).distinct().count() > 1
 
 
+def rows_moved(df):
+    """Rows that all exchanges of the last run wrote."""
+    total, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                total += node.metrics().apply("shuffleRecordsWritten").value()
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_near_join_writes_few_copies(spark):
+    """What goes to disk is a few copies of a row: three days of a left one, four tiles of a right one, and the counts."""
+    left, right = observations(600, 3, False), observations(600, 4, False)
+    a = spark.createDataFrame(left, "i int, lat double, lon double, t timestamp_ntz")
+    b = spark.createDataFrame(right, "j int, lat2 double, lon2 double, t2 timestamp_ntz")
+    got = near_join(a, b, ("lat", "lon", "t"), ("lat2", "lon2", "t2"))
+    want = [near(l, r, 1, 5.0, 7.0, 500.0) for l in left for r in right]
+    assert len(got.collect()) == sum(w is not None for w in want)
+    assert 0 < rows_moved(got) <= 5 * (len(left) + len(right))
+
+
+def test_near_join_of_other_types(spark):
+    """Whole and short numbers as degrees, dates as times, names with dots; rows at no finite place meet none."""
+    rnd = random.Random(9)
+    left = [(i, rnd.randrange(-8, 8), rnd.randrange(-9, 9), START.date() + timedelta(days=i % 4)) for i in range(80)]
+    right = [(i, rnd.randrange(-8, 8), rnd.randrange(-9, 9), START.date() + timedelta(days=i % 5)) for i in range(70)]
+    a = spark.createDataFrame(left, "i int, lat int, lon int, t date")
+    nowhere = [(900, float("nan"), 1.0, START.date()), (901, 1.0, float("inf"), START.date())]
+    b = spark.createDataFrame(
+        [(i, float(y), float(x), t) for i, y, x, t in right] + nowhere, "j int, `lat.2` float, lon2 float, t2 date")
+    got = near_join(a, b, ("lat", "lon", "t"), ("lat.2", "lon2", "t2"))
+    assert got.columns == ["i", "lat", "lon", "t", "j", "lat.2", "lon2", "t2", "distance_km"]
+    moments = [[(i, y, x, START + (t - START.date())) for i, y, x, t in side] for side in (left, right)]
+    want = [(l[0], r[0], near(l, r, 1, 5.0, 7.0, 500.0)) for l in moments[0] for r in moments[1]]
+    assert sorted(values(got, "i", "j", "distance_km")) == sorted(w for w in want if w[2] is not None)
+
+
+def test_near_join_cuts_what_meets_in_a_task(spark, tiny):
+    """One place with many rows on a side, or on both, is dealt to many tasks; pairs stay whole."""
+    place = ["30 + id * 0D AS {}", "id * 0D - 40 AS {}", "DATE '2024-01-01' AS {}"]
+    for n, m in ((40, 30), (2, 60), (60, 2), (50, 0), (0, 50)):
+        left = spark.range(n).selectExpr("id AS i", *[p.format(x) for p, x in zip(place, ("lat", "lon", "t"))])
+        right = spark.range(m).selectExpr("id AS j", *[p.format(x) for p, x in zip(place, ("lat2", "lon2", "t2"))])
+        got = near_join(left, right, ("lat", "lon", "t"), ("lat2", "lon2", "t2"), policy=tiny)
+        dealt = got.withColumn("task", F.spark_partition_id()).collect()
+        assert sorted((r.i, r.j) for r in dealt) == [(i, j) for i in range(n) for j in range(m)]
+        assert len({r.task for r in dealt}) > 3 or not n * m
+
+
 def test_grid_join_of_copies(spark, tiny):
     """Equal rows of a hot key are spread and still meet once each."""
     left = spark.createDataFrame([("h", 1)] * 40 + [("c", 2)], "k string, a int")
